@@ -1,10 +1,10 @@
 """Evaluation passages inside training text (problem 9).
 
 Each partition of the corpus is cut into shards; of a shard a suffix array
-over words is built by prefix doubling (ranks of 3, 6, 12, ... words), and
-every suffix of the evaluation texts is found in it by binary search, one
-search for each doubling level. The match is extended to its full length, so
-each result has the longest verbatim passage and its places.
+over words is built, without the suffixes that cannot match, and every suffix
+of the evaluation texts is found in it by binary search. The match is extended
+to its full length, so each result has the longest verbatim passage and its
+places.
 
 The evaluation set is sent to the workers in blocks of at most
 ``block_chars`` characters (its size is measured first), never as a whole of
@@ -16,8 +16,8 @@ rows give one result.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,84 +27,73 @@ from pyspark.sql import functions as F
 from loomseek.llm.words import ALNUM
 
 SHARD_WORDS = 1_000_000
-BLOCK_CHARS = 8_000_000
-#: Word ids below this fit three to a key.
+#: A block has at most half as many words, so their ids fit three to a key.
+BLOCK_CHARS = 4_000_000
 _BASE = 1 << 21
 
 
 class SuffixShard:
-    """Ranks of the suffixes of one shard, and search in them."""
+    """Suffix array over the words of one shard, and search in it.
 
-    def __init__(self, docs: list[list[str]], least: int):
-        ids: defaultdict[str, int] = defaultdict()
-        ids.default_factory = lambda: len(ids) + 1
-        self.ids = ids
-        words = [ids[w] for d in docs for w in d]
+    Only suffixes whose next ``least`` words are made of word triples of the
+    evaluation texts are kept and sorted: no other one can match. The sort and
+    the searches compare whole triples, by their ranks.
+    """
+
+    def __init__(self, docs: list[list[str]], items: list[list[str]], least: int):
+        # 0 is no word, 1 any word that no item has
+        ids = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(items)), 2)}
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        if len(ids) + 1 >= _BASE:
-            raise ValueError("a shard holds too many different words")
+        words = np.fromiter(map(ids.get, chain.from_iterable(docs), repeat(1)), np.int64, int(lengths.sum()))
         # three zeros behind every document end the suffixes there
-        first = np.concatenate(([0], np.cumsum(lengths + 3)))
-        text = np.zeros(int(first[-1]) + 3, np.int64)
-        owner = np.repeat(np.arange(len(docs)), lengths)
-        place = np.arange(len(words)) + 3 * owner
-        text[place] = words
-        self.text, self.first, self.least = text, first, least
-        self.levels: list[tuple[int, np.ndarray]] = []
-        rank, width = self._keys(text), 3
-        while True:
-            sorted_keys = np.unique(rank)
-            self.levels.append((width, sorted_keys))
-            rank = np.searchsorted(sorted_keys, rank)
-            if width * 2 > least:
-                break
-            rank, width = self._pair(rank, width, len(sorted_keys)), width * 2
-        self.width = width
-        self.order = np.argsort(rank, kind="stable")
-        self.sorted_rank = rank[self.order]
+        self.first = np.concatenate(([0], np.cumsum(lengths + 3)))
+        self.text = np.zeros(int(self.first[-1]) + least + 3, np.int64)
+        self.text[np.arange(len(words)) + 3 * np.repeat(np.arange(len(docs)), lengths)] = words
+        self.steps = sorted({*range(0, least - 2, 3), least - 3})
+        known = [np.fromiter((ids[w] for w in x), np.int64, len(x)) for x in items]
+        self.items = [np.concatenate((x, np.zeros(least + 3, np.int64))) for x in known]
+        keys = [self._keys(x) for x in self.items]
+        self.triples = np.unique(np.concatenate([k[k > 0] for k in keys] or [np.empty(0, np.int64)]))
+        places, suffixes = self._suffixes(self._keys(self.text))
+        order = np.argsort(suffixes, kind="stable")
+        self.order, self.sorted = places[order], suffixes[order]
+        self.tests = [self._suffixes(k) for k in keys]
 
     @staticmethod
     def _keys(text: np.ndarray) -> np.ndarray:
-        n = len(text) - 2
-        key = (text[:n] * _BASE + text[1 : n + 1]) * _BASE + text[2:]
-        return np.where((text[:n] > 0) & (text[1 : n + 1] > 0) & (text[2:] > 0), key, 0)
-
-    @staticmethod
-    def _pair(rank: np.ndarray, width: int, size: int) -> np.ndarray:
-        shifted = np.zeros_like(rank)
-        shifted[:-width] = rank[width:]
-        return rank * np.int64(size + 1) + shifted
-
-    def search(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(document, first word there, first word of the item) of each match of at least ``least`` words."""
-        item = np.fromiter((self.ids.get(w, 0) for w in words), np.int64, len(words))
-        if len(item) < self.least:
-            return
-        key = self._keys(np.concatenate((item, np.zeros(3, np.int64))))
-        alive, size = key > 0, 0
-        for k, (_, keys) in enumerate(self.levels):
-            if k:
-                width = self.levels[k - 1][0]
-                key = self._pair(key, width, size)
-                alive[:-width] &= alive[width:]
-                alive[-width:] = False
-            at = np.searchsorted(keys, key)
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key)
-            alive &= hit
-            key, size = np.where(hit, at, 0), len(keys)
-            if not alive.any():
-                return
-        low = np.searchsorted(self.sorted_rank, key, "left")
-        high = np.searchsorted(self.sorted_rank, key, "right")
-        for q in np.flatnonzero(alive):
-            for p in self.order[low[q] : high[q]]:
-                doc = int(np.searchsorted(self.first, p, "right")) - 1
-                yield doc, int(p), int(q)
-
-    def extend(self, p: int, item: np.ndarray, q: int) -> int:
-        """Words from p in the shard that go on as the item from q."""
-        n = 0
-        while q + n < len(item) and self.text[p + n] > 0 and self.text[p + n] == item[q + n]:
+        a, b, c = text[:-2], text[1:-1], text[2:]
+        return np.where((a > 1) & (b > 1) & (c > 1), (a * _BASE + b) * _BASE + c, 0)
+
+    def _suffixes(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which ``least`` known words begin, and their sort keys."""
+        none = np.empty(0, np.int64), np.empty(0, f"S{4 * len(self.steps)}")
+        n = len(key) - self.steps[-1]
+        if n <= 0 or not len(self.triples):
+            return none
+        at = np.searchsorted(self.triples, key)
+        at[at == len(self.triples)] = 0
+        rank = np.where(self.triples[at] == key, at + 1, 0)
+        alive = np.flatnonzero(rank[:n])
+        for s in self.steps[1:]:
+            alive = alive[rank[alive + s] > 0]
+        if not len(alive):
+            return none
+        bytes_ = np.stack([rank[alive + s] for s in self.steps], axis=1).astype(">u4")
+        return alive, np.ascontiguousarray(bytes_).view(f"S{4 * len(self.steps)}").ravel()
+
+    def search(self, i: int) -> Iterator[tuple[int, int, int]]:
+        """(document, first word there, first word of the item) of each match of item i."""
+        places, suffixes = self.tests[i]
+        low = np.searchsorted(self.sorted, suffixes, "left")
+        high = np.searchsorted(self.sorted, suffixes, "right")
+        for q, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
+            for p in self.order[a:b].tolist():
+                yield int(np.searchsorted(self.first, p, "right")) - 1, p, q
+
+    def extend(self, p: int, i: int, q: int) -> int:
+        """Words from p in the shard that go on as item i from q."""
+        item, n = self.items[i], 0
+        while item[q + n] > 1 and self.text[p + n] == item[q + n]:
             n += 1
         return n
 
@@ -113,18 +102,15 @@ def _scan(items: list[tuple[int, list[str]]], least: int, shard_words: int, key:
     """The worker's side: one evaluation block against all shards of a partition."""
 
     def flush(keys: list, docs: list[list[str]]) -> list[tuple]:
-        shard = SuffixShard(docs, least)
+        shard = SuffixShard(docs, [w for _, w in items], least)
         best: dict[tuple, tuple[int, int, int]] = {}
-        for item_id, words in items:
-            known = None
+        for i, (item_id, _) in enumerate(items):
             ended: dict[int, int] = {}  # diagonal -> where its last match ends
-            for doc, p, q in shard.search(words):
+            for doc, p, q in shard.search(i):
                 diagonal = p - q
                 if ended.get(diagonal, -1) > p:
                     continue
-                if known is None:
-                    known = np.fromiter((shard.ids.get(w, 0) for w in words), np.int64, len(words))
-                n = shard.extend(p, known, q)
+                n = shard.extend(p, i, q)
                 ended[diagonal] = p + n - least + 1
                 if n >= least and n > best.get((doc, item_id), (0,))[0]:
                     best[doc, item_id] = (n, p - int(shard.first[doc]), q)

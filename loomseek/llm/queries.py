@@ -5,13 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomseek.llm import leakage, repetition, tokens
+from loomseek.llm import leakage, neardup, repetition, split, tokens
 from loomseek.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies of targets and texts of chunks under one name: tab, rec_key, text."""
+    targets = table(spark, folder, "targets").select(F.lit("targets").alias("tab"), F.col("target_key").alias("rec_key"), F.col("body").alias("text"))
+    chunks = table(spark, folder, "chunks").select(F.lit("chunks").alias("tab"), F.col("chunk_key").alias("rec_key"), "text")
+    return targets.unionByName(chunks)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.record_pairs(records(spark, folder))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split.oversized(records(spark, folder), "text", ["tab", "rec_key"])
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split.split(records(spark, folder).distinct(), "text", ["tab", "rec_key"])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text"))
 

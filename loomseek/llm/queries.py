@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.llm import leakage, neardup, repetition, split, tokens
+from loomseek.llm import leakage, nearest, neardup, repetition, split, tokens
 from loomseek.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.record_pairs(records(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.found(table(spark, folder, "vectors"))
+
+
+def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact neighbours of every row whose digest's hash is divisible by 50, against all rows."""
+    vectors = table(spark, folder, "vectors")
+    return nearest.nearest(vectors, vectors.filter("pmod(xxhash64(text_digest), 50) = 0"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversized(records(spark, folder), "text", ["tab", "rec_key"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.llm import leakage, nearest, neardup, repetition, split, tokens
+from loomseek.llm import language, leakage, nearest, neardup, quality, repetition, split, tokens
 from loomseek.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,42 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.record_pairs(records(spark, folder))
 
 
+def stretches(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "targets").select("target_key", "title", "body", F.col("properties")["LANGUAGE"].alias("label"))
+    common = quality.read_common(table(spark, folder, "common_words"))
+    model = quality.train(targets, "body", "target_key", common)
+    languages = language.train(targets, "body", "label", "target_key", common)
+    return language.stretches(targets, ["target_key", "label"], ["title", "body"], languages, model, common)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(stretches(spark, folder), ["target_key"], "label", list(language.NAMES))
+
+
+def p3_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    return stretches(spark, folder).drop("label").distinct()
+
+
+def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.documents(p3_stretches(spark, folder), ["target_key"])
+
+
+def statistics(spark: SparkSession, folder: str) -> DataFrame:
+    common = quality.read_common(table(spark, folder, "common_words"))
+    model = quality.train(table(spark, folder, "targets", "target_key", "body"), "body", "target_key", common)
+    behind = F.when(F.col("text").rlike(r"\n[ \t]*\n"), F.regexp_replace("text", r"(?s)\A.*?\n[ \t]*\n", ""))
+    mine = records(spark, folder).withColumn("text", F.when(F.col("tab") == "chunks", F.coalesce(behind, "text")).otherwise(F.col("text")))
+    return quality.measure(mine, ["tab", "rec_key"], "text", model, common)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(statistics(spark, folder), ["tab", "rec_key"])
+
+
+def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return statistics(spark, folder).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.found(table(spark, folder, "vectors"))
 

@@ -78,9 +78,13 @@ class Languages:
 
     def losses(self, scores: np.ndarray) -> np.ndarray:
         """Weighted loss of every class (the last is none) for rows of mean scores."""
-        f = scores + self.bias
-        plus, minus = np.logaddexp(0, -f) * self.trust, np.logaddexp(0, f) * self.trust
-        return plus @ (self.code > 0).T + minus @ (self.code < 0).T
+        f = (scores + self.bias).astype(np.float32)
+        near = np.log1p(np.exp(-np.abs(f)))  # log(1 + exp(-m f)) is this plus max(0, -m f)
+        trust = self.trust.astype(np.float32)
+        out = (near * trust) @ np.ones((len(trust), len(self.code)), np.float32)
+        out += (np.maximum(-f, 0) * trust) @ (self.code > 0).T.astype(np.float32)
+        out += (np.maximum(f, 0) * trust) @ (self.code < 0).T.astype(np.float32)
+        return out
 
     @classmethod
     def fit(cls, langs: list[str], lines: list[tuple[list[str], int]], epochs: int = 60, rate: float = 1.5) -> Languages:
@@ -138,8 +142,8 @@ def named(label: str | None, langs: list[str]) -> str | None:
 
 
 def train(df: DataFrame, text: str, label: str, key: str, common: quality.Common, sample: int = SAMPLE) -> Languages:
-    """Classifiers from at most ``sample`` labelled texts, those with the smallest hashes of their keys."""
-    rows = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label, key).distinct().orderBy(F.xxhash64(key), key, text).limit(sample).collect()
+    """Classifiers from about ``sample`` labelled texts, drawn by the hash of their keys."""
+    rows = quality.draw(df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(key, text, label), key, sample)
     langs, lines = common.langs, []
     masks = common.masks
     for r in rows:
@@ -177,17 +181,15 @@ class Judge:
         self.packed = common.packed()
         self.rows = np.zeros((1024, languages.code.shape[1]), np.float32)
         self.masks = np.zeros(1024, np.int64)
-        self.ids: dict[str, int] = {}
-
-    def _id(self, word: str) -> int:
-        i = self.ids.get(word)
-        if i is None:
-            i = self.ids[word] = len(self.ids)
-            if i == len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                self.masks = np.concatenate((self.masks, np.zeros_like(self.masks)))
-            self.rows[i] = self.l.score(word)
-            self.masks[i] = self.common.masks.get(fold(word), 0)
+        self.ids = Memo(self._new, 1 << 62)  # cleared between batches only
+
+    def _new(self, word: str) -> int:
+        i = len(self.ids)
+        if i == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.masks = np.concatenate((self.masks, np.zeros_like(self.masks)))
+        self.rows[i] = self.l.score(word)
+        self.masks[i] = self.common.masks.get(fold(word), 0)
         return i
 
     def _prose_in(self, line: str) -> Iterator[str]:
@@ -199,7 +201,7 @@ class Judge:
 
     def stretches(self, texts: list[str | None]) -> list[tuple[int, int, int, str, float, bool, bool]]:
         """(text, first word, words, language, confidence, running, ambiguous); words count within the prose."""
-        if len(self.ids) > 500_000:
+        if len(self.ids) > 300_000:
             self.ids.clear()
         ids: list[int] = []
         lens: list[int] = []
@@ -213,7 +215,7 @@ class Judge:
                 for s in quality._SENTENCE.split(u) if label == quality.PROSE else self._prose_in(u):
                     words = ALPHA.findall(s)
                     if words:
-                        ids += map(self._id, words)
+                        ids += map(self.ids.__getitem__, words)
                         lens.append(len(words))
                         owner.append(t)
         if not ids:
@@ -238,7 +240,9 @@ class Judge:
         start, end = _runs(label, text_of)
         best = loss.min(axis=1)
         sure = 1.0 / np.exp(best[:, None] - loss).sum(axis=1)
-        second = np.partition(loss, 1, axis=1)[:, 1] - best
+        rest = loss.copy()
+        rest[n, np.argmin(loss, axis=1)] = np.inf
+        second = rest.min(axis=1) - best
         hit = (self.masks[at] >> np.minimum(label, len(self.l.langs) - 1)) & 1
         sums = [np.concatenate(([0], np.cumsum(x))) for x in (sure, second, hit)]
         words_before = np.cumsum(np.bincount(text_of, minlength=len(texts))) - np.bincount(text_of, minlength=len(texts))

@@ -15,6 +15,7 @@ length are read whole. Repeated rows give repeated statistics.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,10 +111,6 @@ def read_common(df: DataFrame) -> Common:
     return Common(sorted((r["lang"], r["word"]) for r in rows))
 
 
-def _bin(x: float, edges: tuple) -> int:
-    return sum(x >= e for e in edges)
-
-
 #: Sizes of the features of ``describe``.
 SIZES = (6, 3, 4, 3, 3, 4, 3, 3)
 
@@ -136,14 +133,14 @@ def describe(unit: str, packed: Memo) -> tuple[tuple[int, ...], int, int, int, i
     end = 1 if s[-1:] in ".!?…»\"”" else 2 if s[-1:] in ",;:" else 0
     delimiters = len(_DELIMITED.findall(s))
     code = (
-        _bin(common / n if n else 0.0, (0.06, 0.15, 0.24, 0.34, 0.45)),
+        bisect((0.06, 0.15, 0.24, 0.34, 0.45), common / n if n else 0.0),
         marker,
-        _bin(symbols / size, (0.07, 0.15, 0.35)),
-        _bin(digits / size, (0.05, 0.25)),
+        bisect((0.07, 0.15, 0.35), symbols / size),
+        bisect((0.05, 0.25), digits / size),
         end,
-        _bin(n, (2, 5, 9)),
-        _bin(delimiters, (1, 3)),
-        _bin(letters / n if n else 0.0, (2.5, 8.5)),
+        bisect((2, 5, 9), n),
+        bisect((1, 3), delimiters),
+        bisect((2.5, 8.5), letters / n if n else 0.0),
     )
     return code, n, letters, digits, common
 
@@ -219,9 +216,17 @@ class LineModel:
         return out[::-1]
 
 
+def draw(df: DataFrame, key: str, sample: int) -> list:
+    """About ``sample`` rows of df, at most twice as many, drawn by the hash of their keys; repeated rows once."""
+    span = 1 << 30
+    share = min(1.0, sample / max(1, df.count()))
+    drawn = df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)) < int(share * span)).limit(2 * sample).collect()
+    return sorted({tuple(str(v) for v in r): r for r in drawn}.values(), key=lambda r: tuple(str(v) for v in r))
+
+
 def train(df: DataFrame, text: str, key: str, common: Common, sample: int = SAMPLE) -> LineModel:
-    """A model from at most ``sample`` texts, those with the smallest hashes of their keys."""
-    rows = df.filter(F.col(text).isNotNull()).select(text, key).distinct().orderBy(F.xxhash64(key), key, text).limit(sample).collect()
+    """A model from about ``sample`` texts, drawn by the hash of their keys."""
+    rows = draw(df.filter(F.col(text).isNotNull()).select(key, text), key, sample)
     packed = common.packed()
     return LineModel.fit([[describe(u, packed)[0] for u in units(plain(r[text]))] for r in rows])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.llm import language, leakage, nearest, neardup, quality, repetition, split, tokens
+from loomseek.llm import language, leakage, markup, nearest, neardup, quality, repetition, split, tokens
 from loomseek.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return targets.unionByName(chunks)
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.found(table(spark, folder, "targets"), ["target_key"], ["title", "body"])
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean(table(spark, folder, "targets"), ["target_key"], ["title", "body"]).distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.record_pairs(records(spark, folder))
 

@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomseek.operators import incremental
+from loomseek.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return incremental.found(*(table(spark, folder, t) for t in ("sources", "run_log", "index_runs", "chunks", "vectors")))
+
+
+def p6_changes(spark: SparkSession, folder: str) -> DataFrame:
+    return incremental.pending(*(table(spark, folder, t) for t in ("sources", "run_log", "index_runs", "chunks", "vectors")))
+
+
+QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_changes": p6_changes}
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)

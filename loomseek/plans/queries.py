@@ -5,22 +5,451 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomseek.operators import incremental
-from loomseek.session import table
+from loomseek.config import Config
+from loomseek.functions import text
+from loomseek.functions import vectors as V
+from loomseek.operators import budget, chunking, fusion, incremental, scoring, store, textindex
+from loomseek.operators.filters import Filters, PropertyFilter
+from loomseek.plans import corpora, search
+from loomseek.session import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+QUERIES: dict[str, Query] = {}
+INBOX = "/notes/personal/inbox/everything.org"
+PHRASE = "red plate"
+TYPO = "rde plate"
+MODEL = "lantern-s"
+NAMES_ASKED = ("and", "the", "of", "in", "it", "der", "die", "nach", "que", "la", "de", "som", "en", "van", "to", "for", "a")
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid answer over notes: exact, lexical and fuzzy, fused."""
+    got = search.search_api(search.Corpus(corpora.notes(spark, folder).persist()), "archive budget", 20, fuzzy=True)
+    return got.results.drop("properties")
+
+
+# incremental processing ------------------------------------------------------
+
+
+@query
+def p6_found(spark, folder):
     return incremental.found(*(table(spark, folder, t) for t in ("sources", "run_log", "index_runs", "chunks", "vectors")))
 
 
-def p6_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return incremental.pending(*(table(spark, folder, t) for t in ("sources", "run_log", "index_runs", "chunks", "vectors")))
+@query
+def p6_changes(spark, folder):
+    return incremental.pending(*(table(spark, folder, t) for t in ("sources", "run_log", "index_runs", "chunks", "vectors"))).distinct()
+
+
+# scans, lookups, projections ---------------------------------------------------
+
+
+@query
+def point_lookup_path(spark, folder):
+    return corpora.notes(spark, folder, "key", "path", "kind", "level").filter(F.col("path") == INBOX).select("key", "kind", "level")
+
+
+@query
+def point_lookup_id(spark, folder):
+    return corpora.notes(spark, folder, "key", "org_id").filter("org_id is not null and org_id < '8'")
+
+
+@query
+def snippet_prefix160(spark, folder):
+    return corpora.notes(spark, folder, "key", "body").select("key", F.substring("body", 1, 160).alias("snippet"))
+
+
+@query
+def context_lines(spark, folder):
+    return corpora.notes(spark, folder, "key", "kind", "title", "outline_path").select("key", text.context_line().alias("context"))
+
+
+@query
+def links(spark, folder):
+    return corpora.notes(spark, folder, "key", "org_id", "title", "path", "position").select("key", text.link().alias("link"))
+
+
+@query
+def path_codec(spark, folder):
+    joined = corpora.notes(spark, folder, "key", "outline_path").withColumn("joined", text.join_path(F.col("outline_path")))
+    return joined.select("key", "joined", F.size(text.split_path(F.col("joined"))).alias("parts"))
+
+
+@query
+def properties_json(spark, folder):
+    rows = corpora.notes(spark, folder, "key", "properties").filter("properties is not null")
+    back = text.parse_properties(F.to_json("properties"))
+    return rows.select("key", F.try_element_at(back, F.lit("CATEGORY")).alias("category"), F.size(back).alias("n"))
+
+
+# filters -------------------------------------------------------------------------
+
+
+def _filtered(filters: Filters) -> Query:
+    return lambda spark, folder: corpora.notes(spark, folder, "key", "path", "kind", "title", "level", "properties").filter(filters.column()).select("key")
+
+
+def _property(op: str, key: str = "category", value: str | None = None, values: tuple[str, ...] = ()) -> Query:
+    return _filtered(Filters(property_filters=(PropertyFilter(key, op, value, values),)))
+
+
+QUERIES |= {
+    "filter_equals": _property("equals", value="Ideas"),
+    "filter_not_equals": _property("not-equals", value="ideas"),
+    "filter_in": _property("in", values=("ideas", "REFS")),
+    "filter_not_in": _property("not-in", values=("ideas", "refs")),
+    "filter_exists": _property("exists", "Effort"),
+    "filter_missing": _property("missing", "effort"),
+    "filter_property_equals": _filtered(Filters(property_equals=(("CATEGORY", "ideas"), ("LANGUAGE", "en")))),
+    "filter_legacy_pair": _filtered(Filters(property_key="CATEGORY", property_value="ideas")),
+    "filter_max_level": _filtered(Filters(max_heading_level=1)),
+    "filter_exclude_titles": _filtered(Filters(exclude_titles=("И ЧТО", "note"))),
+    "filter_allowed_roots": _filtered(Filters(allowed_roots=("/notes/personal", "/notes/lab/"))),
+    "filter_no_roots": _filtered(Filters(allowed_roots=())),
+}
+
+
+def _accounted(limit: int, most: int, level: int) -> Query:
+    def run(spark, folder):
+        rows = corpora.notes(spark, folder, "key", "path", "kind", "level", "position")
+        n = budget.number(rows, [F.asc("path"), F.asc("position"), F.asc("key")], most, F.coalesce(F.col("level") >= level, F.lit(False)))
+        return budget.account(n, limit, most, 100)
+
+    return run
+
+
+QUERIES |= {"accounting_extra": _accounted(20, 2000, 2), "accounting_budget": _accounted(50, 300, 4), "accounting_complete": _accounted(100000, 100000000, 1)}
+
+
+@query
+def freshness(spark, folder):
+    now = incremental.seen_now(table(spark, folder, "sources")).select(F.col("rec_key").alias("path"), F.col("digest").alias("now"))
+    rows = corpora.notes(spark, folder, "key", "path", "digest").join(now, "path", "left")
+    return rows.select("key", F.col("now").eqNullSafe(F.lower("digest")).alias("source_current"))
+
+
+# exact, alias, fuzzy -----------------------------------------------------------------
+
+
+@query
+def exact_title(spark, folder):
+    return search.exact_title(corpora.parts(spark, folder), PHRASE, 100).select("key", "path", "position")
+
+
+@query
+def exact_title_notes(spark, folder):
+    return corpora.notes(spark, folder, "key", "title").filter(F.col("title") == "И что").select("key")
+
+
+@query
+def alias_match(spark, folder):
+    rows = corpora.notes(spark, folder, "key", "kind", "path", "properties")
+    files = search.alias_rows(rows, ("ALIASES",))
+    hit = F.lit(False)
+    for q in NAMES_ASKED:
+        hit = hit | search.alias_match(("ALIASES",), f" {q.title()} ")
+    return files.filter(hit).select("key")
+
+
+@query
+def alias_names(spark, folder):
+    rows = corpora.notes(spark, folder, "key", "properties")
+    return rows.select("key", F.posexplode(text.aliases(text.prop(F.col("properties"), "ALIASES"))).alias("n", "alias"))
+
+
+@query
+def fuzzy_prefilter(spark, folder):
+    return search.fuzzy_candidates(corpora.parts(spark, folder), TYPO).select("key")
+
+
+@query
+def fuzzy_titles(spark, folder):
+    rows = search.fuzzy_scored(corpora.parts(spark, folder), TYPO, 500)
+    return rows.orderBy(*search.fuzzy_order()).limit(50).select("key", F.round("similarity", 6).alias("similarity"), F.round(F.col("similarity") * 0.84, 6).alias("raw_score"))
+
+
+# lexical ---------------------------------------------------------------------------------
+
+
+@query
+def doc_lengths(spark, folder):
+    return textindex.doc_stats(corpora.notes(spark, folder, "key", "title", "body"))
+
+
+@query
+def corpus_stats(spark, folder):
+    s = textindex.corpus_stats(textindex.doc_stats(corpora.notes(spark, folder, "key", "title", "body")))
+    return s.select("n", F.round("avg_tokens", 6).alias("avg_tokens"))
+
+
+@query
+def doc_freq(spark, folder):
+    return textindex.doc_freq(textindex.postings(corpora.notes(spark, folder, "key", "title", "body")))
+
+
+def _lexical(q: str) -> Query:
+    def run(spark, folder):
+        rows = corpora.notes(spark, folder, "key", "title", "body")
+        return textindex.search(rows, q).select("key", F.round("bm25", 8).alias("bm25"))
+
+    return run
+
+
+QUERIES |= {
+    "lexical_one": _lexical("archive"),
+    "lexical_and": _lexical("budget Réunion"),
+    "lexical_prefix": _lexical("cal"),
+    "lexical_phrase": _lexical("of.the index"),
+    "lexical_no_token": _lexical("archive ["),
+}
+
+
+@query
+def lexical_from_index(spark, folder):
+    """The phrase query answered from stored postings."""
+    rows = corpora.notes(spark, folder, "key", "title", "body")
+    at = fresh_path(spark, "postings")
+    textindex.write_index(textindex.postings(rows), at)
+    return textindex.search(rows, "of.the index", spark.read.parquet(at), textindex.doc_stats(rows)).select("key", F.round("bm25", 8).alias("bm25"))
+
+
+@query
+def lexical_snippets(spark, folder):
+    rows = corpora.notes(spark, folder, "key", "title", "body")
+    return textindex.search(rows, "archive").join(rows, "key").select("key", textindex.snippet(F.col("body"), "archive").alias("snippet"))
+
+
+# vectors -------------------------------------------------------------------------------
+
+
+@query
+def vector_mean(spark, folder):
+    return scoring.mean_vector(corpora.embedded(spark, folder)).select("pos", F.round("mean", 6).alias("mean"))
+
+
+def _centred(spark, folder):
+    rows = corpora.embedded(spark, folder)
+    mean = scoring.mean_array(rows)
+    return rows, mean, scoring.centred(rows, mean)
+
+
+@query
+def centred_norms(spark, folder):
+    rows, mean, cent = _centred(spark, folder)
+    return cent.select("digest", F.round(V.norm(F.col("c")), 6).alias("norm"), F.round(F.get("c", F.lit(0)), 6).alias("first"))
+
+
+@query
+def hubs(spark, folder):
+    return scoring.hubs(_centred(spark, folder)[2]).select("digest", F.round("hub", 6).alias("hub"))
+
+
+def _scored(spark, folder, digests: str | None = None):
+    rows, mean, cent = _centred(spark, folder)
+    asked = rows.filter("digest = 7").first()["vector"]
+    pool = rows.filter(digests).select("digest") if digests else None
+    return scoring.score(cent, scoring.hubs(cent), mean, asked, digests=pool)
+
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("digest", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"), F.round("z", 4).alias("z"))
+
+
+@query
+def semantic_scores(spark, folder):
+    return _shown(_scored(spark, folder))
+
+
+@query
+def semantic_topk(spark, folder):
+    return _shown(scoring.top(_scored(spark, folder), 50, Config(semantic_min_z=2.0)))
+
+
+@query
+def semantic_small_pool(spark, folder):
+    return _shown(scoring.top(_scored(spark, folder, "digest < 7"), 50))
+
+
+@query
+def vector_codec(spark, folder):
+    rows = corpora.embedded(spark, folder).withColumn("coded", V.encode_vector("vector"))
+    return rows.select("digest", F.length("coded").alias("size"), (V.decode_vector("coded") == F.col("vector")).alias("same"))
+
+
+@query
+def hash_embed(spark, folder):
+    rows = table(spark, folder, "common_words").select("word").distinct()
+    return rows.select("word", F.posexplode(V.hash_embedder(64)("word")).alias("pos", "x")).filter("x > 0").select("word", "pos", F.round("x", 6).alias("x"))
+
+
+@query
+def normalized_norm(spark, folder):
+    return corpora.embedded(spark, folder).select("digest", F.round(V.norm(V.normalize(F.col("vector"))), 6).alias("norm"))
+
+
+# fusion ----------------------------------------------------------------------------------
+
+
+def _hits(spark, folder) -> dict[str, DataFrame]:
+    rows = corpora.parts(spark, folder)
+    exact = rows.filter(F.col("title") == PHRASE).orderBy("path", "position").limit(50)
+    lexical = textindex.search(rows, PHRASE).join(rows, "key").orderBy(F.desc("bm25"), "path", "position").limit(50)
+    fuzzy = search.fuzzy_scored(rows, PHRASE, 500).orderBy(*search.fuzzy_order()).limit(50)
+    semantic = scoring.top(_scored(spark, folder), 10, Config(semantic_min_z=2.0)).withColumn("key", F.concat(F.lit("part:"), F.col("digest").cast("string"))).join(rows.select("key"), "key", "left_semi")
+    return {
+        "exact": fusion.hits(exact, "exact", fusion.EXACT, [F.asc("path"), F.asc("position")]),
+        "lexical": fusion.hits(lexical, "lexical", fusion.LEXICAL, [F.desc("bm25"), F.asc("path"), F.asc("position")]),
+        "fuzzy": fusion.hits(fuzzy, "fuzzy", fusion.FUZZY, search.fuzzy_order(), F.col("similarity") * 0.84),
+        "semantic": fusion.hits(semantic, "semantic", fusion.SEMANTIC, [F.desc("score"), F.asc("key")], F.col("score"), F.col("z")),
+    }
+
+
+def _answer(spark, folder, *modes: str) -> DataFrame:
+    h = _hits(spark, folder)
+    return fusion.finish(fusion.fuse([h[m] for m in modes]), corpora.parts(spark, folder), 100)
+
+
+@query
+def fused_two_modes(spark, folder):
+    return _answer(spark, folder, "exact", "lexical").select("rank", "key", F.round("score", 8).alias("score"), F.round("margin", 8).alias("margin"), "pinned", "match_type", "match_reason")
+
+
+@query
+def fused_four_modes(spark, folder):
+    got = _answer(spark, folder, "semantic", "exact", "lexical", "fuzzy")
+    return got.select("rank", "key", F.round("score", 8).alias("score"), F.round("margin", 8).alias("margin"), "pinned", "match_type", F.size("modes").alias("n_modes"), "link")
+
+
+@query
+def fused_modes(spark, folder):
+    h = _hits(spark, folder)
+    got = fusion.fuse([h[m] for m in ("semantic", "exact", "lexical", "fuzzy")])
+    return got.select("key", F.explode(fusion.modes()).alias("m")).select("key", "m.mode", "m.rank", F.round("m.raw_score", 6).alias("raw_score"), F.round("m.z", 4).alias("z"))
+
+
+@query
+def group_fuzzy(spark, folder):
+    got = _answer(spark, folder, "lexical", "fuzzy").withColumn("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return fusion.group_results(got).select("lead_key", "title", "n", F.array_join("keys", " ").alias("keys"), "rank")
+
+
+@query
+def search_notes(spark, folder):
+    got = search.search_api(search.Corpus(corpora.notes(spark, folder).persist()), "archive budget", 20, fuzzy=True, filters=Filters(max_heading_level=3)).results
+    return got.select("rank", "key", "match_type", "match_reason", "via", "score")
+
+
+# chunks -----------------------------------------------------------------------------------
+
+
+@query
+def chunk_noise_strip(spark, folder):
+    return corpora.notes(spark, folder, "key", "body").select("key", text.strip_noise(F.col("body")).alias("clean"))
+
+
+@query
+def chunk_word_count(spark, folder):
+    return corpora.passages(spark, folder, "key", "text").select("key", text.word_count(F.col("text")).alias("words"), text.digest(F.col("text")).alias("digest"))
+
+
+@query
+def chunk_min_words(spark, folder):
+    return corpora.notes(spark, folder, "key", "title", "body").filter(text.word_count(F.concat_ws(" ", "title", text.strip_noise(F.col("body")))) < 6).select("key")
+
+
+@query
+def file_outlines(spark, folder):
+    return chunking.file_outlines(corpora.notes(spark, folder, "path", "kind", "level", "position", "title"))
+
+
+@query
+def chunk_passages(spark, folder):
+    return chunking.passages(corpora.notes(spark, folder, "key", "path", "kind", "title", "body", "level", "position", "outline_path")).select("key", "text")
+
+
+@query
+def chunks(spark, folder):
+    rows = corpora.notes(spark, folder, "key", "path", "kind", "title", "body", "level", "position", "outline_path")
+    return chunking.chunks(rows).select("key", "target_key", "ord", "text_digest")
+
+
+@query
+def coverage(spark, folder):
+    return chunking.coverage(corpora.passages(spark, folder), table(spark, folder, "vectors").filter("vector is not null"), MODEL)
+
+
+@query
+def pending_texts(spark, folder):
+    return chunking.pending(table(spark, folder, "chunks"), table(spark, folder, "vectors").filter("vector is not null"), MODEL).select("text_digest")
+
+
+@query
+def shared_texts(spark, folder):
+    rows = corpora.passages(spark, folder, "key", "text_digest").groupBy("text_digest").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
+    return rows.filter("n > 1")
+
+
+# index maintenance --------------------------------------------------------------------------
+
+
+def _states(spark, folder):
+    found = incremental.seen_now(table(spark, folder, "sources")).select(F.col("rec_key").alias("path"), "root", "digest")
+    indexed = incremental.logged(table(spark, folder, "run_log"), table(spark, folder, "index_runs")).select(F.col("rec_key").alias("path"), "root", "digest")
+    return found, indexed
+
+
+@query
+def reconcile_diff(spark, folder):
+    return store.diff(*_states(spark, folder)).select("path", "status")
+
+
+@query
+def reconcile_counts(spark, folder):
+    return store.diff(*_states(spark, folder)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def removed_sources(spark, folder):
+    found, indexed = _states(spark, folder)
+    return store.removed(indexed, found)
+
+
+@query
+def table_counts(spark, folder):
+    return corpora.notes(spark, folder, "key", "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def outline(spark, folder):
+    rows = store.table_outlines(corpora.notes(spark, folder, "path", "kind", "level", "position", "title"))
+    return rows.select("path", "title", "heading_count", "truncated", F.size("headings").alias("shown"), F.array_join(F.transform("headings", lambda h: h["title"]), "\n").alias("titles"))
+
+
+@query
+def outline_capped(spark, folder):
+    rows = store.table_outlines(corpora.notes(spark, folder, "path", "kind", "level", "position", "title"), most=5, max_level=2)
+    return rows.select("path", "heading_count", "truncated", F.size("headings").alias("shown"))
+
+
+@query
+def heading_ordinals(spark, folder):
+    return store.ordinals(corpora.notes(spark, folder, "key", "path", "kind", "position"))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_changes": p6_changes}
+@query
+def resolve_status(spark, folder):
+    rows = corpora.notes(spark, folder, "key", "org_id", "path", "digest")
+    now = incremental.seen_now(table(spark, folder, "sources")).select(F.col("rec_key").alias("path"), "digest")
+    return store.resolve(rows, rows, now)
 
 
 def queries() -> dict[str, Query]:

@@ -25,7 +25,8 @@ def watch(store: Store, folder: str, root: str, checkpoint: str, trigger: dict |
     failure replaces the same rows again. A file source does not report
     deletions: the periodic reconcile finds those.
     """
-    files = store.spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[oO][rR][gG]").load(folder)
+    fields = "path string, modificationTime timestamp, length bigint, content binary"
+    files = store.spark.readStream.format("binaryFile").schema(fields).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[oO][rR][gG]").load(folder)
 
     def apply(batch: DataFrame, _: int) -> None:
         last = last_per_path(batch).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content", F.sha2("content", 256).alias("digest"))

@@ -254,3 +254,49 @@ def record_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataF
     right = members.select(F.col("sid").alias("b"), F.col("tab").alias("tab_b"), F.col("rec_key").alias("y"))
     out = both.join(left, "a").join(right, "b").filter("x != y and tab = tab_b")
     return out.select("tab", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+
+
+def classes(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
+    """(tab, rec_key, class_key, copies, links): each record's class of equal sets, its size, and the number of similar other classes.
+
+    As many rows as records, however many copies there are.
+    """
+    pairs, members = class_pairs(df, n, num, den)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("sid").agg(F.min("rec_key").alias("class_key"), F.count(F.lit(1)).alias("copies"))
+    facts = sizes.join(links, "sid", "left")
+    return members.join(facts, "sid").select("tab", "rec_key", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root) of every node of the pairs (a, b): the smallest node it is connected to.
+
+    Every round each node's neighbours are linked to its smallest one, and the
+    trees are halved; rounds end when nothing changes. All rounds are joins and
+    aggregates over written tables.
+    """
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    while True:
+        # large star: larger neighbours of a node to its smallest
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: a node and its smaller neighbours to the smallest of them
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(small_low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = cut(small.unionByName(small_low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
+        edges = after
+        if same:
+            break
+    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def groups(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
+    """(tab, rec_key, group_id, size): records that are connected by similarity; records alone are left out."""
+    pairs, members = class_pairs(df, n, num, den)
+    roots = components(pairs)
+    mine = members.join(roots, members.sid == roots.node, "left").select("tab", "rec_key", F.coalesce("root", "sid").alias("root"))
+    sizes = mine.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("tab", "rec_key")).alias("first")).filter("size > 1")
+    return mine.join(sizes, "root").select("tab", "rec_key", F.concat_ws(":", "first.tab", "first.rec_key").alias("group_id"), "size").distinct()

@@ -32,6 +32,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.record_pairs(records(spark, folder))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(records(spark, folder))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(records(spark, folder))
+
+
 def stretches(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "targets").select("target_key", "title", "body", F.col("properties")["LANGUAGE"].alias("label"))
     common = quality.read_common(table(spark, folder, "common_words"))

@@ -1,3 +1,42 @@
 """DuckDB SQL with the same results, for the problems that SQL can express."""
 
-SQL: dict[str, str] = {}
+from loomseek.llm.split import LIMIT
+
+#: White space that trimming removes.
+_SPACE = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_RECORDS = """r as (select distinct 'targets' as tab, target_key as rec_key, body as text from targets union select distinct 'chunks', chunk_key, text from chunks)"""
+
+
+def words(x: str, digits: bool = True) -> str:
+    kinds = r"\p{L}\p{N}" if digits else r"\p{L}\p{Nl}\p{No}"
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[{kinds}]+')"
+
+
+def grams(source: str, keys: str, n: int) -> str:
+    """Distinct n-grams of the word lists w of a relation."""
+    return f"select distinct {keys}, array_to_string(w[i:i + {n - 1}], ' ') as g from (select {keys}, w, unnest(range(1, len(w) - {n - 2})) as i from {source})"
+
+
+#: Usable vectors of unit length.
+_UNIT = """u as (select distinct model_id, text_digest as d, vector::double[] as v from vectors where model_id is not null and text_digest is not null and vector is not null and len(vector) = dim and dim > 0
+ and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+n as (select model_id, d, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from u)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""with {_RECORDS}, w as (select tab, rec_key, text, {words('text')} as w from r where rec_key is not null), d as (select *, hash(text) as h from w where len(w) >= 3),
+g as ({grams('d', 'tab, rec_key, h', 3)}), n as (select tab, rec_key, h, count(*) as n from g group by all),
+p as (select a.tab, a.rec_key as ka, a.h as ha, b.rec_key as kb, b.h as hb, count(*) as c from g a join g b on a.tab = b.tab and a.g = b.g and a.rec_key < b.rec_key group by all)
+select distinct p.tab, ka as key_a, kb as key_b from p join n x on x.tab = p.tab and x.rec_key = ka and x.h = ha join n y on y.tab = p.tab and y.rec_key = kb and y.h = hb where 2 * c >= x.n + y.n - c""",
+    "p5_nearest": f"""with {_UNIT}, s as (select a.model_id, a.d as digest, b.d as neighbour, max(list_inner_product(a.v, b.v)) as c from n a join n b on a.model_id = b.model_id and len(a.v) = len(b.v) and a.d <> b.d
+ where ('0x' || substr(a.d, 1, 8))::bigint % 50 = 0 group by all)
+select model_id, digest, neighbour, round(c, 6) as cosine, row_number() over (partition by model_id, digest order by round(c, 9) desc, neighbour) as place from s qualify place <= 5""",
+    "p5_found": f"""with {_UNIT},
+s as (select a.model_id, a.d as a, b.d as b, max(list_inner_product(a.v, b.v)) as c from n a join n b on a.model_id = b.model_id and len(a.v) = len(b.v) and a.d <> b.d group by all having c >= 0.82),
+t as (select *, rank() over (partition by model_id, a order by round(c, 9) desc) as r from s)
+select distinct model_id, least(a, b) as digest_a, greatest(a, b) as digest_b from t where r <= 5""",
+    "p7_found": f"with {_RECORDS} select distinct tab, rec_key from r where length(trim(text, {_SPACE})) > {LIMIT}",
+    "p9_found": f"""with d as (select doc_id, {words('text')} as w from documents), e as (select item_id, {words('text')} as w from eval_items),
+x as ({grams('d', 'doc_id', 12)}), y as ({grams('e', 'item_id', 12)}) select distinct doc_id, item_id from x join y on x.g = y.g""",
+    "p10_found": f"""with d as (select doc_id, {words('text', False)} as w from documents), s as (select doc_id, w, len(w) - 4 as n from d where len(w) >= 50),
+g as ({grams('s', 'doc_id, n', 5)}) select doc_id from (select doc_id, n, count(*) as c from g group by doc_id, n) where 1 - c / n >= 0.3 - 1e-12""",
+}

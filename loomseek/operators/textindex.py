@@ -44,7 +44,13 @@ def postings(targets: DataFrame) -> DataFrame:
 
 def doc_stats(targets: DataFrame) -> DataFrame:
     """(key, tokens) of every target, without a shuffle."""
-    return targets.select("key", (F.size(text.tokens(F.col("title"))) + F.size(text.tokens(F.col("body")))).alias("tokens"))
+    return targets.select("key", _length().alias("tokens"))
+
+
+def _length() -> Column:
+    """Tokens of a row's title and body, counted without making them."""
+    one = F.lit(r"[\p{L}\p{N}\p{Mn}]*[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*")
+    return F.regexp_count(F.coalesce("title", F.lit("")), one) + F.regexp_count(F.coalesce("body", F.lit("")), one)
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:
@@ -70,14 +76,32 @@ def _spaced(column: str) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(text.fold(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def word_hits(targets: DataFrame, words: list[str]) -> DataFrame:
-    """(key, f): occurrences of one phrase with a prefix at its end, over both columns.
+def _occurrences(words: list[str]) -> Column:
+    """How often one phrase with a prefix at its end occurs in both columns.
 
     Occurrences may overlap, so places are counted that the phrase follows.
     """
     place = F.lit("(?= " + " ".join(words) + ")")
-    f = F.regexp_count(_spaced("title"), place) + F.regexp_count(_spaced("body"), place)
-    return targets.select("key", f.cast("long").alias("f")).filter("f > 0")
+    return (F.regexp_count(_spaced("title"), place) + F.regexp_count(_spaced("body"), place)).cast("long")
+
+
+def _idf(n: Column, hits: Column) -> Column:
+    idf = F.log((n - hits + 0.5) / (hits + 0.5))
+    return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+
+
+def _term(f: Column, tokens: Column, average: Column) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * tokens / average))
+
+
+def scan(targets: DataFrame, words: list[list[str]]) -> DataFrame:
+    """(key, bm25) straight from the texts: one pass that counts, and its totals as one scalar; no join."""
+    f = [f"f{i}" for i in range(len(words))]
+    rows = targets.select("key", _length().alias("tokens"), *(_occurrences(w).alias(c) for w, c in zip(words, f)))
+    totals = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("tokens").alias("average"), *(F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in f))).scalar()
+    hits = rows.filter(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in f])).withColumn("t", totals)
+    score = reduce(lambda a, b: a + b, [_idf(F.col("t.n"), F.col(f"t.{c}")) * _term(F.col(c), F.col("tokens"), F.col("t.average")) for c in f])
+    return hits.select("key", score.alias("bm25"))
 
 
 def _shift(positions: str, by: int) -> Column:
@@ -113,21 +137,18 @@ def bm25(hits: list[DataFrame], stats: DataFrame) -> DataFrame:
     joined = joined.join(stats, "key").withColumn("corpus", corpus)
     for i, h in enumerate(hits):
         joined = joined.withColumn(f"n{i}", h.agg(F.count(F.lit(1))).scalar())
-        idf = F.log((F.col("corpus.n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        size = K1 * (1 - B + B * F.col("tokens") / F.col("corpus.avg_tokens"))
-        scores.append(idf * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + size))
+        scores.append(_idf(F.col("corpus.n"), F.col(f"n{i}")) * _term(F.col(f"f{i}"), F.col("tokens"), F.col("corpus.avg_tokens")))
     return joined.select("key", reduce(lambda a, b: a + b, scores).alias("bm25"))
 
 
 def search(targets: DataFrame, query: str, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(key, bm25) for a query, from postings if they are given, else from the texts."""
     words = query_words(query)
-    stats = doc_stats(targets) if stats is None else stats
     if not words or not all(words):
-        return bm25([], stats)
-    hits = [word_hits(targets, w) if index is None else index_hits(index, w) for w in words]
-    return bm25(hits, stats)
+        return bm25([], doc_stats(targets))
+    if index is None:
+        return scan(targets, words)
+    return bm25([index_hits(index, w) for w in words], doc_stats(targets) if stats is None else stats)
 
 
 def snippet_text(body: str | None, heads: list[str], most: int = 16) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,25 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once a session, unless they find it by themselves."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    context = spark.sparkContext
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or (context.master.startswith("local[") and os.getcwd() == root) or getattr(context, "_loomseek_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="loomseek-"), "loomseek.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)  # the driver serves it to every executor
+    context._loomseek_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir.
 

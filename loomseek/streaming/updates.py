@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Event
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,25 @@ def apply_changes(store: Store, paths: list[str]) -> dict[str, str]:
     return out
 
 
+def reconcile_every(store: Store, stop: Event, seconds: float | None = None, after: Callable[[dict], None] | None = None) -> int:
+    """Reconcile at once and then at intervals until ``stop`` is set; gives the number of runs.
+
+    A run that fails is recorded and the next one is tried.
+    """
+    runs = 0
+    while True:
+        try:
+            counts = store.reconcile()
+        except Exception as e:
+            counts = {"error": str(e).split("\n")[0]}
+            store.errors.append({"path": None, "message": counts["error"]})
+        runs += 1
+        if after:
+            after(counts)
+        if stop.wait(store.config.reconcile_seconds if seconds is None else seconds):
+            return runs
+
+
 class EmbedQueue:
     """Closes the gap between chunks and vectors, one bounded batch at a time."""
 

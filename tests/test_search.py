@@ -120,6 +120,13 @@ def test_rank_margin_and_link(spark):
     assert a["link"] == "[[id:id1][A]]" and b["link"] == "[[file:/r/001.org::7][B]]" and a["margin"] == pytest.approx(a["score"] - b["score"]) and b["margin"] == pytest.approx(b["score"])
 
 
+def test_display_rows(spark):
+    t = targets(spark, [{"title": "Topic", "path": "/r/deep/one.org"}, {"title": "Other", "body": "a topic here"}])
+    now = spark.createDataFrame([("/r/deep/one.org", "d"), ("/r/001.org", "newer")], "path string, digest string")
+    got = sorted(tuple(r) for r in fusion.display(search_api(Corpus(t, current=now), "Topic").results).collect())
+    assert got == [("k000", "Topic", "heading", "one.org", "exact", "yes", "exact+lex"), ("k001", "Other", "heading", "001.org", "lexical", "stale", "lex")]
+
+
 def test_groups(spark):
     rows = [("k1", "/f", "Head", "heading", "fuzzy", False, 0.4, 2), ("k2", "/f", "Head", "heading", "fuzzy", False, 0.5, 1), ("k3", "/f", "Head", "heading", "exact", True, 0.9, 3)]
     df = spark.createDataFrame(rows, "key string, path string, title string, kind string, match_type string, pinned boolean, score double, rank int")

@@ -214,3 +214,17 @@ def test_watch_and_pending_changes(spark, notes, tmp_path):
     got = updates.apply_changes(s, [str(notes / "three.org"), str(notes / "two.org"), str(notes / "two.org"), "/nowhere/x.org"])
     assert list(got.values())[:2] == ["removed", "updated"] and len(got) == 3
     assert s.sources.read().count() == 2 and s.targets.read().filter("title = 'Newer'").count() == 1
+
+
+def test_reconcile_at_intervals(spark, notes, tmp_path):
+    from threading import Event
+
+    s, stop, seen = make(spark, notes, tmp_path), Event(), []
+
+    def after(counts):
+        seen.append(counts)
+        if len(seen) == 2:
+            stop.set()
+
+    assert updates.reconcile_every(s, stop, 0.01, after) == 2
+    assert seen[0]["added"] == 2 and seen[1]["unchanged"] == 2

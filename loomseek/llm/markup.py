@@ -55,7 +55,8 @@ _ORG = re.compile(
     r"|[<\[]\d{4}-\d\d-\d\d[^<>\[\]\n]*[>\]]|<[^<>\s@]+@[^<>\s@]+>|(?:(?<=\s)|(?<=<)|^)https?://[^\s<>\]]+",
     re.M | re.S | re.I,
 )
-_HINT = re.compile(r"[<&\\`$]|\*\*|__|~~|''|\{[{|]|^\|[-}]|^\|.*-\||\[\[|\]\(|\]\[|\]:|==|\[https?:|^>|\[\^|^#|^\*\*\*|^!", re.M)
+# every construct holds one of these, so a text without them has none
+_HINT = re.compile(r"[<&\\`$*_~\[{|=#]|''|^>", re.M)
 
 _MATH = r"\\(?:leq|geq|cdot|frac|sqrt|sum)|[\\^_={}+]"
 #: The constructs of each syntax other than HTML.
@@ -346,10 +347,12 @@ def _org(name: str, m: re.Match, mask: _Mask) -> str:
 
 def convert(text: str | None) -> tuple[str | None, list[str]]:
     """(clean text, constructs met)."""
-    if not text or not _HINT.search(text):
+    if not text:
         return text, []
-    mask = _Mask()
     work = re.sub("[\ue0f0\ue0f1]", "", text)
+    if not _HINT.search(work):
+        return text, []
+    mask = _Mask()
     work = _ORG.sub(lambda m: mask.hide(m.group()), work)
     found: list[str] = []
 

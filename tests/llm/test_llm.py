@@ -47,6 +47,52 @@ def test_markup_constructs():
         assert markup.convert(t) == (t, []), t
 
 
+#: A sample of each construct, of each of its forms.
+FORMS = {
+    "markdown fence": ["```\nx\n```", " ~~~ py\nx\n ~~~"],
+    "latex environment": ["\\begin{x}", "\\end {x}"],
+    "latex display": ["$$x$$", "\\[ x \\]"],
+    "latex inline": ["\\(x\\)", "$x$", "$a+b$"],
+    "latex heading": ["\\section*{x}"],
+    "latex command": ["\\emph{x}", "\\alpha"],
+    "latex escape": ["5 \\% x", "5\\,kg"],
+    "latex quotes": ["``x''"],
+    "markdown heading": ["# x"],
+    "markdown underlined": ["x\n==="],
+    "markdown table": ["| Name | Value |\n| --- | --- |", "a | b\n--- | ---", "a|b\n:--|--:", " |---|---|", "|---|:--|", "a | b\n -- | --"],
+    "markdown rule": ["* * *", "***", " *\t* *", "___", "  ____"],
+    "markdown quote": ["> x", "x\n>y"],
+    "markdown definition": ["  [x]: y"],
+    "markdown link": ["[x](y)", "![x](y)"],
+    "markdown reference": ["[x][y]", "[x][]", "[^x]"],
+    "markdown code": ["`x`"],
+    "markdown strong": ["**x**"],
+    "markdown underline": ["__x__"],
+    "markdown strike": ["~~x~~"],
+    "wiki heading": ["== x =="],
+    "wiki emphasis": ["'''x'''", "''x''"],
+    "wiki category": ["[[Category : x]]"],
+    "wiki link": ["[[x|y]]"],
+    "wiki external": ["[https://x y]"],
+    "wiki template": ["{{x}}"],
+    "wiki table": ["{| x", "|}", "|-", "|- x=y"],
+    "wiki switch": ["#REDIRECT x", "__TOC__"],
+}
+
+
+def test_markup_no_construct_unread(monkeypatch):
+    assert set(FORMS) == set(markup.CONSTRUCTS)
+    for name, texts in FORMS.items():
+        for t in texts:
+            assert markup.CONSTRUCTS[name].search(t) and markup.convert(t)[1], (name, t)
+    rng = random.Random(11)
+    pieces = list("<>&\\`$*_~[](){}|=#'^:!-+ \n\ta1") + ["--", "| ", " |", "&lt;", "https://x ", "\ue0f0"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(20_000)]
+    got = [markup.convert(t) for t in texts]
+    monkeypatch.setattr(markup, "_HINT", re.compile(""))
+    assert got == [markup.convert(t) for t in texts]
+
+
 def test_markup_conversion():
     clean = lambda t: markup.convert(t)[0]
     assert clean("## Head\ntext") == "** Head\ntext" and clean("\\section{Head}") == "* Head" and clean("<h3>Head</h3>") == "*** Head"

@@ -113,7 +113,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.measure(table(spark, folder, "documents", "doc_id", "text"))
+    return repetition.measure(table(spark, folder, "documents", "doc_id", "text"), cleaned=True)
 
 
 def queries() -> dict[str, Query]:

@@ -1,11 +1,15 @@
 """Repeated content inside one document (problem 10).
 
-Line-first cleaning: every line is judged by rules of its own - does it end
-like a sentence, does it look like navigation, how much of it did the document
-say before - and failing lines are removed; a document that loses too much is
-rejected. What a line repeats is counted in sequences of five consecutive
-words, each charged to the line in which it ends, so the lines' sums are the
-document's exact share: 1 - distinct sequences / all sequences.
+Line-first cleaning: every line is judged by rules of its own - does it look
+like navigation, how much of it did the document say before - and failing
+lines are removed; a document that loses too much of its characters with them
+is rejected. An open end (no sentence's) alone fails no line, for headings and
+list items have none; it is counted, and with bars it makes navigation. What a
+line repeats is counted in sequences of five consecutive words, each charged
+to the line in which it ends, so the lines' sums are the document's exact
+share: 1 - distinct sequences / all sequences. That share is the check that
+follows: it rejects what the lines let pass, and it alone makes the cases of
+``found``, which are defined by it.
 
 Words are maximal runs of letters in lower case. Null, empty and short texts
 (fewer than ``least_words`` words) have a share of 0 and are never rejected.
@@ -30,16 +34,19 @@ NAVIGATION = re.compile(r"^\W*(?:home|menu|search|login|log in|sign in|share|pri
 
 SCHEMA = (
     "words long, sequences long, distinct_sequences long, repeated_share double, n_lines int, no_end_lines int, "
-    "navigation_lines int, repeated_lines int, lost_share double, rejected boolean"
+    "navigation_lines int, repeated_lines int, lost_share double, repetitive boolean, rejected boolean"
 )
+CLEANED = "cleaned string"
 
 
-def _judge(text: str, line_seen: np.ndarray, line_all: np.ndarray, line_share: float) -> tuple[int, int, int, int, float]:
-    """Lines that end openly, navigate and repeat; the share of characters in removed lines."""
+def _judge(text: str, line_seen: np.ndarray, line_all: np.ndarray, line_share: float) -> tuple[int, int, int, int, float, str]:
+    """Lines that end openly, navigate and repeat; the share of characters in removed lines; the text without them."""
+    kept = []
     no_end = navigation = repeated = n = lost = total = 0
     for i, line in enumerate(text.split("\n")):
         s = line.strip()
         if not s:
+            kept.append(line)
             continue
         n += 1
         total += len(s)
@@ -51,15 +58,20 @@ def _judge(text: str, line_seen: np.ndarray, line_all: np.ndarray, line_share: f
         repeated += again
         if nav or again:
             lost += len(s)
-    return n, no_end, navigation, repeated, lost / total if total else 0.0
+        else:
+            kept.append(line)
+    return n, no_end, navigation, repeated, lost / total if total else 0.0, "\n".join(kept)
 
 
-def measure(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least_words: int = 50, line_share: float = 0.5, reject_from: float = 0.3) -> DataFrame:
-    """One row of line and repetition statistics for each row of df.
+def measure(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least_words: int = 50, line_share: float = 0.5, reject_from: float = 0.3, lost_from: float = 0.3, cleaned: bool = False) -> DataFrame:
+    """One row of line and repetition statistics for each row of df, with ``cleaned`` also the text without the removed lines.
 
-    rejected: the share of repeated content is at least ``reject_from`` in a
-    document of at least ``least_words`` words.
+    repetitive: the share of repeated content is at least ``reject_from`` in a
+    document of at least ``least_words`` words. rejected: such a document loses
+    at least ``lost_from`` of its characters in removed lines, or is repetitive.
+    A null text stays null in the cleaned text.
     """
+    schema = f"{SCHEMA}, {CLEANED}" if cleaned else SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
@@ -86,14 +98,18 @@ def measure(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5,
             first = np.concatenate(([0], np.cumsum([len(d) for d in lines])))
             rows = [_judge(t, line_seen[first[i] : first[i + 1]], line_all[first[i] : first[i + 1]], line_share) for i, t in enumerate(texts)]
             share = np.where(total > 0, seen / np.maximum(total, 1), 0.0)
-            rejected = (words >= least_words) & (total > 0) & (total * reject_from <= seen + 1e-9)
-            cols = [words, total, total - seen, share] + [np.array([r[k] for r in rows], np.int32) for k in range(4)] + [np.array([r[4] for r in rows], np.float64), rejected]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=[key, *(x.split()[0] for x in SCHEMA.split(", "))])
+            lost = np.array([r[4] for r in rows], np.float64)
+            repetitive = (words >= least_words) & (total > 0) & (total * reject_from <= seen + 1e-9)
+            rejected = repetitive | ((words >= least_words) & (lost >= lost_from))
+            cols = [words, total, total - seen, share] + [np.array([r[k] for r in rows], np.int32) for k in range(4)] + [lost, repetitive, rejected]
+            if cleaned:
+                cols.append(pa.array([r[5] for r in rows], pa.string(), mask=batch.column(1).is_null().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=[key, *(x.split()[0] for x in schema.split(", "))])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, {SCHEMA}")
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, {schema}")
 
 
 def found(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Keys of the documents that the cleaning rejects for repetition."""
-    return measure(df, text, key).filter("rejected").select(F.col(key)).distinct()
+    """Keys of the documents whose exact share of repeated content makes them a case."""
+    return measure(df, text, key).filter("repetitive").select(F.col(key)).distinct()

@@ -445,3 +445,19 @@ def test_repetition(spark):
     lines = repetition.measure(frame(spark, [(1, "Home\nsay this line of eight words here now.\nsay this line of eight words here now.\n")], "doc_id long, text string")).first()
     assert lines["navigation_lines"] == 1 and lines["repeated_lines"] == 1 and lines["n_lines"] == 3
     assert repetition.found(df.limit(0)).count() == 0
+
+
+def test_repetition_cleaning(spark):
+    once = [f"{a} {b} {c} stands here." for a, b, c in zip("red blue green brown".split(), "house garden river tree".split(), "old new wide tall".split())]
+    said = "the same eight words are said over again."
+    bars = ["one | two | three | four", "five | six | seven | eight", "nine | ten | eleven | twelve"]
+    text = "\n".join(["Home", *once, "", said, said, "A heading"])
+    menu = "\n".join([*bars, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi omikron pi rho sigma tau."] + [f"{x} | {x}b | {x}c | {x}d" for x in map(chr, range(97, 110))])
+    rows = [(1, text), (2, menu), (3, None), (4, ""), (5, "Home\nNext"), (6, LONG)]
+    got = {r["doc_id"]: r for r in repetition.measure(frame(spark, rows, "doc_id long, text string"), cleaned=True).collect()}
+    assert got[1]["cleaned"] == "\n".join([*once, "", said, "A heading"]) and not got[1]["rejected"]
+    assert got[1]["lost_share"] == pytest.approx((4 + len(said)) / sum(len(x) for x in text.split("\n")))
+    assert got[2]["rejected"] and not got[2]["repetitive"] and got[2]["cleaned"].startswith("alpha beta") and "|" not in got[2]["cleaned"]
+    assert got[3]["cleaned"] is None and got[4]["cleaned"] == "" and got[5]["cleaned"] == "" and not got[5]["rejected"]
+    assert got[6]["rejected"] and got[6]["repetitive"]
+    assert {r["doc_id"] for r in repetition.found(frame(spark, rows, "doc_id long, text string")).collect()} == {6}

@@ -1,13 +1,14 @@
 """Records that are new or changed since the last successful run (problem 6).
 
 The state that the last successful runs left, and the state found now, become
-two versions of one table (``manifest``); the records to process are the
-deltas between them.
+two versions of one table (``manifest``); the records to process are the rows
+added between them. The inputs are plain tables, so joins of both states say
+what is committed as the second version; what is gone now is removed in it.
 
 Sources: the observation of a path with the latest seen_at counts (of equal
 ones the greatest digest); a null digest there means unreadable and is no
-case. Of the log, the row of the highest run that ended ok counts, failed
-outcomes left out (of equal ones the latest logged). Texts: a digest counts as
+case, nor is the path gone. Of the log, the row of the highest run that ended
+ok counts, failed outcomes left out (of equal ones the latest logged). Texts: a digest counts as
 done if some vector of the model is not null, has exactly dim values and only
 finite ones. Null paths and null text digests are left out; case of hex digits
 is ignored; repeated rows count once; empty tables give no rows.
@@ -25,10 +26,14 @@ from loomseek.session import fresh_path
 STATE = T.StructType([T.StructField(n, T.StringType()) for n in ("tab", "rec_key", "root", "digest")])
 
 
+def observed(sources: DataFrame) -> DataFrame:
+    """Newest observation o of each path, readable or not."""
+    return sources.filter("path is not null").groupBy("path").agg(F.max(F.struct("seen_at", F.col("digest").isNotNull().alias("readable"), F.lower("digest").alias("digest"), "root")).alias("o"))
+
+
 def seen_now(sources: DataFrame) -> DataFrame:
     """Newest readable observation of each path."""
-    last = sources.filter("path is not null").groupBy("path").agg(F.max(F.struct("seen_at", F.col("digest").isNotNull().alias("readable"), F.lower("digest").alias("digest"), "root")).alias("o"))
-    return last.filter("o.readable").select(F.lit("sources").alias("tab"), F.col("path").alias("rec_key"), "o.root", "o.digest")
+    return observed(sources).filter("o.readable").select(F.lit("sources").alias("tab"), F.col("path").alias("rec_key"), "o.root", "o.digest")
 
 
 def logged(run_log: DataFrame, index_runs: DataFrame) -> DataFrame:
@@ -57,10 +62,14 @@ def pending(sources: DataFrame, run_log: DataFrame, index_runs: DataFrame, chunk
     table = VersionedTable(spark, fresh_path(spark, "state"), STATE)
     table.commit(logged(run_log, index_runs).unionByName(texts(usable(vectors, model))))
     done = table.read(1)
-    now = seen_now(sources).unionByName(texts(chunks.filter("text_digest is not null").select("text_digest").distinct()))
+    digests = texts(chunks.filter("text_digest is not null").select("text_digest").distinct())
+    now = seen_now(sources).unionByName(digests)
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"d.{c}")) for c in STATE.fieldNames()]
     new = now.alias("n").join(done.alias("d"), (F.col("n.tab") == F.col("d.tab")) & (F.col("n.rec_key") == F.col("d.rec_key")) & same[2] & same[3], "left_anti")
-    table.commit(new, new, ["tab", "rec_key"])
+    keys = ["tab", "rec_key"]
+    present = observed(sources).select(F.lit("sources").alias("tab"), F.col("path").alias("rec_key")).unionByName(digests.select(*keys))
+    gone = done.select(*keys).join(present, keys, "left_anti")
+    table.commit(new, new.select(*keys).unionByName(gone), keys)
     return table.changes(1, 2)
 
 

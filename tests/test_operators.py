@@ -208,6 +208,16 @@ def test_pending_records(spark):
     assert none.count() == 0
 
 
+def test_removed_records(spark):
+    sources = spark.createDataFrame([("/same", "r", "AB", at(1)), ("/bad", "r", None, at(2)), ("/bad", "r", "d", at(1)), ("/moved", "q", "d", at(1)), ("/new", "r", "d", at(1))], "path string, root string, digest string, seen_at timestamp")
+    log = spark.createDataFrame([(1, p, "r", d, "added", at(1)) for p, d in (("/same", "ab"), ("/bad", "d"), ("/moved", "d"), ("/gone", "d"))] + [(1, "/left", "r", "d", "removed", at(1))], "run_id int, path string, root string, digest string, outcome string, logged_at timestamp")
+    runs = spark.createDataFrame([(1, "ok")], "run_id int, state string")
+    chunks = spark.createDataFrame([("t1",), ("t2",), (None,)], "text_digest string")
+    vectors = spark.createDataFrame([("lantern-s", "t1", 1, [1.0]), ("lantern-s", "t9", 1, [1.0]), ("lantern-s", "t9", 1, [1.0])], "model_id string, text_digest string, dim int, vector array<float>")
+    got = {(r["rec_key"], r["root"], r["change"]) for r in incremental.pending(sources, log, runs, chunks, vectors).collect()}
+    assert got == {("/new", "r", "added"), ("/moved", "q", "added"), ("/moved", "r", "removed"), ("/gone", "r", "removed"), ("t2", None, "added"), ("t9", None, "removed")}
+
+
 def test_chunk_stream(spark, tmp_path):
     src = tmp_path / "in"
     t = spark.createDataFrame([("k1", "p", "heading", "Head", "several words that make this chunk long enough", ["Head"]), ("k2", "p", "heading", "T", "short", ["T"])], "key string, path string, kind string, title string, body string, outline_path array<string>")

@@ -64,7 +64,7 @@ CONSTRUCTS: dict[str, re.Pattern] = {
     "markdown fence": re.compile(r"^[ \t]*(?P<f>```+|~~~+)[ \t]*(?P<lang>[\w+-]*)[ \t]*\n(?P<code>.*?)(?:^[ \t]*(?P=f)[ \t]*$|\Z)", re.M | re.S),
     "latex environment": re.compile(r"\\(?:begin|end)[ \t]*\{[^{}\n]*\}"),
     "latex display": re.compile(r"\$\$(?P<a>[^$]+)\$\$|\\\[(?P<b>.+?)\\\]", re.S),
-    "latex inline": re.compile(rf"\\\((?P<a>.+?)\\\)|(?<![\w$\\])\$(?P<b>[a-zA-Z]|(?![\s\d])(?=[^$\n]*(?:{_MATH}))[^$\n]{{1,200}}?(?<!\s))\$(?![\d$])"),
+    "latex inline": re.compile(rf"\\\((?P<a>.+?)\\\)|(?<![\w$\\])\$(?P<b>[a-zA-Z]|(?![\s\d])(?=[^$\n]*(?:{_MATH}))[^$\n]+?(?<!\s))\$(?![\d$])"),
     "latex heading": re.compile(r"\\(?P<level>part|chapter|section|subsection|subsubsection|paragraph|title)\*?[ \t]*\{(?P<a>[^{}\n]*)\}"),
     "latex command": re.compile(rf"(?<![\w\\:])\\(?P<name>[a-zA-Z]+)\*?(?:[ \t]*\[[^\[\]\n]*\])?(?:\{{(?P<a>[^{{}}\n]*)\}})+|(?<![\w\\:])\\(?P<bare>{BARE})(?![a-zA-Z\\])"),
     "latex escape": re.compile(r"(?<![\\\w:])\\(?P<a>[%&$#_{}])|(?<=\d)\\,\\?(?P<b>%?)"),

@@ -32,7 +32,7 @@ SAMPLE = 2000
 #: More common words than this are refused, for they are sent to every worker.
 MAX_COMMON = 100_000
 
-_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,2000}>", re.S)
+_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
 _ENTITY = re.compile(r"&(?:#\w{1,8}|[a-zA-Z]\w{1,30});")
 _COMMAND = re.compile(r"\\[a-zA-Z]+\*?|[{}]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")

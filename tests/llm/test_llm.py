@@ -213,6 +213,18 @@ def test_quality(spark, trained):
     assert quality.measure(frame(spark, [], "key string, text string"), ["key"], "text", model, common).count() == 0
 
 
+def test_long_tags_and_formulas(trained):
+    image = '<img alt="x" src="data:image/png;base64,' + "iVBORw0KGgo/AAAA+" * 3000 + '">'
+    assert quality.plain(f"a {image} b") == "a   b" and quality.plain("a <b " + "x" * 9000) == "a <b " + "x" * 9000
+    _, common, model, _ = trained
+    clean = prose(random.Random(5), "en", 30)
+    label = lambda t: model.label([quality.describe(u, common.packed())[0] for u in quality.units(quality.plain(t))])
+    assert set(label(clean + "\n" + image)) == {quality.PROSE}
+    formula = "x_1 + " * 100 + "x_2"
+    assert markup.convert(f"let ${formula}$ be") == (f"let \\({formula}\\) be", ["latex inline"])
+    assert markup.convert("costs $20 or " + "more " * 100 + "$71 to $80")[1] == []
+
+
 def test_language(spark, trained):
     _, common, model, langs = trained
     rng = random.Random(4)

@@ -37,6 +37,10 @@ select distinct model_id, least(a, b) as digest_a, greatest(a, b) as digest_b fr
     "p7_found": f"with {_RECORDS} select distinct tab, rec_key from r where length(trim(text, {_SPACE})) > {LIMIT}",
     "p9_found": f"""with d as (select doc_id, {words('text')} as w from documents), e as (select item_id, {words('text')} as w from eval_items),
 x as ({grams('d', 'doc_id', 12)}), y as ({grams('e', 'item_id', 12)}) select distinct doc_id, item_id from x join y on x.g = y.g""",
+    "p10_shares": f"""with d as (select doc_id, {words('text', False)} as w from documents), s as (select doc_id, len(w) as n, greatest(0, len(w) - 4) as q from d),
+g as ({grams('d', 'doc_id', 5)}), c as (select doc_id, count(*) as c from g group by doc_id)
+select s.doc_id, n as words, q as sequences, coalesce(c, 0) as distinct_sequences, round(case when q > 0 then 1 - coalesce(c, 0) / q else 0 end, 6) as repeated_share,
+ n >= 50 and q > 0 and 1 - coalesce(c, 0) / q >= 0.3 - 1e-12 as repetitive from s left join c on c.doc_id = s.doc_id""",
     "p10_found": f"""with d as (select doc_id, {words('text', False)} as w from documents), s as (select doc_id, w, len(w) - 4 as n from d where len(w) >= 50),
 g as ({grams('s', 'doc_id, n', 5)}) select doc_id from (select doc_id, n, count(*) as c from g group by doc_id, n) where 1 - c / n >= 0.3 - 1e-12""",
 }

@@ -116,6 +116,12 @@ def p10_lines(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(table(spark, folder, "documents", "doc_id", "text"), cleaned=True)
 
 
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of repeated content of every document."""
+    got = repetition.measure(table(spark, folder, "documents", "doc_id", "text"))
+    return got.select("doc_id", "words", "sequences", "distinct_sequences", F.round("repeated_share", 6).alias("repeated_share"), "repetitive")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

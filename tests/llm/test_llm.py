@@ -454,22 +454,44 @@ def test_repetition(spark):
     assert {r["doc_id"] for r in repetition.found(df).collect()} == want and 200 in want
     for r in repetition.measure(df).collect():
         assert r["repeated_share"] == pytest.approx(share(dict(rows)[r["doc_id"]])[0])
-    lines = repetition.measure(frame(spark, [(1, "Home\nsay this line of eight words here now.\nsay this line of eight words here now.\n")], "doc_id long, text string")).first()
-    assert lines["navigation_lines"] == 1 and lines["repeated_lines"] == 1 and lines["n_lines"] == 3
+    lines = repetition.measure(frame(spark, [(1, "Heim\nsay this line of eight words here now.\nsay this line of eight words here now.\n")], "doc_id long, text string")).first()
+    assert lines["open_lines"] == 1 and lines["repeated_lines"] == 1 and lines["n_lines"] == 3 and lines["punctuation_lines"] == 0
     assert repetition.found(df.limit(0)).count() == 0
 
 
+def verdicts(text, rules=repetition.RULES):
+    lines = text.split("\n")
+    none = np.zeros(len(lines), int)
+    return repetition.judge(lines, none, none, 0.5, rules)
+
+
+def test_repetition_line_rules():
+    assert verdicts("Heim\nSuche\nÜber uns\nA whole sentence stands here.") == ["punctuation"] * 3 + [None]
+    assert verdicts("A heading\nA whole sentence stands here.\nOther heading\nMore of it.") == [None] * 4
+    assert verdicts("- one\n- two\n- three\n* Head\n* Two\n* Three\n1. a\n2. b\n3. c") == [None] * 9
+    assert verdicts("Главная | Поиск | Вход | Помощь")[0] == "navigation" and verdicts("| a | b | c | d |")[0] is None and verdicts("a > b and c < d holds.")[0] is None
+    assert verdicts("© 2020 Jemand. Alle Rechte.")[0] == "boilerplate" and verdicts("https://x.example/a me@x.example")[0] == "boilerplate" and verdicts("see https://x.example/a")[0] is None
+    assert verdicts("Page 1 of it here now.\nPage 22 of it here now.\nPage 3 of it here now.") == ["boilerplate"] * 3
+    assert verdicts("Heim\nSuche\nWeg", ("navigation",)) == [None] * 3 and verdicts("") == [None] and verdicts(" \n\t") == [None, None]
+
+
 def test_repetition_cleaning(spark):
     once = [f"{a} {b} {c} stands here." for a, b, c in zip("red blue green brown".split(), "house garden river tree".split(), "old new wide tall".split())]
     said = "the same eight words are said over again."
     bars = ["one | two | three | four", "five | six | seven | eight", "nine | ten | eleven | twelve"]
-    text = "\n".join(["Home", *once, "", said, said, "A heading"])
+    text = "\n".join(["Home", "Back", "Next page", *once, "", said, said, "A heading"])
     menu = "\n".join([*bars, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi omikron pi rho sigma tau."] + [f"{x} | {x}b | {x}c | {x}d" for x in map(chr, range(97, 110))])
-    rows = [(1, text), (2, menu), (3, None), (4, ""), (5, "Home\nNext"), (6, LONG)]
+    rows = [(1, text), (2, menu), (3, None), (4, ""), (5, "Home\nNext\nBack"), (6, LONG)]
     got = {r["doc_id"]: r for r in repetition.measure(frame(spark, rows, "doc_id long, text string"), cleaned=True).collect()}
     assert got[1]["cleaned"] == "\n".join([*once, "", said, "A heading"]) and not got[1]["rejected"]
-    assert got[1]["lost_share"] == pytest.approx((4 + len(said)) / sum(len(x) for x in text.split("\n")))
+    assert got[1]["lost_share"] == pytest.approx((17 + len(said)) / sum(len(x) for x in text.split("\n")))
     assert got[2]["rejected"] and not got[2]["repetitive"] and got[2]["cleaned"].startswith("alpha beta") and "|" not in got[2]["cleaned"]
     assert got[3]["cleaned"] is None and got[4]["cleaned"] == "" and got[5]["cleaned"] == "" and not got[5]["rejected"]
     assert got[6]["rejected"] and got[6]["repetitive"]
+    # a document is rejected by what the line rules remove
+    without = {r["doc_id"]: r for r in repetition.measure(frame(spark, rows, "doc_id long, text string"), rules=("punctuation", "repetition"), cleaned=True).collect()}
+    assert not without[2]["rejected"] and without[2]["cleaned"] == menu and without[6]["rejected"]
+    assert not any(r["rejected"] for r in repetition.measure(frame(spark, rows, "doc_id long, text string"), rules=("punctuation",)).collect())
+    with pytest.raises(ValueError):
+        repetition.measure(frame(spark, rows, "doc_id long, text string"), rules=("other",))
     assert {r["doc_id"] for r in repetition.found(frame(spark, rows, "doc_id long, text string")).collect()} == {6}

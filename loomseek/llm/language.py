@@ -61,7 +61,7 @@ def codewords(classes: int) -> np.ndarray:
 
 
 def _grams(word: str) -> np.ndarray:
-    s = f"^{word[:40]}$"
+    s = f"^{word}$"
     got = {s} | {s[i : i + n] for n in (1, 2, 3, 4) for i in range(len(s) - n + 1)}
     return np.fromiter((xxhash.xxh32_intdigest(g) % _FEATURES for g in got), np.int64, len(got))
 

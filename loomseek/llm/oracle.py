@@ -37,6 +37,12 @@ select distinct model_id, least(a, b) as digest_a, greatest(a, b) as digest_b fr
     "p7_found": f"with {_RECORDS} select distinct tab, rec_key from r where length(trim(text, {_SPACE})) > {LIMIT}",
     "p9_found": f"""with d as (select doc_id, {words('text')} as w from documents), e as (select item_id, {words('text')} as w from eval_items),
 x as ({grams('d', 'doc_id', 12)}), y as ({grams('e', 'item_id', 12)}) select distinct doc_id, item_id from x join y on x.g = y.g""",
+    "p9_matches": f"""with d as (select doc_id as k, {words('text')} as w from documents), e as (select item_id as k, {words('text')} as w from eval_items),
+x as (select k, i, array_to_string(w[i:i + 11], ' ') as g from (select k, w, unnest(range(1, len(w) - 10)) as i from d)), y as (select k, i, array_to_string(w[i:i + 11], ' ') as g from (select k, w, unnest(range(1, len(w) - 10)) as i from e)),
+h as (select x.k as doc_id, y.k as item_id, x.i as p, y.i as q from x join y on x.g = y.g),
+r as (select *, q - row_number() over (partition by doc_id, item_id, p - q order by q) as run from h),
+m as (select doc_id, item_id, count(*) + 11 as n, min(p) - 1 as p, min(q) - 1 as q from r group by doc_id, item_id, r.p - r.q, run)
+select doc_id, item_id, n as match_words, p as doc_word, q as item_word from m qualify row_number() over (partition by doc_id, item_id order by n desc, p, q) = 1""",
     "p10_shares": f"""with d as (select doc_id, {words('text', False)} as w from documents), s as (select doc_id, len(w) as n, greatest(0, len(w) - 4) as q from d),
 g as ({grams('d', 'doc_id', 5)}), c as (select doc_id, count(*) as c from g group by doc_id)
 select s.doc_id, n as words, q as sequences, coalesce(c, 0) as distinct_sequences, round(case when q > 0 then 1 - coalesce(c, 0) / q else 0 end, 6) as repeated_share,

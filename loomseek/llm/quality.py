@@ -33,7 +33,7 @@ SAMPLE = 2000
 MAX_COMMON = 100_000
 
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
-_ENTITY = re.compile(r"&(?:#\w{1,8}|[a-zA-Z]\w{1,30});")
+_ENTITY = re.compile(r"&(?:#\w+|[a-zA-Z]\w*);")
 _COMMAND = re.compile(r"\\[a-zA-Z]+\*?|[{}]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _BULLET = re.compile(r"\s*(?:[-+*•]\s|\[[ xX-]\]\s)")
@@ -41,7 +41,7 @@ _NUMBER = re.compile(r"\s*\(?\d{1,4}[.)]\s")
 _DELIMITED = re.compile(r"[|;\t]|,(?=\S)|\.{4}|::|=>|--")
 _BLANK = re.compile(r"\n[ \t]*\n")
 _DIGIT = re.compile(r"\d")
-_LONG = 200
+_MARK = re.compile(r"\s*(?:[-+*•]|\(?\w{1,4}[.)])")
 
 
 def plain(text: str) -> str:
@@ -63,7 +63,7 @@ def _even(line: str) -> bool:
 
 
 def units(text: str) -> list[str]:
-    """The lines that are not blank; broken lines of plain words are joined, long ones cut by sentences."""
+    """The sentences of the lines that are not blank; broken lines of plain words are joined. A list's mark stays with its item."""
     out, held = [], ""
     lines = text.split("\n")
     even = [_even(x) for x in lines] if len(lines) > 1 else [False]
@@ -74,10 +74,10 @@ def units(text: str) -> list[str]:
             held += line.strip() + " "
             continue
         line, held = held + line, ""
-        if len(line) > _LONG:
-            out += [s for s in _SENTENCE.split(line) if s.strip()]
-        else:
-            out.append(line)
+        parts = [s for s in _SENTENCE.split(line) if s.strip()]
+        if len(parts) > 1 and _MARK.fullmatch(parts[0]):
+            parts[:2] = [f"{parts[0]} {parts[1]}"]
+        out += parts
     return out
 
 
@@ -100,8 +100,8 @@ class Common:
             self.masks[w] = self.masks.get(w, 0) | 1 << self.langs.index(lang)
 
     def packed(self) -> Memo:
-        """Word -> its languages as counters of 16 bits, so that sums count each language."""
-        bits = {m: sum(1 << 16 * i for i in range(len(self.langs)) if m >> i & 1) for m in set(self.masks.values()) | {0}}
+        """Word -> its languages as counters of 32 bits, so that sums count each language."""
+        bits = {m: sum(1 << 32 * i for i in range(len(self.langs)) if m >> i & 1) for m in set(self.masks.values()) | {0}}
         return Memo(lambda w: bits[self.masks.get(fold(w), 0)], 300_000)
 
 
@@ -111,8 +111,8 @@ def read_common(df: DataFrame) -> Common:
     return Common(sorted((r["lang"], r["word"]) for r in rows))
 
 
-#: Sizes of the features of ``describe``.
-SIZES = (6, 3, 4, 3, 3, 4, 3, 3)
+#: Sizes of the features of ``describe``; the first joins the bins of common share (6) and words (4), as a share says more of more words.
+SIZES = (24, 3, 4, 3, 3, 3, 3)
 
 
 def describe(unit: str, packed: Memo) -> tuple[tuple[int, ...], int, int, int, int]:
@@ -124,8 +124,8 @@ def describe(unit: str, packed: Memo) -> tuple[tuple[int, ...], int, int, int, i
     counts = sum(map(packed.__getitem__, words))
     common = 0
     while counts:
-        common = max(common, counts & 0xFFFF)
-        counts >>= 16
+        common = max(common, counts & 0xFFFFFFFF)
+        counts >>= 32
     s = unit.strip()
     size = len(s) - s.count(" ") or 1
     symbols = max(0, size - letters - digits)
@@ -133,12 +133,11 @@ def describe(unit: str, packed: Memo) -> tuple[tuple[int, ...], int, int, int, i
     end = 1 if s[-1:] in ".!?…»\"”" else 2 if s[-1:] in ",;:" else 0
     delimiters = len(_DELIMITED.findall(s))
     code = (
-        bisect((0.06, 0.15, 0.24, 0.34, 0.45), common / n if n else 0.0),
+        4 * bisect((0.06, 0.15, 0.24, 0.34, 0.45), common / n if n else 0.0) + bisect((2, 5, 9), n),
         marker,
         bisect((0.07, 0.15, 0.35), symbols / size),
         bisect((0.05, 0.25), digits / size),
         end,
-        bisect((2, 5, 9), n),
         bisect((1, 3), delimiters),
         bisect((2.5, 8.5), letters / n if n else 0.0),
     )
@@ -147,7 +146,7 @@ def describe(unit: str, packed: Memo) -> tuple[tuple[int, ...], int, int, int, i
 
 def clear_label(code: tuple[int, ...]) -> int | None:
     """Label of a line whose kind is plain from its statistics."""
-    common, marker, symbols, digits, _, words, delimiters, length = code
+    (common, words), (marker, symbols, digits, _, delimiters, length) = divmod(code[0], 4), code[1:]
     if marker and symbols < 3 and digits < 2:
         return LIST
     if delimiters == 2 or digits == 2:
@@ -217,11 +216,15 @@ class LineModel:
 
 
 def draw(df: DataFrame, key: str, sample: int) -> list:
-    """About ``sample`` rows of df, at most twice as many, drawn by the hash of their keys; repeated rows once."""
+    """The rows with the smallest hashes, about ``sample`` of them and at most twice as many; repeated rows once.
+
+    The draw depends on the rows alone, not on their partitions.
+    """
     span = 1 << 30
     share = min(1.0, sample / max(1, df.count()))
-    drawn = df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)) < int(share * span)).limit(2 * sample).collect()
-    return sorted({tuple(str(v) for v in r): r for r in drawn}.values(), key=lambda r: tuple(str(v) for v in r))
+    first, rest = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)), F.xxhash64(*[F.col(c) for c in df.columns])
+    drawn = df.filter(first < int(share * span)).distinct().orderBy(first, rest).limit(2 * sample).collect()
+    return sorted(drawn, key=lambda r: tuple(str(v) for v in r))
 
 
 def train(df: DataFrame, text: str, key: str, common: Common, sample: int = SAMPLE) -> LineModel:

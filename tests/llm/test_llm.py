@@ -213,6 +213,22 @@ def test_quality(spark, trained):
     assert quality.measure(frame(spark, [], "key string, text string"), ["key"], "text", model, common).count() == 0
 
 
+def test_lines_of_any_length():
+    for n in (10, 60, 2000):
+        assert quality.units(f"{'ab ' * n}end. {'cd ' * n}end.") == [f"{'ab ' * n}end.", f"{'cd ' * n}end."]
+    assert quality.units("1. first one. second\n- a. b") == ["1. first one.", "second", "- a.", "b"] and quality.units("") == []
+    common = quality.Common([("de", "der"), ("en", "the")])
+    assert quality.describe("the der " * 70_000 + "the", common.packed())[4] == 70_001
+    assert len(language._grams("y" * 300 + "z" * 300)) > len(language._grams("y" * 300)) > 0
+    assert quality.plain("a &" + "b" * 90 + "; c") == "a   c"
+
+
+def test_draw_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(f"k{i % 40}", f"t{i}") for i in range(400)], "key string, text string")
+    got = [quality.draw(df.repartition(n), "key", 5) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) <= 10 and len(quality.draw(df, "key", 500)) == 400
+
+
 def test_long_tags_and_formulas(trained):
     image = '<img alt="x" src="data:image/png;base64,' + "iVBORw0KGgo/AAAA+" * 3000 + '">'
     assert quality.plain(f"a {image} b") == "a   b" and quality.plain("a <b " + "x" * 9000) == "a <b " + "x" * 9000
@@ -427,9 +443,24 @@ def test_leakage(spark):
     assert {r["doc_id"] for r in leakage.clean(df, it).collect()} == {d for d, _ in docs} - {d for d, _ in want}
     m = leakage.matches(df, it).filter("doc_id = 950 and item_id = 3").first()
     assert m["match_words"] == len(items[3][1].split()) and m["doc_word"] == 160_000
+    # several small blocks, one item larger than a block, and a passage that says itself again and again
+    huge = [(7, " ".join(f"u{i}" for i in range(3000)))] + [(20 + i, " ".join(f"v{i}x{j}" for j in range(15))) for i in range(20)] + [(50, "round and round " * 30)]
+    texts = [(1, " ".join(f"u{i}" for i in range(100, 2900))), (2, "x " + huge[5][1] + " y"), (3, "go round and round " * 400), (4, "round and round " * 12)]
+    got = leakage.matches(frame(spark, texts, "doc_id long, text string"), frame(spark, huge, "item_id long, text string"), block_chars=200)
+    assert {tuple(r) for r in got.collect()} == {(1, 7, 2800, 0, 100), (2, 24, 15, 1, 0), (4, 50, 36, 0, 0)}
     assert leakage.found(df.limit(0), it).count() == 0 and leakage.found(df, it.limit(0)).count() == 0
 
 
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        lengths = rng.integers(0, 9, rng.integers(1, 7))
+        shard = leakage.SuffixShard(rng.integers(0, rng.integers(1, 6), int(lengths.sum())).astype(np.uint64), lengths)
+        text = shard.text.tolist()
+        suffixes = [text[p : text.index(0, p)] for p in shard.order]
+        assert suffixes == sorted(suffixes) and sorted(shard.order) == list(range(len(text)))
+
+
 # p10
 
 

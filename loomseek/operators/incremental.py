@@ -1,9 +1,15 @@
 """Records that are new or changed since the last successful run (problem 6).
 
-The state that the last successful runs left, and the state found now, become
-two versions of one table (``manifest``); the records to process are the rows
-added between them. The inputs are plain tables, so joins of both states say
-what is committed as the second version; what is gone now is removed in it.
+A ``Ledger`` is a persistent pair of versioned tables (``manifest``): the state
+of all records, of which every look publishes a new version, and the records
+handed to runs. What a run must process is the difference between the state's
+manifests since the version that the last successful run had processed; its
+rows and that version are published in one commit, so a run that fails before
+it is repeated whole and none is repeated after it.
+
+The inputs here are plain tables, so ``pending`` starts a ledger whose first
+version is what the log says was processed, and marks it as processed; the
+present state is the second version, and a run takes up the difference.
 
 Sources: the observation of a path with the latest seen_at counts (of equal
 ones the greatest digest); a null digest there means unreadable and is no
@@ -16,11 +22,13 @@ is ignored; repeated rows count once; empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomseek.operators.manifest import VersionedTable
+from loomseek.operators.manifest import Manifest, VersionedTable, run_incremental
 from loomseek.session import fresh_path
 
 STATE = T.StructType([T.StructField(n, T.StringType()) for n in ("tab", "rec_key", "root", "digest")])
@@ -56,21 +64,62 @@ def texts(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit("chunks").alias("tab"), F.col("text_digest").alias("rec_key"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("string").alias("digest"))
 
 
+DELTA = T.StructType([*STATE.fields, T.StructField("change", T.StringType()), T.StructField("state_version", T.LongType())])
+
+
+class Ledger:
+    """What is known of all records below ``path``, and what was handed to runs; both outlive the session."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.state = VersionedTable(spark, f"{path}/state", STATE)
+        self.taken = VersionedTable(spark, f"{path}/taken", DELTA)
+
+    def look(self, present: DataFrame) -> Manifest:
+        """Publish the present state as the next version."""
+        return self.state.commit(present, replace=True)
+
+    def processed(self) -> int:
+        """The version of the state that the last successful run processed."""
+        return self.taken.latest().processed.get(self.state.path, 0)
+
+    def start_at(self, version: int) -> None:
+        """Take a version for processed without a run."""
+        self.taken.commit(processed={self.state.path: version})
+
+    def run(self, work: Callable[[DataFrame], object] = lambda deltas: None) -> int:
+        """Hand what changed since the last successful run to ``work``, and commit it with the version if work returns; gives the commit's version."""
+        now = self.state.latest().version
+
+        def take(deltas: DataFrame) -> DataFrame:
+            rows = deltas.withColumn("state_version", F.lit(now).cast("long"))
+            work(rows)
+            return rows
+
+        return run_incremental(self.state, self.taken, take).version
+
+    def rows(self, version: int) -> DataFrame:
+        """The deltas that one run took up, whatever version its commit has."""
+        return self.taken.read(version).filter(F.col("state_version") == self.taken.manifest(version).processed.get(self.state.path, 0))
+
+
+def present(sources: DataFrame, chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """The state found now. A path that can't be read keeps the state it had in ``done``."""
+    had = done.filter("tab = 'sources'").select(F.col("rec_key").alias("path"), F.struct("root", "digest").alias("had"))
+    seen = observed(sources).join(had, "path", "left").filter("o.readable or had is not null")
+    now = F.when(F.col("o.readable"), F.struct("o.root", "o.digest")).otherwise(F.col("had"))
+    paths = seen.select("path", now.alias("now")).select(F.lit("sources").alias("tab"), F.col("path").alias("rec_key"), "now.root", "now.digest")
+    return paths.unionByName(texts(chunks.filter("text_digest is not null").select("text_digest").distinct()))
+
+
 def pending(sources: DataFrame, run_log: DataFrame, index_runs: DataFrame, chunks: DataFrame, vectors: DataFrame, model: str = "lantern-s") -> DataFrame:
     """Deltas (tab, rec_key, root, digest, change) between the processed state and the present one."""
     spark = sources.sparkSession
-    table = VersionedTable(spark, fresh_path(spark, "state"), STATE)
-    table.commit(logged(run_log, index_runs).unionByName(texts(usable(vectors, model))))
-    done = table.read(1)
-    digests = texts(chunks.filter("text_digest is not null").select("text_digest").distinct())
-    now = seen_now(sources).unionByName(digests)
-    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"d.{c}")) for c in STATE.fieldNames()]
-    new = now.alias("n").join(done.alias("d"), (F.col("n.tab") == F.col("d.tab")) & (F.col("n.rec_key") == F.col("d.rec_key")) & same[2] & same[3], "left_anti")
-    keys = ["tab", "rec_key"]
-    present = observed(sources).select(F.lit("sources").alias("tab"), F.col("path").alias("rec_key")).unionByName(digests.select(*keys))
-    gone = done.select(*keys).join(present, keys, "left_anti")
-    table.commit(new, new.select(*keys).unionByName(gone), keys)
-    return table.changes(1, 2)
+    ledger = Ledger(spark, fresh_path(spark, "ledger"))
+    first = ledger.look(logged(run_log, index_runs).unionByName(texts(usable(vectors, model))))
+    ledger.start_at(first.version)
+    ledger.look(present(sources, chunks, ledger.state.read(first.version)))
+    ledger.run()
+    return ledger.taken.read().drop("state_version")
 
 
 def found(*tables: DataFrame) -> DataFrame:

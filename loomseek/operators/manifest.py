@@ -2,10 +2,12 @@
 
 A version is a manifest: the data files it is made of and the deletion vectors
 (file, row index) that apply to them. A commit writes new files first and then
-publishes its manifest under the next number by a rename that fails if another
-commit took the number. What a commit wrote but never published is invisible.
-Two versions differ in added files, removed files and added deletion vectors;
-``changes`` turns that into record deltas and reads nothing else.
+publishes its manifest under the next number, which only one commit can take.
+What a commit wrote but never published is invisible. ``changes`` follows the
+manifests from one version to another: added files, dropped files and new
+deletion vectors yield record deltas, and nothing else is read. Versions that
+only rewrite files (``compact``) change no record. A record that was both
+added and removed on the way nets out.
 
 A job that consumes a table keeps the version it has processed in the manifest
 of its own output, so output and progress are published together: a run that
@@ -15,6 +17,7 @@ fails before is repeated whole, one that succeeded is never repeated.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -29,12 +32,13 @@ class CommitConflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Manifest:
-    """One version: file names, folders of deletion vectors, and processed versions of other tables."""
+    """One version: file names, folders of deletion vectors, processed versions of other tables, and whether records changed in it."""
 
     version: int
     files: tuple[str, ...] = ()
     deletions: tuple[str, ...] = ()
     processed: dict[str, int] = field(default_factory=dict)
+    changed: bool = True
 
 
 class VersionedTable:
@@ -69,21 +73,37 @@ class VersionedTable:
         finally:
             stream.close()
         d = json.loads(text)
-        return Manifest(d["version"], tuple(d["files"]), tuple(d["deletions"]), d["processed"])
+        return Manifest(d["version"], tuple(d["files"]), tuple(d["deletions"]), d["processed"], d.get("changed", True))
 
     def _publish(self, m: Manifest) -> Manifest:
-        if self._fs.exists(self._at(self._name(m.version))):
-            raise CommitConflict(f"version {m.version} exists")
-        draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
+        """Put the manifest in its place, whole and only if the number is free.
+
+        On a file system of the machine or mounted on it a hard link does that
+        in one step, elsewhere a rename that doesn't overwrite, which is atomic
+        on HDFS. A store without either must have one writer at a time.
+        """
+        draft, name = f"{self.path}/drafts/{uuid.uuid4().hex}", self._name(m.version)
         out = self._fs.create(self._at(draft), False)
         try:
             out.write(bytearray(json.dumps(asdict(m)).encode()))
         finally:
             out.close()
         self._fs.mkdirs(self._at(f"{self.path}/manifests"))
-        if self._fs.exists(self._at(self._name(m.version))) or not self._fs.rename(self._at(draft), self._at(self._name(m.version))):
+        try:
+            if self._fs.getScheme() == "file":
+                here = lambda p: self._at(p).toUri().getPath()
+                os.link(here(draft), here(name))
+            else:
+                hadoop = self.spark._jvm.org.apache.hadoop.fs
+                context = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+                context.rename(self._at(draft), self._at(name), none)
+        except Exception as e:
+            if self._fs.exists(self._at(name)):
+                raise CommitConflict(f"version {m.version} exists") from e
+            raise
+        finally:
             self._fs.delete(self._at(draft), False)
-            raise CommitConflict(f"version {m.version} exists")
         return m
 
     # data --------------------------------------------------------------------
@@ -114,37 +134,58 @@ class VersionedTable:
         m = self.latest() if version is None else self.manifest(version)
         return self._alive(m.files, m.deletions).drop("_file", "_row")
 
-    def commit(self, added: DataFrame | None = None, removed: DataFrame | None = None, keys: list[str] | None = None, processed: dict[str, int] | None = None) -> Manifest:
-        """Publish the next version: without the rows whose keys are in ``removed``, with the rows ``added``."""
+    def commit(self, added: DataFrame | None = None, removed: DataFrame | None = None, keys: list[str] | None = None, processed: dict[str, int] | None = None, replace: bool = False) -> Manifest:
+        """Publish the next version: without the rows whose keys are in ``removed``, or with ``replace`` without all rows, and with the rows ``added``."""
         last = self.latest()
-        files, deletions = list(last.files), list(last.deletions)
+        files, deletions = ([], []) if replace else (list(last.files), list(last.deletions))
         if removed is not None and files:
             gone = self._alive(last.files, last.deletions).join(removed.select(*keys).distinct(), keys, "left_semi")
             deletions.append(self._write(gone.select("_file", "_row"), "deletions")[0])
         if added is not None:
             files += self._write(added.select(*self.schema.fieldNames()), "data")[1]
-        return self._publish(Manifest(last.version + 1, tuple(files), tuple(deletions), last.processed | (processed or {})))
+        changed = bool(added is not None or removed is not None or replace)
+        return self._publish(Manifest(last.version + 1, tuple(files), tuple(deletions), last.processed | (processed or {}), changed))
 
     def compact(self) -> Manifest:
         """Publish the same rows in new files without deletion vectors."""
         last = self.latest()
-        return self._publish(Manifest(last.version + 1, tuple(self._write(self.read(last.version), "data")[1]), (), last.processed))
+        return self._publish(Manifest(last.version + 1, tuple(self._write(self.read(last.version), "data")[1]), (), last.processed, False))
+
+    def _net(self, deltas: DataFrame) -> DataFrame:
+        """Deltas without the pairs of one added and one removed equal record."""
+        names = self.schema.fieldNames()
+        plain = not any("map" in f.dataType.simpleString() for f in self.schema)
+        key = [F.col(n) for n in names] if plain else [F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("_key")]
+        rest = [] if plain else [F.first(n).alias(n) for n in names]
+        n = F.sum(F.when(F.col("change") == "added", 1).otherwise(-1))
+        left = deltas.groupBy(*key).agg(n.alias("_n"), *rest).filter("_n != 0")
+        change = F.when(F.col("_n") > 0, "added").otherwise("removed").alias("change")
+        return left.select(*names, change, F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_k")).drop("_k")
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
-        """Record deltas (the table's columns, change = added or removed) between two versions."""
-        a = self.manifest(since)
-        b = self.latest() if until is None else self.manifest(until)
-        new = [f for f in b.files if f not in set(a.files)]
-        old = [f for f in a.files if f not in set(b.files)]
-        kept = [f for f in a.files if f in set(b.files)]
-        vectors = [d for d in b.deletions if d not in set(a.deletions)]
-        out = self._alive(new, b.deletions).withColumn("change", F.lit("added"))
-        if old:
-            out = out.unionByName(self._alive(old, a.deletions).withColumn("change", F.lit("removed")))
-        if vectors and kept:
-            gone = self._scan(kept).join(self._vectors(vectors), ["_file", "_row"], "left_semi")
-            out = out.unionByName(gone.withColumn("change", F.lit("removed")))
-        return out.drop("_file", "_row")
+        """Record deltas (the table's columns, change = added or removed) between two versions, from what their manifests and those between say."""
+        last = self.latest() if until is None else self.manifest(until)
+        before = self.manifest(since)
+        new: list[str] = []
+        out: list[DataFrame] = []
+        for version in range(since + 1, last.version + 1):
+            m = self.manifest(version)
+            if m.changed:
+                had, has = set(before.files), set(m.files)
+                new += [f for f in m.files if f not in had]
+                if dropped := [f for f in before.files if f not in has]:
+                    out.append(self._alive(dropped, before.deletions))
+                vectors = [d for d in m.deletions if d not in set(before.deletions)]
+                if vectors and had & has:
+                    out.append(self._scan([f for f in before.files if f in has]).join(self._vectors(vectors), ["_file", "_row"], "left_semi"))
+            before = m
+        added = self._scan(new).withColumn("change", F.lit("added")).drop("_file", "_row")
+        if not out:
+            return added
+        deltas = added
+        for part in out:
+            deltas = deltas.unionByName(part.withColumn("change", F.lit("removed")).drop("_file", "_row"))
+        return self._net(deltas)
 
 
 def run_incremental(source: VersionedTable, target: VersionedTable, work: Callable[[DataFrame], DataFrame], removed_keys: list[str] | None = None) -> Manifest:

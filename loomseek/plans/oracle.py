@@ -146,11 +146,16 @@ select coalesce(least(ceil(o / 100.0) * 100, {most}, n), least(n, {most}))::int
 P6 = f"""with {RUNS} select 'sources' as tab, n.path as rec_key from n left join l on n.path = l.path where l.path is null or l.digest is distinct from n.digest or l.root is distinct from n.root
 union select 'chunks', text_digest from chunks where text_digest is not null and text_digest not in (select text_digest from vectors where model_id = '{MODEL}' and text_digest is not null and vector is not null and len(vector) = dim
  and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0)"""
+P6_CHANGES = f"""with {RUNS}, d as (select 'sources' as tab, path as rec_key, root, digest from l union select 'chunks', text_digest, null, null from vectors where model_id = '{MODEL}' and text_digest is not null and vector is not null and len(vector) = dim
+ and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0),
+p as (select 'sources' as tab, path as rec_key, root, digest from n union select 'sources', path, root, digest from l where path in (select path from sources) and path not in (select path from n) union select 'chunks', text_digest, null, null from chunks where text_digest is not null)
+select *, 'added' as change from (select * from p except select * from d) union all select *, 'removed' from (select * from d except select * from p)"""
 DIFF = f"""with {RUNS}, d as (select coalesce(n.path, l.path) as path, case when l.path is null then 'added' when n.path is null then 'removed'
  when l.digest is not distinct from n.digest and l.root is not distinct from n.root then 'unchanged' else 'changed' end as status from n full join l on n.path = l.path)"""
 
 SQL: dict[str, str] = {
     "p6_found": P6,
+    "p6_changes": P6_CHANGES,
     "point_lookup_path": _select("key, kind, level", f"path = '{INBOX}'"),
     "point_lookup_id": _select("key, org_id", "org_id < '8'"),
     "snippet_prefix160": _select("key, substr(body, 1, 160) as snippet"),

@@ -166,6 +166,67 @@ def test_versions(spark, tmp_path):
     last = t.latest()
     with pytest.raises(CommitConflict):
         t._publish(last)
+    # a compaction changes no record, also if records change after it
+    assert t.changes(2, 3).count() == 0 and t.changes(0, 3).count() == 3
+    t.commit(rows(spark, (9, "z")), rows(spark, (1, None)), ["k"])
+    assert sorted(map(tuple, t.changes(2).collect())) == [(1, "a", "removed"), (9, "z", "added")]
+    assert sorted((r["k"], r["change"]) for r in t.changes(1).collect()) == [(1, "removed"), (2, "added"), (2, "removed"), (2, "removed"), (3, "added"), (9, "added")]
+    # what comes and goes between two versions is no change; nor is an equal row in a new file
+    t.commit(rows(spark, (7, "q")))
+    t.commit(rows(spark, (2, "c"), (3, None), (9, "z"), (9, "z")), replace=True)
+    assert sorted(map(tuple, t.changes(4).collect())) == [(9, "z", "added")] and t.read().count() == 4
+
+
+def test_changes_of_maps(spark, tmp_path):
+    kind = T.StructType([T.StructField("k", T.LongType()), T.StructField("m", T.MapType(T.StringType(), T.StringType()))])
+    t = VersionedTable(spark, str(tmp_path / "t"), kind)
+    t.commit(spark.createDataFrame([(1, {"a": "x"}), (2, None)], kind))
+    t.commit(spark.createDataFrame([(1, {"a": "x"}), (3, {"a": None})], kind), replace=True)
+    assert sorted((r["k"], r["m"], r["change"]) for r in t.changes(1).collect()) == [(2, None, "removed"), (3, {"a": None}, "added")]
+
+
+def test_two_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from loomseek.operators.manifest import Manifest
+
+    t = VersionedTable(spark, str(tmp_path / "t"), KV)
+
+    def publish(i):
+        try:
+            return t._publish(Manifest(1, (), (), {"writer": i})).processed["writer"]
+        except CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(publish, range(40)) if i is not None]
+    assert len(won) == 1 and t.latest().processed == {"writer": won[0]}
+
+
+def test_ledger(spark, tmp_path):
+    at = f"file://{tmp_path}/ledger"
+    state = lambda *r: spark.createDataFrame([("chunks", k, None, d) for k, d in r], incremental.STATE)
+    ledger = incremental.Ledger(spark, at)
+    ledger.look(state(("a", "1"), ("b", "1")))
+    seen = lambda version: sorted((r["rec_key"], r["digest"], r["change"]) for r in ledger.rows(version).collect())
+    first = ledger.run()
+    assert seen(first) == [("a", "1", "added"), ("b", "1", "added")]
+    ledger.look(state(("a", "1"), ("b", "2")))
+
+    def fails(deltas):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ledger.run(fails)
+    ledger = incremental.Ledger(spark, at)  # another session
+    ledger.look(state(("a", "1"), ("b", "2"), ("c", "1")))
+    ledger.state.compact()
+    taken = []
+    second = ledger.run(lambda d: taken.append(d.count()))
+    assert seen(second) == [("b", "1", "removed"), ("b", "2", "added"), ("c", "1", "added")] and taken == [3] and ledger.processed() == 4
+    assert ledger.run() == second and ledger.taken.read().count() == 5
+    ledger.look(state(("a", "1"), ("b", "2"), ("c", "1")))
+    assert seen(ledger.run()) == []
 
 
 def test_incremental_runs_survive_failure(spark, tmp_path):

@@ -1,30 +1,35 @@
 """Near-duplicate records by word n-gram sets (problem 2).
 
-Exact similarity join: of each record the set of its n-grams (sequences of
-``n`` consecutive words) is ordered rare-first and only a prefix of it is
-joined. Rarity is that of the n-gram's words over all records. Two records are
-candidates if their prefixes share enough n-grams, and if sizes (length
-filter) and places of the shared n-grams (positional filter) still allow the
-similarity; candidates are then verified once on their texts, after a suffix
-filter over halves of the sets.
-
-Scale: the n-gram itself carries its rank, so the only large shuffle is that
-of the prefixes; a hot n-gram is split by adaptive skew joins and comes last
-in every prefix. Records of equal sets are one class, joined once and expanded
-at the end. Broadcast is only the table of words with a share of at least
-``1 / MAX_WORDS`` of all words, which are at most MAX_WORDS.
+Exact similarity join. Every text is read once: the set of hashes of its
+n-grams (sequences of ``n`` consecutive words) is written, and a sketch of the
+n-grams that many records hold. Each set is ordered rare-first and only a
+prefix of it is joined, so long that two similar sets share SHARED n-grams of
+their prefixes at least. Of the records that meet at an n-gram those pairs go
+on whose sizes (length filter) and places of the n-gram (positional filter)
+allow the similarity; then those that met often enough; then those whose sets
+are not too far apart (suffix filter: a lower bound of the Hamming distance,
+summed over hash ranges, from 64 bytes a set). Only for those the sets are
+brought together, and each pair is verified once.
+
+Scale: records of equal sets are one class, joined once and expanded at the
+end. The sketch is of the frequent-items kind: a task counts with a bounded
+number of counters, and the n-grams with a share of at least 1 / MAX_HOT of
+all are known afterwards, at most MAX_HOT. They come last in every set, so one
+of them is in a prefix only if most of its record is as frequent. Such an
+n-gram is cut into tiles of about TILE classes, each joined by itself with
+each other one; no task gets a whole hot n-gram. Classes with a share of at
+least a thousandth of all records are salted where members are joined.
 
 Words are maximal runs of letters or digits in lower case. A record with fewer
-than ``n`` words - null and empty texts too - is similar to none. Rows that
-repeat a key count once; if they differ in text, the key is similar to what
-any of its texts is similar to, and never to itself.
+than ``n`` words - null and empty texts too - is similar to none. n-grams are
+compared by hashes, of 40 bits inside a pair. Rows that repeat a key count
+once; if they differ in text, the key is similar to what any of its texts is
+similar to, and never to itself.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,39 +39,20 @@ from pyspark.sql import functions as F
 from loomseek.llm.words import ALNUM, flat, mix, ngrams, word_hashes
 from loomseek.session import cut
 
-#: Bound of the broadcast word table.
-MAX_WORDS = 100_000
+#: Bound of the table of hot n-grams, counters of a task, and classes of a tile.
+MAX_HOT, COUNTERS, TILE = 100_000, 400_000, 20_000
 #: Shared prefix n-grams that make a candidate; prefixes are longer by one less.
 SHARED = 3
-_HASH_BITS = 48
-
-
-def _salt(tab: str) -> np.uint64:
-    return np.uint64(word_hashes()[f"tab:{tab}"])
-
-
-def _sets(tabs: list, texts: list, n: int, memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """n-gram hashes salted by tab, their records, their places, all word hashes, and the word lists."""
-    lists = [ALNUM.findall(t.lower()) if t else [] for t in texts]
-    values, lengths = flat(([memo[w] for w in x] for x in lists), np.uint64)
-    grams, owner, at = ngrams(values, lengths, n)
-    salts = np.array([_salt(t) for t in dict.fromkeys(tabs)], np.uint64)
-    code = {t: i for i, t in enumerate(dict.fromkeys(tabs))}
-    grams = grams ^ salts[np.array([code[t] for t in tabs], np.int64)[owner]] if len(grams) else grams
-    return grams, owner, at, values, lists
+#: Bytes of an n-gram's hash in a stored set, and hash ranges of the suffix filter.
+_BYTES, _RANGES = 5, 512
+#: Pairs unfolded at a time.
+_ROOM = 1_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _set_ids(grams: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-    """Id of each record's set of n-grams, from distinct (record, n-gram) pairs."""
-    total = np.zeros(size, np.uint64)
-    np.add.at(total, owner, mix(grams))
-    return _signed(mix(total))
-
-
 def _distinct(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of the distinct (record, key) pairs, sorted."""
     order = np.lexsort((keys, owner))
@@ -76,184 +62,290 @@ def _distinct(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order[np.concatenate(([True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])))]
 
 
-def stage(df: DataFrame, n: int) -> DataFrame:
-    """One written table with the word counts (word, n) and the records' sets (sid, tab, rec_key)."""
+def _sets(tabs: list, texts: list, n: int, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams (40 bits, salted by tab), sorted inside each record, and their records."""
+    values, lengths = flat(([memo[w] for w in ALNUM.findall(t.lower())] if t else [] for t in texts), np.uint64)
+    grams, owner, _ = ngrams(values, lengths, n)
+    names = {t: i for i, t in enumerate(dict.fromkeys(tabs))}
+    salts = np.array([memo[f"tab:{t}"] for t in names], np.uint64)
+    if len(grams):
+        grams = (grams ^ salts[np.array([names[t] for t in tabs], np.int64)[owner]]) >> np.uint64(64 - 8 * _BYTES)
+    once = _distinct(owner, grams)
+    return grams[once], owner[once]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = word_hashes(), Counter()
-        names = ["word", "n", "sid", "tab", "rec_key"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-        def words() -> pa.RecordBatch:
-            none = pa.nulls(len(counts))
-            cols = [pa.array(list(counts), kinds[0]), pa.array(list(counts.values()), kinds[1]), *(none.cast(k) for k in kinds[2:])]
-            return pa.RecordBatch.from_arrays(cols, names=names)
+def _pack(grams: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary of _BYTES per n-gram for each set."""
+    data = grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _BYTES :].tobytes()
+    offsets = np.concatenate(([0], np.cumsum(sizes))) * _BYTES
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
-        for batch in batches:
-            tabs, keys, texts = (c.to_pylist() for c in batch.columns)
-            grams, owner, _, _, lists = _sets(tabs, texts, n, memo)
-            counts.update(chain.from_iterable(lists))
-            once = _distinct(owner, grams)
-            ids = _set_ids(grams[once], owner[once], len(tabs))
-            has = np.flatnonzero(np.bincount(owner, minlength=len(tabs)))
-            take = pa.array(has)
-            none = pa.nulls(len(has))
-            yield pa.RecordBatch.from_arrays([none.cast(kinds[0]), none.cast(kinds[1]), pa.array(ids[has]), batch.column(0).take(take), batch.column(1).take(take)], names=names)
-            if len(counts) > 500_000:
-                yield words()
-                counts = Counter()
-        yield words()
 
-    return cut(df.mapInArrow(run, "word string, n long, sid long, tab string, rec_key string"), "neardup-stage")
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, _BYTES)
+    full = np.zeros((len(raw), 8), np.uint8)
+    full[:, 8 - _BYTES :] = raw
+    return full.view(">u8").ravel().astype(np.uint64)
 
 
-def frequent_words(staged: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
-    """Coarse log-frequency of each word that makes up at least 1/most of all words."""
-    counts = staged.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    total = staged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, -(-total // most))
-    rows = counts.filter(F.col("n") >= least).collect()  # at most ``most`` rows
-    return {r["word"]: int(16 * np.log2(r["n"] / least)) + 1 for r in rows}
+def _marks(grams: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """For each set the hash ranges that it meets, as bits."""
+    bits = np.zeros((size, _RANGES), bool)
+    bits[owner, (mix(grams) % np.uint64(_RANGES)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
 
 
-def prefixes(df: DataFrame, ranks: dict[str, int], n: int, num: int, den: int) -> DataFrame:
-    """(gram, sid, pos, size): the rare-first prefix of each record's set.
+class _Sketch:
+    """Counts of the frequent n-grams, in a bounded number of counters; no count is too high."""
 
-    The leading bits of ``gram`` are its rank, so its order is the set's order.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    def __init__(self):
+        self.grams, self.counts, self.total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.total += len(grams)
+        new, n = np.unique(grams, return_counts=True)
+        both = np.concatenate((self.grams, new))
+        self.grams, at = np.unique(both, return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate((self.counts, n))).astype(np.int64)
+        if len(self.grams) > COUNTERS:
+            self.counts -= np.partition(self.counts, -COUNTERS - 1)[-COUNTERS - 1]
+            keep = self.counts > 0
+            self.grams, self.counts = self.grams[keep], self.counts[keep]
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.counts >= max(2, self.total // (2 * MAX_HOT))
+        return self.grams[keep], self.counts[keep]
+
+
+_STAGED = "hot long, n long, sid long, tab string, rec_key string, size int, marks binary, grams binary"
+
+
+def stage(df: DataFrame, n: int) -> DataFrame:
+    """One written table with the hot n-grams of each task (hot, n; with hot null: all its n-grams), the records' sets (sid, tab, rec_key), and once a task each set itself (size, marks, grams)."""
+    names = [x.split()[0] for x in _STAGED.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int32(), pa.binary(), pa.binary()]
+
+    def row_batch(**known) -> pa.RecordBatch:
+        size = len(next(iter(known.values())))
+        return pa.RecordBatch.from_arrays([known.get(k, pa.nulls(size)).cast(t) for k, t in zip(names, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, rank = word_hashes(), shared.value
+        memo, sketch = word_hashes(), _Sketch()
         said: set[int] = set()  # sets this task gave already
         for batch in batches:
-            tabs, _, texts = (c.to_pylist() for c in batch.columns)
-            grams, owner, at, values, lists = _sets(tabs, texts, n, memo)
-            weight = np.fromiter((rank.get(w, 0) for w in chain.from_iterable(lists)), np.int64, len(values))
-            total = sum(weight[at + k] for k in range(n)) if len(at) else at
-            top = np.minimum(total, (1 << (63 - _HASH_BITS)) - 1).astype(np.uint64)
-            keys = (top << np.uint64(_HASH_BITS)) | (grams >> np.uint64(64 - _HASH_BITS))
-            once = _distinct(owner, keys)
-            keys, own = keys[once], owner[once]
-            ids = _set_ids(grams[once], own, len(tabs))
-            size = np.bincount(own, minlength=len(tabs))
-            first = np.concatenate(([0], np.cumsum(size)))[:-1]
-            pos = np.arange(len(own)) - first[own]
-            least = -(-size * num // den)  # n-grams that a partner shares at least
+            tabs, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            grams, owner = _sets(tabs, texts, n, memo)
+            total = np.zeros(len(tabs), np.uint64)
+            np.add.at(total, owner, mix(grams))
+            ids, size = _signed(mix(total)), np.bincount(owner, minlength=len(tabs))
+            has = np.flatnonzero(size)
             new = np.zeros(len(tabs), bool)
-            for i in np.flatnonzero(size):
+            for i in has.tolist():
                 if (s := int(ids[i])) not in said:
                     said.add(s)
                     new[i] = True
             if len(said) > 2_000_000:
                 said.clear()
-            keep = (pos < (size - least + SHARED)[own]) & new[own]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys[keep])), pa.array(ids[own[keep]]), pa.array(pos[keep].astype(np.int32)), pa.array(size[own[keep]].astype(np.int32))], names=["gram", "sid", "pos", "size"])
+            sketch.add(grams[new[owner]])
+            full = np.where(new, size, 0)
+            marks = pa.array([m.tobytes() if k else None for m, k in zip(_marks(grams, owner, len(tabs)), new)], pa.binary())
+            packed = _pack(grams[new[owner]], full)
+            take = pa.array(has)
+            yield row_batch(sid=pa.array(ids[has]), tab=batch.column(0).take(take), rec_key=batch.column(1).take(take), size=pa.array(full[has]), marks=marks.take(take), grams=packed.take(take))
+        hot, counts = sketch.frequent()
+        yield row_batch(hot=pa.array(_signed(hot)), n=pa.array(counts))
+        yield row_batch(n=pa.array([sketch.total]))
+
+    return cut(df.mapInArrow(run, _STAGED), "neardup-stage")
 
-    return df.mapInArrow(run, "gram long, sid long, pos int, size int")
+
+def hot_grams(staged: DataFrame, most: int = MAX_HOT) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that are at least 1/most of all, sorted, and how many classes hold each, about."""
+    counts = staged.filter("n is not null").select("hot", "n").groupBy("hot").agg(F.sum("n").alias("n"))
+    total = counts.filter("hot is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.filter((F.col("n") >= max(2, -(-total // most))) & F.col("hot").isNotNull()).collect()  # at most ``most`` rows
+    rows.sort(key=lambda r: r["hot"])
+    return np.array([r["hot"] for r in rows], np.uint64), np.array([r["n"] for r in rows], np.int64)
+
+
+def prefixes(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], num: int, den: int, tile: int = TILE) -> DataFrame:
+    """(slot, sid, place): the rare-first prefix of each set. place holds the size, the position and the side in a tile.
+
+    A slot is an n-gram, or a pair of parts of a hot one.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value
+        for batch in batches:
+            ids, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            grams = np.concatenate([_unpack(x.as_py()) for x in batch.column(2)] or [np.empty(0, np.uint64)])
+            own = np.repeat(np.arange(len(ids)), size)
+            at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+            n = np.where(known[at] == grams, count[at], 0) if len(known) else np.zeros(len(grams), np.int64)
+            order = np.lexsort((mix(grams), n, own))
+            grams, n = grams[order], n[order]
+            pos = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            least = -(-size * num // den)  # n-grams that a partner shares at least
+            keep = pos < (size - least + SHARED)[own]
+            grams, n, pos, own = grams[keep], n[keep], pos[keep], own[keep]
+            parts = -(-n // tile)
+            place = (size[own] << 34) | (pos << 2)
+            sid, slot = ids[own], mix(grams)
+            cold = parts < 2
+            out = [(slot[cold], sid[cold], place[cold] | 2)]
+            for i in np.flatnonzero(~cold).tolist():  # the pairs of its own part with every part
+                k = int(parts[i])
+                mine = int(sid[i]) % k
+                others = np.arange(k)
+                low, high = np.minimum(mine, others).astype(np.uint64), np.maximum(mine, others).astype(np.uint64)
+                slots = mix(slot[i] ^ mix((low << np.uint64(32)) | high))
+                out.append((slots, np.full(k, sid[i]), place[i] | np.where(others == mine, 2, np.where(others > mine, 0, 1))))
+            cols = [np.concatenate(c) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(cols[0].astype(np.uint64))), pa.array(cols[1]), pa.array(cols[2])], names=["slot", "sid", "place"])
+
+    return sets.select("sid", "size", "grams").mapInArrow(run, "slot long, sid long, place long")
+
+
+def _meet(sid: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, start: np.ndarray, end: np.ndarray, num: int, den: int) -> Iterator[tuple]:
+    """(a, b, need) of the pairs of each group [start, end) that length and position allow; rows are sorted by group and size."""
+    group_end = np.repeat(end, end - start)
+    # partners stand behind a row and are not too large for it
+    row = np.arange(len(sid))
+    group = np.repeat(np.arange(len(start)), end - start)
+    scale = int(size.max()) * den + 1 if len(size) else 1
+    last = np.searchsorted(group * scale + size, group * scale + np.minimum(size * den // num, scale - 1), "right")
+    many = np.minimum(last, group_end) - row - 1
+    total = np.cumsum(many)
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _ROOM)))
+        k = many[a:b]
+        x = np.repeat(row[a:b], k)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        need = -(-(size[x] + size[y]) * num // (num + den))
+        room = np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
+        keep = (room >= need) & (sid[x] != sid[y]) & ((side[x] == 2) | (side[x] != side[y]))
+        x, y, need = x[keep], y[keep], need[keep]
+        yield np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), np.minimum(need, SHARED)
+        a = b
 
 
 def candidates(prefix: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of classes that may reach the similarity num/den."""
-    a = prefix.select("gram", F.col("sid").alias("a"), F.col("pos").alias("pa"), F.col("size").alias("na"))
-    b = prefix.select("gram", F.col("sid").alias("b"), F.col("pos").alias("pb"), F.col("size").alias("nb"))
-    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den))
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = a.join(b, "gram").filter(
-        (F.col("a") < F.col("b"))
-        & (F.col("na") * den >= F.col("nb") * num)
-        & (F.col("nb") * den >= F.col("na") * num)
-        & (F.least("pa", "pb") + rest >= need)
-    )
-    return (
-        pairs.select("a", "b", F.least(F.lit(SHARED), need).cast("int").alias("need"))
-        .groupBy("a", "b", "need")
-        .count()
-        .filter("count >= need")
-        .select("a", "b")
-    )
-
-
-def _similar(x: set, y: set, num: int, den: int) -> float | None:
-    """The sets' similarity if it is at least num/den."""
-    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-        return None
-    need = -(-(len(x) + len(y)) * num // (num + den))
-    # suffix filter: what the halves of the sets can share at most
-    odd_x, odd_y = sum(hash(g) & 1 for g in x), sum(hash(g) & 1 for g in y)
-    if min(odd_x, odd_y) + min(len(x) - odd_x, len(y) - odd_y) < need:
-        return None
-    same = len(x & y)
-    return same / (len(x) + len(y) - same) if same >= need else None
-
-
-def verify(pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b, text_a, text_b) that reach num/den."""
+    """(a, b) of classes that may reach the similarity num/den, by their prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((3, 0), np.int64)
+
+        def join(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            slot = rows[0]
+            same = np.concatenate(([False], slot[1:] == slot[:-1], [False]))
+            rows = rows[:, same[:-1] | same[1:]]  # what meets nothing goes
+            if not rows.shape[1]:
+                return
+            rows = rows[:, np.lexsort((rows[1], rows[2] >> 34, rows[0]))]
+            # a class that several tasks gave counts once
+            again = np.concatenate(([False], (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])))
+            slot, sid, place = rows[:, ~again]
+            new = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+            for a, b, need in _meet(sid, place >> 34, (place >> 2) & 0xFFFFFFFF, place & 3, new, np.concatenate((new[1:], [len(slot)])), num, den):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
+
+        for batch in batches:
+            rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
+            if not rows.shape[1]:
+                continue
+            whole = int(np.searchsorted(rows[0], rows[0, -1]))  # the last slot may go on
+            yield from join(rows[:, :whole])
+            held = rows[:, whole:]
+        yield from join(held)
+
+    met = prefix.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long, need int")
+    return met.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b")
+
+
+def near_enough(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The candidates (a, b) that pass the suffix filter on facts (sid, size, marks)."""
+    side = lambda x: facts.select(F.col("sid").alias(x), F.col("size").alias(f"size_{x}"), F.col("marks").alias(f"marks_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grams(text: str) -> set:
-            w = ALNUM.findall(text.lower())
-            return set(zip(*(w[k:] for k in range(n))))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = [batch.column(k).to_numpy().astype(np.int64) for k in (2, 4)]
+            marks = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 5)]
+            apart = np.bitwise_count(marks[0] ^ marks[1]).sum(axis=1).astype(np.int64)
+            need = -(-(size[0] + size[1]) * num // (num + den))
+            keep = pa.array((size[0] + size[1] - apart) // 2 >= need)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "size_a", "marks_a", "size_b", "marks_b").mapInArrow(run, "a long, b long")
 
-        last, held = None, set()
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach num/den by their sets (sid, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.empty(0, np.uint64)
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != last:
-                    last, held = b, grams(y)
-                s = _similar(grams(x), held, num, den)
-                if s is not None:
-                    rows.append((a, b, s))
+                    last, held = b, _unpack(y)
+                mine = _unpack(x)
+                same = len(np.intersect1d(mine, held, assume_unique=True))
+                if same * (num + den) >= num * (len(mine) + len(held)):
+                    rows.append((a, b, same / (len(mine) + len(held) - same)))
             cols = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def class_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> tuple[DataFrame, DataFrame]:
+def class_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Pairs of similar classes (a, b, similarity), and members (sid, tab, rec_key).
 
     df has tab, rec_key and text. The threshold is the fraction num/den.
     """
-    df = df.select("tab", "rec_key", "text").filter("rec_key is not null and text is not null")
-    staged = stage(df, n)
-    ranks = frequent_words(staged)
+    staged = stage(df.select("tab", "rec_key", "text").filter("rec_key is not null and text is not null"), n)
     members = staged.filter("sid is not null").select("sid", "tab", "rec_key").distinct()
-    pairs = cut(candidates(prefixes(df, ranks, n, num, den), num, den), "neardup-pairs")
-    # one record stands for each class of a candidate pair
+    sets = staged.filter("marks is not null").select("sid", "size", "marks", "grams")
+    met = cut(candidates(prefixes(sets, hot_grams(staged), num, den, tile), num, den), "neardup-met")
+    facts = sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("marks").alias("marks"))
+    pairs = cut(near_enough(met, facts, num, den), "neardup-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    chosen = staged.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("tab", "rec_key")).alias("r")).join(asked, "sid", "left_semi")
-    texts = with_sets(df, n).join(chosen.select("sid", "r.tab", "r.rec_key"), ["sid", "tab", "rec_key"], "left_semi").groupBy("sid").agg(F.first("text").alias("text"))
-    joined = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(verify(joined, n, num, den), "neardup-verified"), members
+    wanted = sets.select("sid", "grams").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
+    return cut(verify(pairs, wanted, num, den), "neardup-verified"), members
 
 
-def with_sets(df: DataFrame, n: int) -> DataFrame:
-    """df with the id of each record's set; records without one are left out."""
+def _salted(members: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """members with a salt that divides classes of at least a thousandth of all records, and the number of parts of those (at most a thousand classes)."""
+    total = members.count()
+    hot = members.groupBy("sid").count().filter(F.col("count") * 1000 >= max(total, 1000)).select("sid", (F.col("count") * 1000 / F.lit(max(total, 1))).cast("int").alias("parts"))
+    hot = F.broadcast(hot.filter("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    return members.join(hot, "sid", "left").select("*", F.pmod(F.xxhash64(by), parts).alias("salt")).drop("parts"), hot
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_hashes()
-        for batch in batches:
-            tabs, _, texts = (c.to_pylist() for c in batch.columns)
-            grams, owner, _, _, _ = _sets(tabs, texts, n, memo)
-            once = _distinct(owner, grams)
-            ids = _set_ids(grams[once], owner[once], len(tabs))
-            has = np.flatnonzero(np.bincount(owner, minlength=len(tabs)))
-            take = pa.array(has)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), *(c.take(take) for c in batch.columns)], names=["sid", "tab", "rec_key", "text"])
 
-    return df.select("tab", "rec_key", "text").mapInArrow(run, "sid long, tab string, rec_key string, text string")
+def _members(pairs: DataFrame, side: str, salted: DataFrame, hot: DataFrame) -> DataFrame:
+    """pairs with the records of one side's class."""
+    spread = pairs.join(hot.withColumnRenamed("sid", side), side, "left")
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - 1))).drop("parts")
+    mine = salted.select(F.col("sid").alias(side), "salt", F.col("tab").alias(f"tab_{side}"), F.col("rec_key").alias(f"key_{side}"))
+    return spread.join(mine, [side, "salt"]).drop("salt")
 
 
-def record_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
+def record_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2, tile: int = TILE) -> DataFrame:
     """(tab, key_a, key_b) of distinct similar records, the smaller key first."""
-    pairs, members = class_pairs(df, n, num, den)
+    pairs, members = class_pairs(df, n, num, den, tile)
     twins = members.groupBy("sid").count().filter("count > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    both = pairs.select("a", "b").unionByName(twins)
-    left = members.select(F.col("sid").alias("a"), "tab", F.col("rec_key").alias("x"))
-    right = members.select(F.col("sid").alias("b"), F.col("tab").alias("tab_b"), F.col("rec_key").alias("y"))
-    out = both.join(left, "a").join(right, "b").filter("x != y and tab = tab_b")
-    return out.select("tab", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    salted, hot = _salted(members, "rec_key")
+    out = _members(_members(pairs.select("a", "b").unionByName(twins), "a", salted, hot), "b", salted, hot)
+    out = out.filter("key_a != key_b and tab_a = tab_b")
+    return out.select(F.col("tab_a").alias("tab"), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 
 def classes(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
@@ -265,7 +357,13 @@ def classes(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
     links = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
     sizes = members.groupBy("sid").agg(F.min("rec_key").alias("class_key"), F.count(F.lit(1)).alias("copies"))
     facts = sizes.join(links, "sid", "left")
-    return members.join(facts, "sid").select("tab", "rec_key", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return _spread(members, facts, "sid").select("tab", "rec_key", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _spread(rows: DataFrame, facts: DataFrame, key: str, parts: int = 16) -> DataFrame:
+    """rows with the one row of facts of their key; a hot key's rows go to ``parts`` tasks."""
+    many = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rec_key"), F.lit(parts)).cast("int")).join(many, [key, "salt"]).drop("salt")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -299,4 +397,4 @@ def groups(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
     roots = components(pairs)
     mine = members.join(roots, members.sid == roots.node, "left").select("tab", "rec_key", F.coalesce("root", "sid").alias("root"))
     sizes = mine.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("tab", "rec_key")).alias("first")).filter("size > 1")
-    return mine.join(sizes, "root").select("tab", "rec_key", F.concat_ws(":", "first.tab", "first.rec_key").alias("group_id"), "size").distinct()
+    return _spread(mine, sizes, "root").select("tab", "rec_key", F.concat_ws(":", "first.tab", "first.rec_key").alias("group_id"), "size").distinct()

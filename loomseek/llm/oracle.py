@@ -22,7 +22,21 @@ _UNIT = """u as (select distinct model_id, text_digest as d, vector::double[] as
  and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
 n as (select model_id, d, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from u)"""
 
+#: Classes of equal sets of three-word sequences, their members, and the similar ones among them.
+_CLASSES = f"""{_RECORDS}, w as (select tab, rec_key, text, {words('text')} as w from r where rec_key is not null), d as (select *, hash(text) as h from w where len(w) >= 3),
+g as ({grams('d', 'tab, rec_key, h', 3)}), s as (select tab, rec_key, h, md5(array_to_string(list_sort(list(g)), chr(10))) as id from g group by tab, rec_key, h),
+m as (select distinct tab, id, rec_key from s), c as (select tab, id, min(rec_key) as first, count(*) as n from m group by tab, id),
+cg as (select distinct tab, id, g from g join s using (tab, rec_key, h)), z as (select tab, id, count(*) as n from cg group by tab, id),
+p as (select a.tab, a.id as a, b.id as b, count(*) as same from cg a join cg b on a.tab = b.tab and a.g = b.g and a.id < b.id group by all),
+e as (select p.tab, p.a, p.b from p join z x on x.tab = p.tab and x.id = p.a join z y on y.tab = p.tab and y.id = p.b where 2 * same >= x.n + y.n - same),
+l as (select tab, a, b from e union all select tab, b, a from e)"""
+
 SQL: dict[str, str] = {
+    "p2_classes": f"""with {_CLASSES}, k as (select tab, a as id, count(*) as n from l group by tab, a)
+select m.tab, m.rec_key, c.first as class_key, c.n as copies, coalesce(k.n, 0) as links from m join c using (tab, id) left join k using (tab, id)""",
+    "p2_groups": f"""with recursive {_CLASSES}, reach as (select tab, id as a, id as b from c union select reach.tab, reach.a, l.b from reach join l on l.tab = reach.tab and l.a = reach.b),
+q as (select reach.tab, reach.a as id, min(c.first) as first, sum(c.n)::bigint as size from reach join c on c.tab = reach.tab and c.id = reach.b group by all)
+select distinct m.tab, m.rec_key, m.tab || ':' || q.first as group_id, q.size from m join q using (tab, id) where q.size > 1""",
     "p2_found": f"""with {_RECORDS}, w as (select tab, rec_key, text, {words('text')} as w from r where rec_key is not null), d as (select *, hash(text) as h from w where len(w) >= 3),
 g as ({grams('d', 'tab, rec_key, h', 3)}), n as (select tab, rec_key, h, count(*) as n from g group by all),
 p as (select a.tab, a.rec_key as ka, a.h as ha, b.rec_key as kb, b.h as hb, count(*) as c from g a join g b on a.tab = b.tab and a.g = b.g and a.rec_key < b.rec_key group by all)

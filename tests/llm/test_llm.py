@@ -163,6 +163,42 @@ def test_near_duplicates(spark, n, num, den):
     assert neardup.record_pairs(df.limit(0), n, num, den).count() == 0
 
 
+def test_near_duplicates_with_boilerplate(spark):
+    """One paragraph in all records, and hot n-grams cut into tiles."""
+    rng = random.Random(12)
+    paragraph = " ".join(f"same{i}" for i in range(25))
+    rows = []
+    for i in range(90):
+        own = " ".join(rng.choices([f"w{j}" for j in range(500)], k=rng.choice([4, 20, 40, 60])))
+        rows.append(("targets", f"k{i:03d}", f"{own} {paragraph}"))
+    df = frame(spark, rows, "tab string, rec_key string, text string").repartition(4)
+    want = {("targets", a[1], b[1]) for a, b in itertools.combinations(rows, 2) if jaccard(a[2], b[2]) >= 0.5}
+    for tile in (2, 7, neardup.TILE):
+        assert set(map(tuple, neardup.record_pairs(df, tile=tile).collect())) == want and want
+    hot = neardup.hot_grams(neardup.stage(df.select("tab", "rec_key", "text"), 3))
+    assert hot[1].max() == 90
+
+
+def test_sketch_is_bounded(monkeypatch):
+    monkeypatch.setattr(neardup, "COUNTERS", 50)
+    rng, sketch = np.random.default_rng(1), neardup._Sketch()
+    for _ in range(40):
+        sketch.add(np.concatenate((rng.integers(1000, 10**6, 100).astype(np.uint64), np.full(20, 7, np.uint64))))
+    assert len(sketch.grams) <= 50 and sketch.total == 4800
+    grams, counts = sketch.frequent()
+    assert 800 - 4800 // 50 <= counts[grams == 7][0] <= 800
+
+
+def test_suffix_filter_and_packing():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x, y = (np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64) << np.uint64(30)) for _ in range(2))
+        marks = neardup._marks(np.concatenate((x, y)), np.repeat([0, 1], [len(x), len(y)]), 2)
+        assert int(np.bitwise_count(marks[0] ^ marks[1]).sum()) <= len(np.setxor1d(x, y))
+        packed = neardup._pack(np.concatenate((x, y)), np.array([len(x), len(y)]))
+        assert (neardup._unpack(packed[0].as_py()) == x).all() and (neardup._unpack(packed[1].as_py()) == y).all()
+
+
 def test_near_duplicate_classes(spark):
     rows = [("targets", f"c{i:02d}", "one two three four five six seven") for i in range(5)] + [("targets", "d", "one two three four five six eight"), ("targets", "e", "nothing in common with it at all")]
     got = {r["rec_key"]: (r["copies"], r["links"]) for r in neardup.classes(frame(spark, rows, "tab string, rec_key string, text string")).collect()}

@@ -9,8 +9,12 @@ of its nearest vantage point and visits each other cell that the triangle
 inequality leaves open: if d(q, v) - d(q, nearest v) > 2 * radius, no vector
 of v's cell is within the radius. In a cell a vantage-point tree prunes in the
 same way. Both tests are relaxed by a tunable factor that shrinks the radius
-in them; factor one restores the exact search. Cells found overfull in the
-sample are split, and the vectors visit all parts.
+in them, in proportion to how close the vectors lie as a whole; factor one
+restores the exact search. Vantage points are members of a bounded sample,
+apart from each other at the coarsest scale that gives enough of them. A cell
+that the sample shows overfull is divided by further members of its own.
+Only a cell of equal vectors is cut by hash: there a vector finds as good
+neighbours in one part as in another, and visits one.
 
 ``nearest`` answers a given set of queries exactly (factor one) against all
 vectors, in blocks of bounded size.
@@ -19,7 +23,7 @@ Usable is a vector that is not null, has exactly ``dim`` values, all finite
 and not all zero; other rows are left out. Repeated rows count once; a digest
 with several usable vectors has the similarity of its best one and is never
 its own neighbour. Of equal similarities ``similar`` puts the smaller hash of
-the digest first (among more than ROOM equal ones any), ``nearest`` the
+the digest first (among cut parts of equal vectors any), ``nearest`` the
 smaller digest.
 Models never mix, an empty table gives no rows.
 """
@@ -27,6 +31,7 @@ Models never mix, an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,12 @@ from pyspark.sql import functions as F
 
 from loomseek.session import cut
 
-#: Vectors wanted in a cell, bound of all vantage points, and of the sample they come from.
+#: Vectors wanted in a cell, bound of the vantage points chosen first, and rows of the sample; no more points than those are sent to workers.
 CELL, MAX_CELLS, SAMPLE = 1500, 4096, 16384
-#: A cell with more vectors than this is split.
+#: A cell with more vectors than this is divided.
 MAX_MEMBERS = 6000
-#: Neighbours of one query kept of one leaf of a tree.
-ROOM = 64
+#: Similarities below which vantage points lie apart, the coarsest first.
+SCALES = (0.8, 0.85, 0.9, 0.94, 0.97, 0.985, 0.995, 0.999, 0.99999)
 #: Relaxation of the choice of cells and of the trees inside them.
 CELL_FACTOR, TREE_FACTOR = 24.0, 6.0
 
@@ -89,6 +94,11 @@ class VPTree:
             todo.append((inner, who, np.maximum(gap, off)))
 
 
+def _relaxed(factor: float, spread: float) -> float:
+    """The factor for vectors that lie as close as ``spread`` says; one stays exact."""
+    return 1.0 if factor <= 1 else max(1.0, factor / spread)
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -113,7 +123,7 @@ def _usable(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray
 
 
 def _plan(vectors: DataFrame, cell: int, sample: int) -> tuple[dict, dict]:
-    """For each (model, dim): its number, and if it needs cells their vantage points and parts."""
+    """For each (model, dim): its number, and if it needs cells their vantage points, parts and spread."""
     fits = vectors.filter("vector is not null and size(vector) = dim and dim > 0")
     counts = {(r["model_id"], r["dim"]): r["count"] for r in fits.filter("model_id is not null").groupBy("model_id", "dim").count().collect()}
     numbers = {m: i for i, m in enumerate(sorted(counts))}
@@ -123,40 +133,62 @@ def _plan(vectors: DataFrame, cell: int, sample: int) -> tuple[dict, dict]:
     if not large:
         return numbers, plans
     span = 1 << 30
-    wanted = F.lit(0)
-    for (model, dim), c in large.items():
-        share = min(1.0, sample / total)
-        wanted = F.when((F.col("model_id") == model) & (F.col("dim") == dim), F.lit(int(share * span))).otherwise(wanted)
-    drawn = fits.filter(F.pmod(F.xxhash64("text_digest", F.lit("sample")), F.lit(span)) < wanted).select("model_id", "dim", "vector", "text_digest").limit(2 * sample)
+    first = F.pmod(F.xxhash64("text_digest", F.lit("sample")), F.lit(span))
+    mine = [(F.col("model_id") == model) & (F.col("dim") == dim) for model, dim in large]
+    rows = fits.filter((first < int(min(1.0, sample / total) * span)) & reduce(lambda a, b: a | b, mine)).select("model_id", "dim", "vector", "text_digest")
+    # the smallest hashes, whatever the partitions
+    drawn = rows.distinct().orderBy(first, "text_digest", F.xxhash64("model_id", "vector")).limit(2 * sample)
     kept: dict = {m: [] for m in large}
-    table = drawn.toArrow()
-    for batch in table.to_batches():
+    for batch in drawn.toArrow().to_batches():
         digests = batch.column(3).to_pylist()
-        for model, rows, x in _usable(batch):
-            kept[model, x.shape[1]] += [(digests[r], v) for r, v in zip(rows, _unit(x))]
+        for model, at, x in _usable(batch):
+            kept[model, x.shape[1]] += [(digests[r], v) for r, v in zip(at, _unit(x))]
     cells = max(1.0, min(MAX_CELLS, total / cell))
     for m, c in large.items():
         rows = sorted(kept[m], key=lambda r: (r[0] or "", r[1].tobytes()))
-        if not rows:
-            continue
-        x = np.stack([v for _, v in rows]).astype(np.float32)
-        points = _spread(x, max(1, round(cells * c / total)))
-        home = np.argmax(x @ points.T, axis=1)
-        parts = np.ceil(np.bincount(home, minlength=len(points)) * (c / len(x)) / MAX_MEMBERS).astype(np.int64)
-        plans[m] = (points, np.maximum(parts, 1))
+        if rows:
+            plans[m] = _cells(np.stack([v for _, v in rows]).astype(np.float32), max(1, round(cells * c / total)), c, cell)
     return numbers, plans
 
 
-def _spread(x: np.ndarray, k: int) -> np.ndarray:
-    """At most k vantage points of x, no two of them close."""
+def _cells(x: np.ndarray, k: int, count: int, cell: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(vantage points, parts of each cell, spread) for ``count`` vectors of which x is a sample.
+
+    The spread is the typical chord between two vectors, 1 for directions without any trend.
+    """
+    other = np.random.default_rng(3).permutation(len(x))
+    spread = float(np.median(chord(np.einsum("ij,ij->i", x, x[other])))) / np.sqrt(2)
+    points, weight = _spread(x, k), count / len(x)
+    whole: set[bytes] = set()  # cells that cannot be divided
+    while True:
+        home = np.argmax(x @ points.T, axis=1)
+        members = np.bincount(home, minlength=len(points)) * weight
+        full = [i for i in np.flatnonzero(members > MAX_MEMBERS) if points[i].tobytes() not in whole]
+        if not full:
+            break
+        more = []
+        for i in full:
+            inside = _spread(np.concatenate((points[i : i + 1], x[home == i])), 1 + int(np.ceil(members[i] / cell)), first=True)[1:]
+            more.append(inside)
+            if not len(inside):
+                whole.add(points[i].tobytes())
+        points = np.concatenate((points, *more))
+    parts = np.where([p.tobytes() in whole for p in points], np.ceil(members / MAX_MEMBERS), 1).astype(np.int64)
+    return points, np.maximum(parts, 1), min(1.0, max(spread, 1e-3))
+
+
+def _spread(x: np.ndarray, k: int, first: bool = False) -> np.ndarray:
+    """At most k vantage points of x (with ``first`` its first row is one), as far apart as so many can be found."""
     chosen: list[int] = []
     near = np.full(len(x), -1.0, np.float32)
-    for i in np.random.default_rng(7).permutation(len(x)):
-        if near[i] < 0.8:
-            chosen.append(i)
-            near = np.maximum(near, x @ x[i])
-            if len(chosen) == k:
-                break
+    order = np.random.default_rng(7).permutation(len(x))
+    for scale in SCALES:
+        for i in ([0] if first and not chosen else []) + order.tolist():
+            if near[i] < scale:
+                chosen.append(i)
+                near = np.maximum(near, x @ x[i])
+                if len(chosen) >= k:
+                    return x[chosen]
     return x[chosen]
 
 
@@ -168,7 +200,7 @@ def similar(vectors: DataFrame, k: int = 5, least: float = 0.82, cell_factor: fl
     vectors = vectors.select("model_id", "dim", "vector", "text_digest").filter("text_digest is not null")
     numbers, plans = _plan(vectors, cell, sample)
     radius = float(chord(least))
-    shared = vectors.sparkSession.sparkContext.broadcast((numbers, plans))  # at most MAX_CELLS points
+    shared = vectors.sparkSession.sparkContext.broadcast((numbers, plans))  # no more points than rows of the sample
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, plans = shared.value
@@ -181,16 +213,12 @@ def similar(vectors: DataFrame, k: int = 5, least: float = 0.82, cell_factor: fl
                 if m not in plans:
                     shard, guest, who = np.full(len(rows), base), np.zeros(len(rows), bool), np.arange(len(rows))
                 else:
-                    points, parts = plans[m]
+                    points, parts, spread = plans[m]
                     d = chord(_unit(x).astype(np.float32) @ points.T)
                     home = np.argmin(d, axis=1)
-                    open_ = (d - d.min(axis=1, keepdims=True)) * cell_factor <= 2 * radius
+                    open_ = (d - d.min(axis=1, keepdims=True)) * _relaxed(cell_factor, spread) <= 2 * radius
                     who, to = np.nonzero(open_)
-                    many = parts[to]
-                    who, to = np.repeat(who, many), np.repeat(to, many)
-                    part = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
-                    mine = (to == home[who]) & (part == (ids[rows[who]] % parts[to]))
-                    shard, guest = base + (to << 16) + part, ~mine
+                    shard, guest = base + (to << 16) + ids[rows[who]] % parts[to], to != home[who]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard.astype(np.int64)), pa.array(guest), pa.array(ids[rows[who]]), pa.array([raw[i] for i in who], pa.binary())],
                     names=["shard", "guest", "id", "raw"],
@@ -199,6 +227,7 @@ def similar(vectors: DataFrame, k: int = 5, least: float = 0.82, cell_factor: fl
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = None
         now, held = None, []
+        spreads = {numbers[m]: plan[2] for numbers, plans in [shared.value] for m, plan in plans.items()}
 
         def read(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
             once = list(dict.fromkeys(rows))
@@ -207,20 +236,21 @@ def similar(vectors: DataFrame, k: int = 5, least: float = 0.82, cell_factor: fl
         def ask(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             t, mid, mx = tree
             q = x.astype(np.float32)
-            reach, alike = np.full(len(q), radius), len(set(mid.tolist())) == len(mid)
+            reach = np.full(len(q), radius)
+            # so many rows hold k digests other than the query's, and equal similarities beside them
+            room = max(64, 2 * (k + 1)) + len(mid) - len(np.unique(mid))
             qs, ms = [], []
-            for who, rows in t.leaves(q, reach, tree_factor):
+            for who, rows in t.leaves(q, reach, _relaxed(tree_factor, spreads.get(int(now) >> 40, 1.0))):
                 s = q[who] @ t.x[rows].T
-                if s.shape[1] > ROOM:  # more than the best of a leaf are never needed
-                    floor = np.partition(s, -ROOM, axis=1)[:, -ROOM]
+                if s.shape[1] > room:  # more than the best of a leaf are never needed
+                    floor = np.partition(s, -room, axis=1)[:, -room]
                     crowded = np.flatnonzero(floor >= least - 1e-4)
                     for i in crowded:
-                        top = np.argpartition(-s[i], ROOM - 1)[:ROOM]
+                        top = np.argpartition(-s[i], room - 1)[:room]
                         kept = s[i, top]
                         s[i] = -2
                         s[i, top] = kept
-                    if alike:
-                        reach[who[crowded]] = np.minimum(reach[who[crowded]], chord(floor[crowded]) + 1e-3)
+                    reach[who[crowded]] = np.minimum(reach[who[crowded]], chord(floor[crowded]) + 1e-3)
                 a, b = np.nonzero(s >= least - 1e-4)
                 qs.append(who[a])
                 ms.append(rows[b])
@@ -286,50 +316,74 @@ def found(vectors: DataFrame) -> DataFrame:
     return pairs.select("model_id", F.least("digest_a", "digest_b").alias("digest_a"), F.greatest("digest_a", "digest_b").alias("digest_b")).distinct()
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, block: int = 65536) -> DataFrame:
     """(model_id, digest, neighbour, cosine, place): the k most similar other digests of each query digest.
 
     Both frames have model_id, text_digest, dim and vector. The queries are
-    taken in blocks of about ``block`` rows, each sent to every shard; a shard
-    is what one Arrow batch holds.
+    taken in blocks of about ``block`` rows, each sent to every task, which
+    keeps the k best of each query; a tree is built of what one Arrow batch
+    holds.
     """
+    context = queries.sparkSession.sparkContext
     queries = cut(queries.select("model_id", "dim", "vector", "text_digest").filter("text_digest is not null"), "queries")
     vectors = vectors.select("model_id", "dim", "vector", "text_digest").filter("text_digest is not null")
     blocks = max(1, -(-queries.count() // block))
-    schema = "model_id string, digest string, neighbour string, cosine double"
 
-    def best(asked: dict):
+    def best(shared):
+        def top(q: np.ndarray, code: np.ndarray, cos: np.ndarray) -> np.ndarray:
+            """Places of the k best of each query, each code once; of equal ones the smaller code."""
+            order = np.lexsort((-cos, code, q))
+            order = order[np.concatenate(([True], (q[order][1:] != q[order][:-1]) | (code[order][1:] != code[order][:-1])))[: len(order)]]
+            order = order[np.lexsort((code, -np.round(cos[order], 9), q[order]))]
+            new = np.concatenate(([True], q[order][1:] != q[order][:-1]))[: len(order)]
+            place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
+            return order[place < k]
+
+        def ask(tree: VPTree, m: np.ndarray, x: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(query, member, cosine) of the ``room`` best members of each query, and those equal to the last of them."""
+            q, reach = x.astype(np.float32), np.full(len(x), 2.0)
+            who, at, got = [], [], []
+            floor = np.full(len(x), -2.0, np.float32)
+            for asks, leaf in tree.leaves(q, reach, factor):
+                s = q[asks] @ tree.x[leaf].T
+                if s.shape[1] > room:
+                    floor[asks] = np.maximum(floor[asks], np.partition(s, -room, axis=1)[:, -room] - 1e-5)
+                    reach[asks] = np.minimum(reach[asks], chord(floor[asks]) + 1e-3)
+                i, j = np.nonzero(s >= floor[asks][:, None])
+                who.append(asks[i])
+                at.append(leaf[j])
+                got.append(s[i, j])
+            who, at, got = (np.concatenate(v) for v in (who, at, got))
+            keep = got >= floor[who]
+            who, at = who[keep], at[keep]
+            return who, at, np.einsum("ij,ij->i", x[who], m[at])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            state = {m: (np.empty(0, np.int64), np.empty(0, object), np.empty(0)) for m in asked}
             for batch in batches:
-                digests = batch.column(3).to_pylist()
-                out: list[tuple] = []
+                digests = np.array(batch.column(3).to_pylist(), object)
                 for model, rows, raw in _usable(batch):
-                    if (model, raw.shape[1]) not in asked:
+                    if (key := (model, raw.shape[1])) not in asked:
                         continue
-                    who, x = asked[model, raw.shape[1]]
-                    members = np.array([digests[r] for r in rows], object)
-                    m = _unit(raw)
-                    tree, q = VPTree(m.astype(np.float32), 2048), x.astype(np.float32)
-                    reach = np.full(len(q), 2.0)
+                    names, x = asked[key]
+                    mine, m = digests[rows], _unit(raw)
+                    tree = VPTree(m.astype(np.float32), 2048)
                     # room for repeated rows and the query itself among the best
-                    room = k + 1 + len(members) - len(set(members))
-                    sims = np.full((len(q), 0), 0.0, np.float32)
-                    at = np.empty((len(q), 0), np.int64)
-                    for asks, leaf in tree.leaves(q, reach, factor):
-                        s = np.full((len(q), len(leaf)), -2.0, np.float32)
-                        s[asks] = q[asks] @ tree.x[leaf].T
-                        sims = np.concatenate((sims, s), axis=1)
-                        at = np.concatenate((at, np.broadcast_to(leaf, (len(q), len(leaf)))), axis=1)
-                        if sims.shape[1] > room:
-                            top = np.argpartition(-sims, room - 1, axis=1)[:, :room]
-                            sims, at = np.take_along_axis(sims, top, 1), np.take_along_axis(at, top, 1)
-                            reach = np.minimum(reach, chord(sims.min(axis=1)) + 1e-3)
-                    for i in range(len(q)):
-                        hit = at[i][sims[i] > -2]
-                        cos = m[hit] @ x[i]
-                        out += [(model, who[i], members[h], float(c)) for h, c in zip(hit, cos) if members[h] != who[i]]
-                cols = list(zip(*out)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["model_id", "digest", "neighbour", "cosine"])
+                    room = k + 1 + len(mine) - len(set(mine))
+                    for i in range(0, len(x), 4096):
+                        who, at, cos = ask(tree, m, x[i : i + 4096], room)
+                        who, found = who + i, mine[at]
+                        other = found != names[who]
+                        q, d, c = (np.concatenate(v) for v in zip(state[key], (who[other], found[other], cos[other])))
+                        part = np.flatnonzero((q >= i) & (q < i + 4096))
+                        _, code = np.unique(d[part].astype(str), return_inverse=True)
+                        kept = np.concatenate((np.flatnonzero((q < i) | (q >= i + 4096)), part[top(q[part], code, c[part])]))
+                        state[key] = q[kept], d[kept], c[kept]
+            for (model, _), (q, d, c) in state.items():
+                names = asked[model, _][0]
+                cols = [pa.array([model] * len(q), pa.string()), pa.array(names[q], pa.string()), pa.array(d, pa.string()), pa.array(c)]
+                yield pa.RecordBatch.from_arrays(cols, names=["model_id", "digest", "neighbour", "cosine"])
 
         return run
 
@@ -341,8 +395,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
             digests = batch.column(3).to_pylist()
             for model, rows, raw in _usable(batch):
                 asked.setdefault((model, raw.shape[1]), []).extend(zip([digests[r] for r in rows], _unit(raw)))
-        packed = {m: ([w for w, _ in rows], np.stack([v for _, v in rows])) for m, rows in asked.items()}
-        part = vectors.mapInArrow(best(packed), schema)
+        packed = {m: (np.array([w for w, _ in rows], object), np.stack([v for _, v in rows])) for m, rows in asked.items()}
+        part = vectors.mapInArrow(best(context.broadcast(packed)), "model_id string, digest string, neighbour string, cosine double")
         result = part if result is None else result.unionByName(part)
     once = result.groupBy("model_id", "digest", "neighbour").agg(F.max("cosine").alias("cosine"))
     place = Window.partitionBy("model_id", "digest").orderBy(F.desc(F.round("cosine", 9)), "neighbour")

@@ -364,6 +364,42 @@ def test_nearest_hot_cluster(spark):
     assert all(len(per[f"d{i:05d}"]) == 5 for i in range(400)) and max(map(len, per.values())) <= 5
 
 
+def test_nearest_of_close_vectors(spark):
+    """Vectors with a mean similarity of 0.85: cells stay small, planted neighbours are found."""
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(1500, 32))
+    x = np.repeat(base, 3, axis=0) + rng.normal(size=(4500, 32)) * 0.12
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + 2.4 * np.eye(32)[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    assert 0.8 < s.mean() < 0.9
+    points, parts, spread = nearest._cells(u.astype(np.float32), 40, 4500, 100)
+    assert len(points) == 40 and parts.max() == 1 and spread < 0.5 and np.bincount(np.argmax(u @ points.T, axis=1)).max() < 900
+    got = {tuple(sorted((r["digest_a"], r["digest_b"]))) for r in nearest.similar(frame(spark, vector_rows(x.astype(np.float32)), VECTOR), k=2, cell=100).collect()}
+    np.fill_diagonal(s, -1)
+    want = {tuple(sorted((f"d{i:05d}", f"d{j:05d}"))) for i, r in enumerate(s) for j in np.argsort(-r)[:2]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_cells_divide_where_vectors_crowd(monkeypatch):
+    monkeypatch.setattr(nearest, "MAX_MEMBERS", 200)
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.normal(size=(1, 16)) * 5 + rng.normal(size=(900, 16)), np.tile(rng.normal(size=(1, 16)), (500, 1)), rng.normal(size=(200, 16))))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    points, parts, _ = nearest._cells(x, 3, len(x), 100)
+    size = np.bincount(np.argmax(x @ points.T, axis=1), minlength=len(points))
+    assert (size[parts == 1] <= 200).all() and (parts > 1).sum() == 1 and size[parts > 1][0] >= 500
+
+
+def test_nearest_with_large_k_and_repeated_digests(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1, 8)) + rng.normal(size=(700, 8)) * 0.2
+    names = [f"d{i % 40:02d}" for i in range(700)]
+    rows = [("m", n, 8, [float(v) for v in r]) for n, r in zip(names, x)]
+    got = nearest.similar(frame(spark, rows, VECTOR), k=39, least=0.5).groupBy("digest_a").count().collect()
+    assert {r["digest_a"] for r in got} == set(names) and {r["count"] for r in got} == {39}
+
+
 def test_nearest_exact_queries(spark):
     rng = np.random.default_rng(8)
     x = planted(rng, 300, 12)

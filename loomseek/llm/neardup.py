@@ -1,22 +1,22 @@
 """Near-duplicate records by word n-gram sets (problem 2).
 
-Exact similarity join. Every text is read once: the set of hashes of its
-n-grams (sequences of ``n`` consecutive words) is written, and a sketch of the
-n-grams that many records hold. Each set is ordered rare-first and only a
-prefix of it is joined, so long that two similar sets share SHARED n-grams of
-their prefixes at least. Of the records that meet at an n-gram those pairs go
-on whose sizes (length filter) and places of the n-gram (positional filter)
-allow the similarity; then those that met often enough; then those whose sets
-are not too far apart (suffix filter: a lower bound of the Hamming distance,
-summed over hash ranges, from 64 bytes a set). Only for those the sets are
-brought together, and each pair is verified once.
+Exact similarity join of the sets of n-grams (sequences of ``n`` consecutive
+words). Each set is ordered rare-first and only a prefix of it is joined, so
+long that two similar sets share SHARED n-grams of their prefixes at least.
+Rare is what isn't hot (see below), and then what has rare words. Of the
+records that meet at an n-gram those pairs go on whose sizes (length filter)
+and places of the n-gram (positional filter) allow the similarity; then those
+that met often enough; then those whose sets are not too far apart (suffix
+filter: a lower bound of the Hamming distance, summed over hash ranges, from
+64 bytes a set). Only for those the sets are brought together, and each pair
+is verified once.
 
 Scale: records of equal sets are one class, joined once and expanded at the
-end. The sketch is of the frequent-items kind: a task counts with a bounded
-number of counters, and the n-grams with a share of at least 1 / MAX_HOT of
-all are known afterwards, at most MAX_HOT. They come last in every set, so one
-of them is in a prefix only if most of its record is as frequent. Such an
-n-gram is cut into tiles of about TILE classes, each joined by itself with
+end. Frequent words and n-grams are found by sketches of all records: a task
+counts with a bounded number of counters, and what has a share of at least
+1 / MAX_HOT of all is known afterwards, at most MAX_HOT of each, whatever the
+size of the collection. Hot n-grams come last in every set, so one of them is
+in a prefix only if most of its record is as frequent. Such an n-gram is cut into tiles of about TILE classes, each joined by itself with
 each other one; no task gets a whole hot n-gram. Classes with a share of at
 least a thousandth of all records are salted where members are joined.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from loomseek.llm.words import ALNUM, flat, mix, ngrams, word_hashes
 from loomseek.session import cut
 
-#: Bound of the table of hot n-grams, counters of a task, and classes of a tile.
+#: Bound of the tables of hot n-grams and of words, counters of a task, and classes of a tile.
 MAX_HOT, COUNTERS, TILE = 100_000, 400_000, 20_000
 #: Shared prefix n-grams that make a candidate; prefixes are longer by one less.
 SHARED = 3
@@ -62,16 +62,39 @@ def _distinct(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order[np.concatenate(([True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])))]
 
 
-def _sets(tabs: list, texts: list, n: int, memo: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams (40 bits, salted by tab), sorted inside each record, and their records."""
-    values, lengths = flat(([memo[w] for w in ALNUM.findall(t.lower())] if t else [] for t in texts), np.uint64)
-    grams, owner, _ = ngrams(values, lengths, n)
-    names = {t: i for i, t in enumerate(dict.fromkeys(tabs))}
-    salts = np.array([memo[f"tab:{t}"] for t in names], np.uint64)
-    if len(grams):
-        grams = (grams ^ salts[np.array([names[t] for t in tabs], np.int64)[owner]]) >> np.uint64(64 - 8 * _BYTES)
-    once = _distinct(owner, grams)
-    return grams[once], owner[once]
+class _Sets:
+    """Distinct n-grams (40 bits, salted by tab) of the records of a batch, by record and hash; size and id of each record's set."""
+
+    def __init__(self, tabs: list, texts: list, n: int, memo: dict):
+        self.words, lengths = flat(([memo[w] for w in ALNUM.findall(t.lower())] if t else [] for t in texts), np.uint64)
+        grams, owner, at = ngrams(self.words, lengths, n)
+        names = {t: i for i, t in enumerate(dict.fromkeys(tabs))}
+        salts = np.array([memo[f"tab:{t}"] for t in names], np.uint64)
+        if len(grams):
+            grams = (grams ^ salts[np.array([names[t] for t in tabs], np.int64)[owner]]) >> np.uint64(64 - 8 * _BYTES)
+        once = _distinct(owner, grams)
+        self.grams, self.owner, self.at = grams[once], owner[once], at[once]
+        self.size = np.bincount(self.owner, minlength=len(tabs))
+        total = np.zeros(len(tabs), np.uint64)
+        np.add.at(total, self.owner, mix(self.grams))
+        self.ids = _signed(mix(total))
+
+
+class _New:
+    """Which sets a task has not met yet; it may forget, then a set counts as new again."""
+
+    def __init__(self):
+        self.said: set[int] = set()
+
+    def mark(self, sets: _Sets) -> np.ndarray:
+        new = np.zeros(len(sets.ids), bool)
+        for i in np.flatnonzero(sets.size).tolist():
+            if (s := int(sets.ids[i])) not in self.said:
+                self.said.add(s)
+                new[i] = True
+        if len(self.said) > 2_000_000:
+            self.said.clear()
+        return new
 
 
 def _pack(grams: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -96,102 +119,105 @@ def _marks(grams: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
 
 
 class _Sketch:
-    """Counts of the frequent n-grams, in a bounded number of counters; no count is too high."""
+    """Counts of the frequent hashes, in a bounded number of counters; no count is too high."""
 
     def __init__(self):
-        self.grams, self.counts, self.total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        self.hashes, self.counts, self.total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
 
-    def add(self, grams: np.ndarray) -> None:
-        self.total += len(grams)
-        new, n = np.unique(grams, return_counts=True)
-        both = np.concatenate((self.grams, new))
-        self.grams, at = np.unique(both, return_inverse=True)
+    def add(self, hashes: np.ndarray) -> None:
+        self.total += len(hashes)
+        new, n = np.unique(hashes, return_counts=True)
+        both = np.concatenate((self.hashes, new))
+        self.hashes, at = np.unique(both, return_inverse=True)
         self.counts = np.bincount(at, np.concatenate((self.counts, n))).astype(np.int64)
-        if len(self.grams) > COUNTERS:
+        if len(self.hashes) > COUNTERS:
             self.counts -= np.partition(self.counts, -COUNTERS - 1)[-COUNTERS - 1]
             keep = self.counts > 0
-            self.grams, self.counts = self.grams[keep], self.counts[keep]
+            self.hashes, self.counts = self.hashes[keep], self.counts[keep]
 
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
         keep = self.counts >= max(2, self.total // (2 * MAX_HOT))
-        return self.grams[keep], self.counts[keep]
+        return self.hashes[keep], self.counts[keep]
 
 
-_STAGED = "hot long, n long, sid long, tab string, rec_key string, size int, marks binary, grams binary"
+_STAGED = "kind string, hot long, n long, sid long, tab string, rec_key string, size int, marks binary"
+_WORDS, _GRAMS = "word", "gram"
 
 
 def stage(df: DataFrame, n: int) -> DataFrame:
-    """One written table with the hot n-grams of each task (hot, n; with hot null: all its n-grams), the records' sets (sid, tab, rec_key), and once a task each set itself (size, marks, grams)."""
+    """One written table: the frequent words and n-grams of each task (kind, hot, n; with hot null: how many in all), the records' sets (sid, tab, rec_key), and once a task facts on each set (size, marks)."""
     names = [x.split()[0] for x in _STAGED.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
 
-    def row_batch(**known) -> pa.RecordBatch:
+    def rows(**known) -> pa.RecordBatch:
         size = len(next(iter(known.values())))
         return pa.RecordBatch.from_arrays([known.get(k, pa.nulls(size)).cast(t) for k, t in zip(names, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sketch = word_hashes(), _Sketch()
-        said: set[int] = set()  # sets this task gave already
+        memo, seen, sketches = word_hashes(), _New(), {_WORDS: _Sketch(), _GRAMS: _Sketch()}
         for batch in batches:
-            tabs, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            grams, owner = _sets(tabs, texts, n, memo)
-            total = np.zeros(len(tabs), np.uint64)
-            np.add.at(total, owner, mix(grams))
-            ids, size = _signed(mix(total)), np.bincount(owner, minlength=len(tabs))
-            has = np.flatnonzero(size)
-            new = np.zeros(len(tabs), bool)
-            for i in has.tolist():
-                if (s := int(ids[i])) not in said:
-                    said.add(s)
-                    new[i] = True
-            if len(said) > 2_000_000:
-                said.clear()
-            sketch.add(grams[new[owner]])
-            full = np.where(new, size, 0)
-            marks = pa.array([m.tobytes() if k else None for m, k in zip(_marks(grams, owner, len(tabs)), new)], pa.binary())
-            packed = _pack(grams[new[owner]], full)
+            tabs = batch.column(0).to_pylist()
+            sets = _Sets(tabs, batch.column(2).to_pylist(), n, memo)
+            new, has = seen.mark(sets), np.flatnonzero(sets.size)
+            sketches[_WORDS].add(sets.words)
+            sketches[_GRAMS].add(sets.grams[new[sets.owner]])
+            marks = pa.array([m.tobytes() if k else None for m, k in zip(_marks(sets.grams, sets.owner, len(tabs)), new)], pa.binary())
             take = pa.array(has)
-            yield row_batch(sid=pa.array(ids[has]), tab=batch.column(0).take(take), rec_key=batch.column(1).take(take), size=pa.array(full[has]), marks=marks.take(take), grams=packed.take(take))
-        hot, counts = sketch.frequent()
-        yield row_batch(hot=pa.array(_signed(hot)), n=pa.array(counts))
-        yield row_batch(n=pa.array([sketch.total]))
+            yield rows(sid=pa.array(sets.ids[has]), tab=batch.column(0).take(take), rec_key=batch.column(1).take(take), size=pa.array(sets.size[has]), marks=marks.take(take))
+        for kind, sketch in sketches.items():
+            hot, counts = sketch.frequent()
+            yield rows(kind=pa.array([kind] * (len(hot) + 1)), hot=pa.array([*_signed(hot).tolist(), None], pa.int64()), n=pa.array([*counts.tolist(), sketch.total], pa.int64()))
 
     return cut(df.mapInArrow(run, _STAGED), "neardup-stage")
 
 
-def hot_grams(staged: DataFrame, most: int = MAX_HOT) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that are at least 1/most of all, sorted, and how many classes hold each, about."""
-    counts = staged.filter("n is not null").select("hot", "n").groupBy("hot").agg(F.sum("n").alias("n"))
+def frequent(staged: DataFrame, kind: str, most: int = MAX_HOT) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a kind that are at least 1/most of all, sorted, and how often each comes, about."""
+    counts = staged.filter(F.col("kind") == kind).groupBy("hot").agg(F.sum("n").alias("n"))
     total = counts.filter("hot is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counts.filter((F.col("n") >= max(2, -(-total // most))) & F.col("hot").isNotNull()).collect()  # at most ``most`` rows
-    rows.sort(key=lambda r: r["hot"])
-    return np.array([r["hot"] for r in rows], np.uint64), np.array([r["n"] for r in rows], np.int64)
+    hashes, n = _signed(np.array([r["hot"] for r in rows], np.int64)).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
 
+def _look(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """The table's numbers for hashes, 0 for what isn't in it."""
+    known, n = table
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, n[at], 0)
 
-def prefixes(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], num: int, den: int, tile: int = TILE) -> DataFrame:
+
+def prefixes(df: DataFrame, words: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray], n: int, num: int, den: int, tile: int = TILE) -> DataFrame:
     """(slot, sid, place): the rare-first prefix of each set. place holds the size, the position and the side in a tile.
 
     A slot is an n-gram, or a pair of parts of a hot one.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(hot)
+    level = (16 * np.log2(words[1] / words[1].min())).astype(np.int64) + 1 if len(words[1]) else words[1]
+    shared = df.sparkSession.sparkContext.broadcast(((words[0], level), hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value
+        memo, seen = word_hashes(), _New()
+        common, known = shared.value
         for batch in batches:
-            ids, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            grams = np.concatenate([_unpack(x.as_py()) for x in batch.column(2)] or [np.empty(0, np.uint64)])
-            own = np.repeat(np.arange(len(ids)), size)
-            at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
-            n = np.where(known[at] == grams, count[at], 0) if len(known) else np.zeros(len(grams), np.int64)
-            order = np.lexsort((mix(grams), n, own))
-            grams, n = grams[order], n[order]
+            sets = _Sets(batch.column(0).to_pylist(), batch.column(2).to_pylist(), n, memo)
+            new = seen.mark(sets)
+            of_word = _look(common, sets.words)
+            keep = new[sets.owner]
+            grams, own, at = sets.grams[keep], sets.owner[keep], sets.at[keep]
+            usual = sum((of_word[at + k] for k in range(n)), np.zeros(len(at), np.int64))
+            many = _look(known, grams)
+            slot = mix(grams)
+            order = np.lexsort((slot, usual, many, own))
+            slot, many = slot[order], many[order]
+            size = np.where(new, sets.size, 0)
             pos = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
             least = -(-size * num // den)  # n-grams that a partner shares at least
             keep = pos < (size - least + SHARED)[own]
-            grams, n, pos, own = grams[keep], n[keep], pos[keep], own[keep]
-            parts = -(-n // tile)
-            place = (size[own] << 34) | (pos << 2)
-            sid, slot = ids[own], mix(grams)
+            slot, many, pos, own = slot[keep], many[keep], pos[keep], own[keep]
+            parts, place, sid = -(-many // tile), (size[own] << 34) | (pos << 2), sets.ids[own]
             cold = parts < 2
             out = [(slot[cold], sid[cold], place[cold] | 2)]
             for i in np.flatnonzero(~cold).tolist():  # the pairs of its own part with every part
@@ -204,7 +230,21 @@ def prefixes(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], num: int, den:
             cols = [np.concatenate(c) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([pa.array(_signed(cols[0].astype(np.uint64))), pa.array(cols[1]), pa.array(cols[2])], names=["slot", "sid", "place"])
 
-    return sets.select("sid", "size", "grams").mapInArrow(run, "slot long, sid long, place long")
+    return df.mapInArrow(run, "slot long, sid long, place long")
+
+
+def with_sets(df: DataFrame, n: int) -> DataFrame:
+    """(sid, grams) of the records, each set once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen = word_hashes(), _New()
+        for batch in batches:
+            sets = _Sets(batch.column(0).to_pylist(), batch.column(2).to_pylist(), n, memo)
+            new = seen.mark(sets)
+            packed = _pack(sets.grams[new[sets.owner]], sets.size[new])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.ids[new]), packed], names=["sid", "grams"])
+
+    return df.mapInArrow(run, "sid long, grams binary")
 
 
 def _meet(sid: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, start: np.ndarray, end: np.ndarray, num: int, den: int) -> Iterator[tuple]:
@@ -225,7 +265,9 @@ def _meet(sid: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray,
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
         need = -(-(size[x] + size[y]) * num // (num + den))
         room = np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
-        keep = (room >= need) & (sid[x] != sid[y]) & ((side[x] == 2) | (side[x] != side[y]))
+        # of the pair's own prefixes, which may be shorter than those of all pairs
+        inside = (pos[x] < size[x] - need + SHARED) & (pos[y] < size[y] - need + SHARED)
+        keep = inside & (room >= need) & (sid[x] != sid[y]) & ((side[x] == 2) | (side[x] != side[y]))
         x, y, need = x[keep], y[keep], need[keep]
         yield np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), np.minimum(need, SHARED)
         a = b
@@ -310,14 +352,14 @@ def class_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2, tile: int
 
     df has tab, rec_key and text. The threshold is the fraction num/den.
     """
-    staged = stage(df.select("tab", "rec_key", "text").filter("rec_key is not null and text is not null"), n)
+    df = df.select("tab", "rec_key", "text").filter("rec_key is not null and text is not null")
+    staged = stage(df, n)
     members = staged.filter("sid is not null").select("sid", "tab", "rec_key").distinct()
-    sets = staged.filter("marks is not null").select("sid", "size", "marks", "grams")
-    met = cut(candidates(prefixes(sets, hot_grams(staged), num, den, tile), num, den), "neardup-met")
-    facts = sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("marks").alias("marks"))
+    met = cut(candidates(prefixes(df, frequent(staged, _WORDS), frequent(staged, _GRAMS), n, num, den, tile), num, den), "neardup-met")
+    facts = staged.filter("marks is not null").groupBy("sid").agg(F.first("size").alias("size"), F.first("marks").alias("marks"))
     pairs = cut(near_enough(met, facts, num, den), "neardup-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = sets.select("sid", "grams").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
+    wanted = with_sets(df, n).join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
     return cut(verify(pairs, wanted, num, den), "neardup-verified"), members
 
 

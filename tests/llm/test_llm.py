@@ -175,7 +175,7 @@ def test_near_duplicates_with_boilerplate(spark):
     want = {("targets", a[1], b[1]) for a, b in itertools.combinations(rows, 2) if jaccard(a[2], b[2]) >= 0.5}
     for tile in (2, 7, neardup.TILE):
         assert set(map(tuple, neardup.record_pairs(df, tile=tile).collect())) == want and want
-    hot = neardup.hot_grams(neardup.stage(df.select("tab", "rec_key", "text"), 3))
+    hot = neardup.frequent(neardup.stage(df.select("tab", "rec_key", "text"), 3), "gram")
     assert hot[1].max() == 90
 
 
@@ -184,7 +184,7 @@ def test_sketch_is_bounded(monkeypatch):
     rng, sketch = np.random.default_rng(1), neardup._Sketch()
     for _ in range(40):
         sketch.add(np.concatenate((rng.integers(1000, 10**6, 100).astype(np.uint64), np.full(20, 7, np.uint64))))
-    assert len(sketch.grams) <= 50 and sketch.total == 4800
+    assert len(sketch.hashes) <= 50 and sketch.total == 4800
     grams, counts = sketch.frequent()
     assert 800 - 4800 // 50 <= counts[grams == 7][0] <= 800
 

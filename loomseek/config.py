@@ -35,7 +35,7 @@ class Config:
     semantic_hits: int = 10
     hub_neighbours: int = 10
     min_pool_for_z: int = 10
-    hub_block: int = 1024
+    hub_block: int = 16384
     chunk_chars: int = 1500
     chunk_overlap: int = 300
     outline_depth: int = 2

@@ -1,8 +1,10 @@
 """Inverted index over (title, body) and BM25 search in it.
 
 postings: one row for each term of a target: term, key, col (0 title, 1 body),
-positions. doc_stats: key, tokens. Both are plain tables; written partitioned
-by term hash, a query reads only the buckets of its terms, and never the texts.
+positions. doc_stats: key, tokens. Both are plain tables. Postings are written
+in buckets by the first two characters of the term, so a word or a prefix of
+at least two characters reads one bucket, and of it the row groups that hold
+it; the texts are never read.
 
 Every query word is a phrase whose last token is a prefix, inside one column;
 the words must all match, in any column. A word without a letter or digit
@@ -11,6 +13,7 @@ matches nothing. Null titles and bodies have no tokens.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 from itertools import accumulate
 
@@ -22,7 +25,7 @@ from pyspark.sql import types as T
 from loomseek.functions import text
 
 K1, B = 1.2, 0.75
-_BUCKETS = 64
+BUCKETS, _HEAD = 64, 2
 
 
 def query_words(query: str) -> list[list[str]]:
@@ -63,14 +66,28 @@ def doc_freq(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.countDistinct("key").alias("df"))
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Postings below ``path``, in buckets by term, sorted by term inside."""
-    bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(_BUCKETS)))
+def bucket(term: Column) -> Column:
+    """Bucket of a term, by its first characters."""
+    return F.pmod(F.crc32(F.substring(term, 1, _HEAD).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(index: DataFrame, path: str, parts: int = 8) -> None:
+    """Postings below ``path``, in buckets, sorted by term inside."""
+    bucketed = index.withColumn("bucket", bucket(F.col("term")))
     # a hot term's postings are spread over several tasks by their keys
-    spread = bucketed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    spread = bucketed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("bucket", "term")
     spread.write.partitionBy("bucket").parquet(path)
 
 
+def _of_word(index: DataFrame, word: str, prefix: bool) -> DataFrame:
+    """Postings of a word, or of the words that begin with it."""
+    hit = F.startswith("term", F.lit(word)) if prefix else F.col("term") == word
+    if "bucket" in index.columns and (len(word) >= _HEAD or not prefix):
+        number = zlib.crc32(word[:_HEAD].encode()) % BUCKETS
+        hit = (F.col("bucket") == number) & hit
+    return index.filter(hit)
+
+
 def _spaced(column: str) -> Column:
     """The tokens of a column, each behind one space."""
     return F.concat(F.lit(" "), F.regexp_replace(text.fold(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -110,13 +127,13 @@ def _shift(positions: str, by: int) -> Column:
 
 def index_hits(index: DataFrame, words: list[str]) -> DataFrame:
     """The same from postings."""
-    last = index.filter(F.startswith("term", F.lit(words[-1])))
+    last = _of_word(index, words[-1], True)
     if len(words) == 1:
         return last.groupBy("key").agg(F.sum(F.size("positions")).cast("long").alias("f"))
     at = last.groupBy("key", "col").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("starts"))
     at = at.select("key", "col", _shift("starts", len(words) - 1).alias("starts"))
     for k, w in enumerate(words[:-1]):
-        mine = index.filter(F.col("term") == w).select("key", "col", _shift("positions", k).alias("p"))
+        mine = _of_word(index, w, False).select("key", "col", _shift("positions", k).alias("p"))
         at = at.join(mine, ["key", "col"]).select("key", "col", F.array_intersect("starts", "p").alias("starts"))
     return at.filter(F.size("starts") > 0).groupBy("key").agg(F.sum(F.size("starts")).cast("long").alias("f"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseek.operators import scoring, textindex
 from loomseek.operators.store import latest
-from loomseek.session import table
+from loomseek.session import stored, table
 
 #: Columns of the model and of the stored tables.
 _NAMES = {"key": "target_key", "position": "char_position", "level": "heading_level"}
@@ -14,10 +15,28 @@ COLUMNS = ("key", "path", "kind", "title", "body", "org_id", "position", "digest
 
 
 def notes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Targets, each key as it was indexed last, with the columns asked for."""
-    wanted = columns or COLUMNS
-    raw = table(spark, folder, "targets").select(*(F.col(_NAMES.get(c, c)).alias(c) for c in {"key": 0, **dict.fromkeys(wanted)}), "indexed_at")
-    return latest(raw, ["key"], "indexed_at", *(c for c in wanted if c != "key")).select(*wanted)
+    """Targets, each key as it was indexed last, with the columns asked for.
+
+    The repeated deliveries are settled once and stored, so a query reads its
+    columns alone, and its filters reach the scan.
+    """
+
+    def write(path: str) -> None:
+        raw = table(spark, folder, "targets").select(*(F.col(_NAMES.get(c, c)).alias(c) for c in COLUMNS), "indexed_at")
+        last = latest(raw, ["key"], "indexed_at", *(c for c in COLUMNS if c != "key")).select(*COLUMNS)
+        last.sortWithinPartitions("path", "position").write.parquet(path)
+
+    stored_notes = spark.read.parquet(stored(spark, "notes", [f"{folder}/targets.parquet"], write))
+    return stored_notes.select(*(columns or COLUMNS))
+
+
+def text_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the notes, made once and stored."""
+    rows = notes(spark, folder, "key", "title", "body")
+    inputs = [f"{folder}/targets.parquet"]
+    index = stored(spark, "postings", inputs, lambda path: textindex.write_index(textindex.postings(rows), path))
+    stats = stored(spark, "lengths", inputs, lambda path: textindex.doc_stats(rows).write.parquet(path))
+    return spark.read.parquet(index), spark.read.parquet(stats)
 
 
 def passages(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -40,3 +59,9 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 def embedded(spark: SparkSession, folder: str) -> DataFrame:
     """Stored vectors under a digest."""
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("digest"), F.col("embedding").alias("vector"))
+
+
+def prepared_vectors(spark: SparkSession, folder: str) -> tuple[list[float], DataFrame, DataFrame]:
+    """(mean, centred rows, hubs) of the embeddings, computed once for these vectors."""
+    path = stored(spark, "vectors", [f"{folder}/embeddings.parquet"], lambda p: scoring.prepare(embedded(spark, folder), p))
+    return scoring.prepared(spark, path)

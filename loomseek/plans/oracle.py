@@ -192,7 +192,7 @@ SQL: dict[str, str] = {
     "lexical_and": lexical("budget Réunion"),
     "lexical_prefix": lexical("cal"),
     "lexical_phrase": lexical("of.the index"),
-    "lexical_from_index": lexical("of.the index"),
+    "lexical_scan": lexical("of.the index"),
     "lexical_no_token": "select target_key as key, 0.0::double as bm25 from targets where false",
     "vector_mean": f"with {VECTORS} select pos - 1 as pos, round(m, 6) as mean from mc",
     "centred_norms": f"with {VECTORS} select digest, round(sqrt(list_inner_product(c, c)), 6) as norm, round(c[1], 6) as first from cent",

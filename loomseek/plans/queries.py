@@ -13,7 +13,7 @@ from loomseek.functions import vectors as V
 from loomseek.operators import budget, chunking, fusion, incremental, scoring, store, textindex
 from loomseek.operators.filters import Filters, PropertyFilter
 from loomseek.plans import corpora, search
-from loomseek.session import fresh_path, table
+from loomseek.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +32,14 @@ def query(f: Query) -> Query:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Hybrid answer over notes: exact, lexical and fuzzy, fused."""
-    got = search.search_api(search.Corpus(corpora.notes(spark, folder).persist()), "archive budget", 20, fuzzy=True)
-    return got.results.drop("properties")
+    return search.search_api(corpus(spark, folder), "archive budget", 20, fuzzy=True).results.drop("properties")
+
+
+def corpus(spark: SparkSession, folder: str, current: bool = False) -> search.Corpus:
+    """The notes with their index, with ``current`` also the digests that their sources have now."""
+    index, stats = corpora.text_index(spark, folder)
+    now = incremental.seen_now(table(spark, folder, "sources")).select(F.col("rec_key").alias("path"), "digest") if current else None
+    return search.Corpus(corpora.notes(spark, folder), index, stats, now)
 
 
 # incremental processing ------------------------------------------------------
@@ -192,13 +198,13 @@ def corpus_stats(spark, folder):
 
 @query
 def doc_freq(spark, folder):
-    return textindex.doc_freq(textindex.postings(corpora.notes(spark, folder, "key", "title", "body")))
+    return textindex.doc_freq(corpora.text_index(spark, folder)[0])
 
 
 def _lexical(q: str) -> Query:
     def run(spark, folder):
         rows = corpora.notes(spark, folder, "key", "title", "body")
-        return textindex.search(rows, q).select("key", F.round("bm25", 8).alias("bm25"))
+        return textindex.search(rows, q, *corpora.text_index(spark, folder)).select("key", F.round("bm25", 8).alias("bm25"))
 
     return run
 
@@ -213,18 +219,16 @@ QUERIES |= {
 
 
 @query
-def lexical_from_index(spark, folder):
-    """The phrase query answered from stored postings."""
-    rows = corpora.notes(spark, folder, "key", "title", "body")
-    at = fresh_path(spark, "postings")
-    textindex.write_index(textindex.postings(rows), at)
-    return textindex.search(rows, "of.the index", spark.read.parquet(at), textindex.doc_stats(rows)).select("key", F.round("bm25", 8).alias("bm25"))
+def lexical_scan(spark, folder):
+    """The phrase query answered from the texts, without postings."""
+    return textindex.search(corpora.notes(spark, folder, "key", "title", "body"), "of.the index").select("key", F.round("bm25", 8).alias("bm25"))
 
 
 @query
 def lexical_snippets(spark, folder):
     rows = corpora.notes(spark, folder, "key", "title", "body")
-    return textindex.search(rows, "archive").join(rows, "key").select("key", textindex.snippet(F.col("body"), "archive").alias("snippet"))
+    best = textindex.search(rows, "archive", *corpora.text_index(spark, folder)).orderBy(F.desc("bm25"), "key").limit(100)
+    return best.join(rows, "key").select("key", textindex.snippet(F.col("body"), "archive").alias("snippet"))
 
 
 # vectors -------------------------------------------------------------------------------
@@ -249,14 +253,14 @@ def centred_norms(spark, folder):
 
 @query
 def hubs(spark, folder):
-    return scoring.hubs(_centred(spark, folder)[2]).select("digest", F.round("hub", 6).alias("hub"))
+    return corpora.prepared_vectors(spark, folder)[2].select("digest", F.round("hub", 6).alias("hub"))
 
 
 def _scored(spark, folder, digests: str | None = None):
-    rows, mean, cent = _centred(spark, folder)
-    asked = rows.filter("digest = 7").first()["vector"]
-    pool = rows.filter(digests).select("digest") if digests else None
-    return scoring.score(cent, scoring.hubs(cent), mean, asked, digests=pool)
+    mean, cent, hub = corpora.prepared_vectors(spark, folder)
+    asked = corpora.embedded(spark, folder).filter("digest = 7").first()["vector"]
+    pool = cent.filter(digests).select("digest") if digests else None
+    return scoring.score(cent, hub, mean, asked, digests=pool)
 
 
 
@@ -344,7 +348,7 @@ def group_fuzzy(spark, folder):
 
 @query
 def search_notes(spark, folder):
-    got = search.search_api(search.Corpus(corpora.notes(spark, folder).persist()), "archive budget", 20, fuzzy=True, filters=Filters(max_heading_level=3)).results
+    got = search.search_api(corpus(spark, folder), "archive budget", 20, fuzzy=True, filters=Filters(max_heading_level=3)).results
     return got.select("rank", "key", "match_type", "match_reason", "via", "score")
 
 

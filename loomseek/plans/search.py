@@ -18,6 +18,7 @@ from loomseek.functions import text
 from loomseek.operators import budget, fusion, scoring, textindex
 from loomseek.operators.budget import Work
 from loomseek.operators.filters import Filters
+from loomseek.session import fresh_path
 
 MODES = ("exact", "lexical", "fuzzy", "semantic")
 
@@ -124,15 +125,19 @@ def _stale(rows: DataFrame, corpus: Corpus) -> bool:
     return bool(checked.filter(~F.col("d").eqNullSafe(F.col("digest"))).limit(1).count())
 
 
-def semantic_provider(embed_query: Callable[[str], list[float]], vectors: DataFrame, chunks: DataFrame, targets: DataFrame, config: Config = Config(), prefilter: bool = False) -> SemanticProvider:
+def semantic_provider(embed_query: Callable[[str], list[float]], vectors: DataFrame, chunks: DataFrame, targets: DataFrame, config: Config = Config(), prefilter: bool = False, prepared: str | None = None) -> SemanticProvider:
     """Centred, hub-corrected search in the vectors of the configured model.
 
     Filters apply to the best chunks, or with ``prefilter`` to the pool.
+    ``prepared`` is where ``scoring.prepare`` has written these vectors;
+    without it they are written now.
     """
-    rows = vectors.filter(F.col("model_id") == config.model).select(F.col("text_digest").alias("digest"), "vector")
-    mean = scoring.mean_array(rows)
-    cent = scoring.centred(rows, mean).persist()
-    hub = scoring.hubs(cent, neighbours=config.hub_neighbours, block=config.hub_block).persist()
+    spark = vectors.sparkSession
+    if prepared is None:
+        prepared = fresh_path(spark, "vectors")
+        rows = vectors.filter(F.col("model_id") == config.model).select(F.col("text_digest").alias("digest"), "vector")
+        scoring.prepare(rows, prepared, config=config)
+    mean, cent, hub = scoring.prepared(spark, prepared)
 
     def search(query: str, filters: Filters, limit: int) -> DataFrame:
         k = min(200, max(50, limit * 5))

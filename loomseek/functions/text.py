@@ -103,8 +103,11 @@ def windows(text: Column, most: int = 1500, overlap: int = 300, dedup: bool = Fa
 
 
 def aliases(value: Column) -> Column:
-    """Names in an alias value: separated by white space, a double-quoted run is one; of null none."""
-    return F.transform(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(r'("[^"]*"|\S+)'), F.lit(1)), lambda a: F.regexp_replace(a, '^"(.*)"$', "$1"))
+    """Names in an alias value: separated by white space or quotes, a double-quoted run (with backslash escapes) is one. Of null, and of a value with an open quote, none."""
+    quoted, value = r'"(?:[^"\\]|\\.)*"', F.coalesce(value, F.lit(""))
+    parts = F.regexp_extract_all(value, F.lit(quoted + r'|[^\s"]+'), F.lit(0))
+    bare = F.transform(parts, lambda a: F.when(F.startswith(a, F.lit('"')), F.regexp_replace(F.regexp_replace(a, '(?s)^"(.*)"$', "$1"), r"\\(.)", "$1")).otherwise(a))
+    return F.when(F.contains(F.regexp_replace(value, quoted, ""), F.lit('"')), F.array().cast("array<string>")).otherwise(bare)
 
 
 def parse_keyword(value: Column) -> tuple[Column, Column]:

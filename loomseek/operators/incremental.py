@@ -52,11 +52,16 @@ def logged(run_log: DataFrame, index_runs: DataFrame) -> DataFrame:
     return last.filter("o.outcome is null or o.outcome != 'removed'").select(F.lit("sources").alias("tab"), F.col("path").alias("rec_key"), "o.root", "o.digest")
 
 
+def usable_rows(vectors: DataFrame, model: str) -> DataFrame:
+    """Rows of vectors of the model that are not null, have exactly dim values, and only finite ones."""
+    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    good = (F.col("model_id") == model) & F.col("vector").isNotNull() & (F.size("vector") == F.col("dim")) & finite
+    return vectors.filter(good & F.col("text_digest").isNotNull())
+
+
 def usable(vectors: DataFrame, model: str) -> DataFrame:
     """Digests that have a usable vector of the model."""
-    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    good = vectors.filter((F.col("model_id") == model) & F.col("vector").isNotNull() & (F.size("vector") == F.col("dim")) & finite)
-    return good.filter("text_digest is not null").select("text_digest").distinct()
+    return usable_rows(vectors, model).select("text_digest").distinct()
 
 
 def texts(rows: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ class Store:
 
     def embed_pending(self, embed, batch: int | None = None) -> int:
         """Embed the next pending texts; gives their number."""
-        todo = self.pending().orderBy("text_digest").limit(batch or self.config.embed_batch)
+        todo = next_batch(self.pending(), batch or self.config.embed_batch)
         rows = todo.select(F.lit(self.config.model).alias("model_id"), "text_digest", embed(F.col("text")).alias("vector")).persist()
         n = rows.count()
         if n:
@@ -193,6 +193,11 @@ def summary(status: dict) -> str:
     return f"{status['state']} | {part}"
 
 
+def next_batch(pending: DataFrame, size: int) -> DataFrame:
+    """The first pending texts in the order of their digests."""
+    return pending.orderBy("text_digest").limit(size)
+
+
 def latest(rows: DataFrame, keys: list[str], by: str, *columns: str) -> DataFrame:
     """Each key's row with the greatest ``by`` (null comes before all), with the columns asked for only."""
     rest = [c for c in columns or rows.columns if c not in keys]

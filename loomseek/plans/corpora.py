@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseek.operators import scoring, textindex
+from loomseek.operators.incremental import usable_rows
 from loomseek.operators.store import latest
 from loomseek.session import stored, table
 
@@ -65,3 +66,15 @@ def prepared_vectors(spark: SparkSession, folder: str) -> tuple[list[float], Dat
     """(mean, centred rows, hubs) of the embeddings, computed once for these vectors."""
     path = stored(spark, "vectors", [f"{folder}/embeddings.parquet"], lambda p: scoring.prepare(embedded(spark, folder), p))
     return scoring.prepared(spark, path)
+
+
+def note_vectors(spark: SparkSession, folder: str, model: str = "lantern-s") -> DataFrame:
+    """(digest, vector): one usable vector of the model for each text, of several the smallest; vectors of zeros are left out."""
+    rows = usable_rows(table(spark, folder, "vectors"), model).filter(F.exists("vector", lambda x: x != 0))
+    return rows.groupBy(F.col("text_digest").alias("digest")).agg(F.min("vector").alias("vector"))
+
+
+def prepared_notes(spark: SparkSession, folder: str) -> tuple[list[float], DataFrame, DataFrame]:
+    """(mean, centred rows, hubs) of the notes' vectors, computed once for these vectors."""
+    path = stored(spark, "note-vectors", [f"{folder}/vectors.parquet"], lambda p: scoring.prepare(note_vectors(spark, folder), p))
+    return scoring.prepared(spark, path)

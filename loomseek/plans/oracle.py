@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loomseek.functions import text
 from loomseek.operators.textindex import query_words
-from loomseek.plans.queries import INBOX, MODEL, NAMES_ASKED, PHRASE, TYPO
+from loomseek.plans.queries import INBOX, MODEL, NAMES_ASKED, PHRASE, SEARCHES, TITLE, TYPO
 
 _Q = text.trigrams(TYPO)
 
@@ -133,7 +133,8 @@ top as (select *, row_number() over (order by pinned desc, score desc, first.s,
 g as (select *, score - coalesce(lead(score) over (order by rank), 0) as margin from top)"""
 
 _FOUR = ("semantic", "exact", "lexical", "fuzzy")
-_ALIAS = "list_transform(regexp_extract_all(coalesce(" + prop("aliases") + ", ''), '(\"[^\"]*\"|\\S+)', 1), lambda a: regexp_replace(a, '^\"(.*)\"$', '\\1'))"
+_NAMES = "coalesce(" + prop("aliases") + ", '')"
+_ALIAS = f"case when (length({_NAMES}) - length(replace({_NAMES}, chr(34), ''))) % 2 = 1 then [] else list_transform(regexp_extract_all({_NAMES}, '\"[^\"]*\"|[^\\s\"]+'), lambda a: replace(a, chr(34), '')) end"
 _OUTLINE = "select path, max(case when kind = 'file' then title end) as title, list({'p': position, 'l': level, 't': title} order by position, level, title) filter (kind = 'heading') as h from t group by path"
 
 
@@ -153,6 +154,86 @@ select *, 'added' as change from (select * from p except select * from d) union
 DIFF = f"""with {RUNS}, d as (select coalesce(n.path, l.path) as path, case when l.path is null then 'added' when n.path is null then 'removed'
  when l.digest is not distinct from n.digest and l.root is not distinct from n.root then 'unchanged' else 'changed' end as status from n full join l on n.path = l.path)"""
 
+OUTLINES = "o as (select path, max(case when kind = 'file' then title end) as file_title, coalesce(string_agg(title, chr(10) order by position, title) filter (kind = 'heading' and level <= 2), '') as outline from t group by path)"
+PASSAGES = f"""{OUTLINES}, s as (select t.*, {strip_noise('body')} as clean, {CONTEXT} as context from t),
+pas as (select key, case when kind = 'file' then concat_ws(chr(10), title, outline, clean) else concat_ws(chr(10) || chr(10), case when {words("concat_ws(' ', context, clean)")} < 6 then file_title end, context, clean) end as text from s join o on o.path = s.path)"""
+#: Windows of paragraphs [s, e]: each ends with the paragraph that makes it full, and the next begins with that one again.
+CHUNKS = f"""with recursive {NOTES}, {PASSAGES},
+para as (select key, list_filter(list_transform(regexp_split_to_array(text, '\\n[ \\t]*\\n'), lambda x: {trim('x')}), lambda x: x <> '') as ps from pas),
+flat as (select key, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as p from para),
+c as (select *, length(p) + 1 as l, sum(length(p) + 1) over (partition by key order by i) as c from flat),
+w as (select key, 0 as ord, 1::bigint as s, coalesce(min(i) filter (c >= 1500), max(i)) as e, coalesce(bool_or(c >= 1500), false) as full_ from c group by key
+union all select w.key, w.ord + 1, w.e, coalesce(min(c.i) filter (c.i > w.e and c.c - z.c + z.l >= 1500), max(c.i)), coalesce(bool_or(c.i > w.e and c.c - z.c + z.l >= 1500), false) from w join c on c.key = w.key join c z on z.key = w.key and z.i = w.e where w.full_ group by w.key, w.ord, w.e),
+x as (select w.key, w.ord, string_agg(c.p, chr(10) || chr(10) order by c.i) as text from w join c on c.key = w.key and c.i between w.s and w.e group by w.key, w.ord)
+select key || '#chunk:' || ord as key, key as target_key, ord, sha256({trim('text')}) as text_digest from x where {words('text')} >= 6"""
+
+_SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+SNIPPETS = f"""with {bm25('archive')}, best as (select key from b order by bm25 desc, key limit 100),
+sw as (select t.key, list_filter(regexp_split_to_array(coalesce(t.body, ''), '{_SPACES}'), lambda x: x <> '') as w from t join best on best.key = t.key),
+sh as (select *, list_transform(w, lambda x: (len(list_filter({tokens('x')}, lambda y: starts_with(y, 'archive'))) > 0)::int) as h, greatest(0, len(w) - 16) as last from sw),
+sa as (select *, list_transform(range(0, last + 1), lambda i: coalesce(list_sum(h[i + 1:i + 16]), 0)) as d from sh),
+sb as (select *, list_position(d, list_max(d)) - 1 as at0 from sa),
+sc as (select *, case when coalesce(list_sum(h[at0 + 1:at0 + 16]), 0) > 0 then greatest(0, least(greatest(at0, at0 + list_position(h[at0 + 1:], 1) - 1 - 8), last)) else at0 end as "at" from sb)
+select key, case when "at" > 0 then '…' else '' end || coalesce(array_to_string(list_transform(range("at" + 1, least("at" + 16, len(w)) + 1), lambda i: case when h[i] = 1 then '[' || w[i] || ']' else w[i] end), ' '), '') || case when "at" + 16 < len(w) then '…' else '' end as snippet from sc"""
+
+DOCS = f"""d as (select doc_id as n, '/docs/' || doc_id || '.org' as path, coalesce(lang, 'none') as lang from documents),
+f as (select *, '#+TITLE: Note ' || n || chr(10) || '#+PROPERTY: LANG ' || lang || chr(10) || 'intro of ' || n || chr(10) || 'more of it' || chr(10) || chr(10) || 'second paragraph' || chr(10) as a,
+ '* TODO [#A] Head ' || n || ' :tag' || n % 7 || ':work:' || chr(10) || 'SCHEDULED: <2024-01-02 Tue>' || chr(10) || ':PROPERTIES:' || chr(10) || ':ID: id-' || n || chr(10) || ':KIND: k' || n % 3 || chr(10) || ':END:' || chr(10) || 'body of the head' || chr(10) || '| a | table |' || chr(10)
+ || '#+begin_src sh' || chr(10) || 'echo x' || chr(10) || '#+end_src' || chr(10) || 'after it' || chr(10) as b,
+ '** Child' || chr(10) || ':PROPERTIES:' || chr(10) || ':LANG: own' || chr(10) || ':END:' || chr(10) || '- item one' || chr(10) || '- [X] item two' || chr(10) || '[fn:1] a note' || chr(10) as c, '* DONE Last' || chr(10) as e from d),
+r as (select *, sha256(a || b || c || e) as digest from f)"""
+ORG_RECORDS = f"""with {DOCS}
+select path || '#file' as key, 'file' as kind, 'Note ' || n as title, 'intro of ' || n || chr(10) || 'more of it' || chr(10) || 'second paragraph' as body, null as org_id, 1::bigint as position, 0 as level, '' as outline, lang, null as kind_of from r
+union all select path || '@' || digest || '#heading:1', 'heading', 'Head ' || n, 'body of the head' || chr(10) || 'after it', 'id-' || n, length(a) + 1, 1, 'Head ' || n, lang, 'k' || n % 3 from r
+union all select path || '@' || digest || '#heading:2', 'heading', 'Child', 'item one' || chr(10) || 'item two' || chr(10) || 'a note', null, length(a) + length(b) + 1, 2, 'Head ' || n || ' / Child', 'own', 'k' || n % 3 from r
+union all select path || '@' || digest || '#heading:3', 'heading', 'Last', '', null, length(a) + length(b) + length(c) + 1, 1, 'Last', lang, null from r"""
+ORG_OUTLINES = f"""with {DOCS} select path, 'Note ' || n as title, 3 as heading_count, true as truncated, '1|Head ' || n || '|TODO|false|A|tag' || n % 7 || ',work|id-' || n || '|Head ' || n || chr(10) || '2|Child|false||Head ' || n || ' / Child' as headings from r"""
+
+
+def _provider(name: str, rows: str, order: str, left: str, pool: int, eligible: str) -> str:
+    """CTEs of one provider under the budget: NAME_w(examined, incomplete, extra, stale) and NAME_r, its ranked rows."""
+    return f"""{name}_n as (select *, row_number() over (order by {order}) as place from ({rows})), {name}_f as (select *, {eligible} as ok from {name}_n where place <= {left} + 1),
+{name}_m as (select *, sum(ok::int) over (order by place) as nth from {name}_f),
+{name}_a as (select min(case when ok and nth = {pool + 1} and place <= {left} then place end) as o, count(*) as n, {left} as budget from {name}_m),
+{name}_w as (select coalesce(least(ceil(o / 100.0) * 100, budget, n), least(n, budget))::int as examined, o is null and n >= budget and n > 0 as incomplete, o is not null as extra from {name}_a),
+{name}_s as (select m.* from {name}_m m, {name}_w w where m.place <= w.examined),
+{name}_r as (select key, row_number() over (order by place) - 1 as rank from {name}_s where ok and nth <= {pool})"""
+
+
+def search_sql(name: str, facts: bool) -> str:
+    """A search of the notes with its budget: the ranked rows, or what the result-set says about itself."""
+    query, limit, level, most = SEARCHES[name]
+    pool, eligible = max(limit, 50), f"coalesce(not (kind = 'heading' and level > {level}), true)"
+    grams = " or ".join(f"contains(lower(title), '{g}')" for g in text.trigrams(query))
+    scale = f"greatest(1, {len(query)}, length(title))"
+    similarity = f"100.0 * ({scale} - levenshtein(lower(title), '{query.lower()}')) / {scale}"
+    synth = "greatest(85.0, 94.0 - rank * 0.01)"
+    parts = f"""with {bm25(query)}, {RUNS}, {_provider('ex', f"select * from t where title = '{query}'", 'path, position', str(most), pool, eligible)},
+l1 as (select {most} - examined as n from ex_w),
+{_provider('lx', 'select t.*, b.bm25 from b join t on t.key = b.key', 'bm25 desc, path, position', '(select n from l1)', pool, eligible)},
+l2 as (select l1.n - examined as n from l1, lx_w), cap as (select least(n, 500) as cap, n from l2),
+fz_s as (select *, {similarity} as sim, {eligible} as ok from (select *, row_number() over (order by title, path, position) as place from t where {grams}) where place <= (select cap from cap)),
+fz_g as (select * from fz_s where ok and sim >= 60 order by sim desc, title desc, path desc, position desc limit {pool}),
+fz_c as (select count(*) as examined, count(*) filter (ok and sim >= 60) as good from fz_s),
+fz_w as (select examined, examined >= cap and not good > {pool} and n <= 500 as incomplete, good > {pool} as extra from fz_c, cap),
+x as (select key, 'exact' as mode, 1 as seq, rank, 1.0::double / (61.0 + rank) as c from ex_r union all select key, 'lexical', 3, rank, 0.8 / (61.0 + rank) from lx_r
+union all select key, 'fuzzy', 4, row_number() over (order by sim desc, title desc, path desc, position desc) - 1 as rank, 0.3 / (60.0 + row_number() over (order by sim desc, title desc, path desc, position desc)) from fz_g),
+f as (select key, sum(c) as score, bool_or(mode = 'exact') as pinned, arg_max(mode, {{'c': c, 's': seq}}) as match_type, min({{'s': seq, 'r': rank}}) as first,
+ string_agg(mode || ' #' || (rank + 1), ' + ' order by c desc, seq desc) as reason, string_agg(case mode when 'lexical' then 'lex' else mode end, '+' order by c desc, seq desc) as via from x group by key)"""
+    if not facts:
+        return f"""{parts}, top as (select *, row_number() over (order by pinned desc, score desc, first.s, first.r) as rank from f qualify rank <= {limit})
+select top.rank, top.key, match_type, reason as match_reason, via, round(score, 8) as score, n.digest is not distinct from t.digest as source_current from top join t on t.key = top.key left join n on n.path = t.path"""
+    return f"""{parts}, q as (select ex_w.incomplete or lx_w.incomplete or fz_w.incomplete as incomplete, ex_w.extra or lx_w.extra or fz_w.extra or (select count(*) from f) > {limit} as extra, ex_w.examined + lx_w.examined + fz_w.examined as work from ex_w, lx_w, fz_w),
+seen as (select path, digest from ex_s union select path, digest from lx_s union select path, digest from fz_s),
+st as (select count(*) > 0 as stale from seen left join n on n.path = seen.path where n.digest is distinct from seen.digest)
+select case when incomplete then 'incomplete' when extra then 'truncated' else 'complete' end as completeness, case when stale then 'stale-source-present' when (select count(*) from f) > 0 then 'sources-checked-current' else 'index-checked' end as freshness,
+ incomplete or extra as truncated, work::int as work_examined, case when incomplete then 'incomplete' else 'False' end as degraded, case when (select n from l2) > 0 then 'exact lexical fuzzy' else 'exact lexical' end as used, 0 as n_errors, {limit} as row_limit from q, st"""
+
+
+_GOOD = "vector is not null and len(vector) = dim and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and text_digest is not null"
+NOTE_VECTORS = f"""e as (select text_digest as digest, min(vector)::double[] as v from vectors where model_id = '{MODEL}' and {_GOOD} and len(list_filter(vector, lambda x: x <> 0)) > 0 group by text_digest),
+""" + VECTORS.split("\n", 1)[1]
+
 SQL: dict[str, str] = {
     "p6_found": P6,
     "p6_changes": P6_CHANGES,
@@ -180,7 +261,7 @@ SQL: dict[str, str] = {
     "accounting_complete": _accounted(100000, 100000000, 1),
     "freshness": f"with {NOTES}, {RUNS} select key, (n.digest is not distinct from lower(t.digest)) as source_current from t left join n on n.path = t.path",
     "exact_title": f"with {PARTS} select key, path, position from p where title = '{PHRASE}' order by path, position limit 100",
-    "exact_title_notes": _select("key", "title = 'И что'"),
+    "exact_title_notes": _select("key", f"title = '{TITLE}'"),
     "alias_match": _select("key", "kind = 'file' and len(list_filter(" + _ALIAS + f", lambda a: lower(a) in ({', '.join(repr(n) for n in NAMES_ASKED)}))) > 0"),
     "alias_names": f"select key, n - 1 as n, a[n] as alias from (with {NOTES} select key, {_ALIAS} as a from t), unnest(range(1, 100)) as u(n) where n <= len(a)",
     "fuzzy_prefilter": f"with {PARTS} select key from p where " + " or ".join(f"contains(lower(title), '{g}')" for g in _Q),
@@ -201,7 +282,22 @@ SQL: dict[str, str] = {
     "semantic_topk": f"with {scored()} select {_SHOWN} from z where pool < 10 or z.z >= 2.0 order by z.score desc, digest limit 50",
     "semantic_small_pool": f"with {scored('digest < 7')} select {_SHOWN} from z where pool < 10 or z.z >= 3.0 order by z.score desc, digest limit 50",
     "vector_codec": "select vec_id as digest, ((len(embedding) * 4 + 2) // 3) * 4 as size, true as same from embeddings",
-    "hash_embed": "select word, (('0x' || substr(md5(lower(word)), 1, 8))::bigint % 64)::int as pos, 1.0::double as x from (select distinct word from common_words)",
+    "hash_embed": f"""with c as (select text_digest, min(text) as text from chunks group by 1), w as (select text_digest, list_filter(regexp_split_to_array(lower(text), '{_SPACES}'), lambda x: x <> '')[1:512] as w from c),
+h as (select text_digest, (('0x' || substr(md5(x), 1, 8))::bigint % 64)::int as pos, count(*) as n from (select text_digest, unnest(w) as x from w) group by 1, 2),
+t as (select text_digest, sqrt(sum(n * n)) as z from h group by 1) select h.text_digest, pos, round(n / z, 4) as x from h join t on t.text_digest = h.text_digest""",
+    "semantic_targets": f"""with {NOTE_VECTORS}, {HUBS}, q as (select list_transform(list_zip(v, m), lambda z: z[1] - z[2]) as s from (select * from e order by digest limit 1), mean),
+qq as (select list_transform(s, lambda x: x / greatest(sqrt(list_inner_product(s, s)), 1e-12)) as c from q),
+cand as (select cent.digest, list_inner_product(cent.c, qq.c) - 0.5 * hub.hub as score from cent join hub on cent.digest = hub.digest, qq), st as (select median(score) as med, stddev_pop(score) as sd from cand),
+best as (select digest, score, (score - med) / sd as z from cand, st where (score - med) / sd >= 1.0 order by score desc, digest limit 50),
+own as (select text_digest, min(target_key) as target_key from chunks group by 1)
+select target_key, round(max(score), 6) as score, round(arg_max(z, score), 4) as z from best join own on own.text_digest = best.digest group by target_key""",
+    "pending_batch": f"select text_digest, min(text) as text from chunks where text_digest not in (select text_digest from vectors where model_id = '{MODEL}' and {_GOOD}) group by text_digest order by text_digest limit 32",
+    "chunks": CHUNKS,
+    "lexical_snippets": SNIPPETS,
+    "org_records": ORG_RECORDS,
+    "org_outlines": ORG_OUTLINES,
+    "fused_display": f"""with {hits(*_FOUR)}, {FUSED}, v as (select key, string_agg(case when mode = 'semantic' then 'sem' || round_even(z, 0)::int when mode = 'lexical' then 'lex' else mode end, '+' order by c desc, seq desc) as via from x group by key)
+select g.key, title, kind, regexp_extract(path, '([^/]*)$', 1) as source, match_type, case when g.rank % 2 = 1 then 'yes' else 'stale' end as fresh, v.via from g join p on p.key = g.key join v on v.key = g.key""",
     "normalized_norm": "select vec_id as digest, 1.0::double as norm from embeddings",
     "fused_two_modes": f"with {hits('exact', 'lexical')}, {FUSED} select rank, key, round(score, 8) as score, round(margin, 8) as margin, pinned, match_type, reason as match_reason from g",
     "fused_four_modes": f"with {hits(*_FOUR)}, {FUSED} select g.rank, g.key, round(g.score, 8) as score, round(margin, 8) as margin, pinned, match_type, n_modes, '[[file:' || path || '::' || position || '][' || title || ']]' as link from g join p on p.key = g.key",
@@ -231,5 +327,8 @@ select j.key, case when j.n > 1 then 'ambiguous' when n.digest is distinct from
 }
 
 
+SQL |= {f"search_{n}": search_sql(n, False) for n in SEARCHES} | {f"facts_{n}": search_sql(n, True) for n in SEARCHES}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

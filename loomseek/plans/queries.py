@@ -14,15 +14,17 @@ from loomseek.operators import budget, chunking, fusion, incremental, scoring, s
 from loomseek.operators.filters import Filters, PropertyFilter
 from loomseek.plans import corpora, search
 from loomseek.session import table
+from loomseek.sources import orgfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 INBOX = "/notes/personal/inbox/everything.org"
 PHRASE = "red plate"
+TITLE = "И что"
 TYPO = "rde plate"
 MODEL = "lantern-s"
-NAMES_ASKED = ("and", "the", "of", "in", "it", "der", "die", "nach", "que", "la", "de", "som", "en", "van", "to", "for", "a")
+NAMES_ASKED = ("den", "fenêtre", "delay", "with and", "est", "is", "la", "les", "son", "together", "print", "common", "journal", "wekelijks", "frase projeto", "sentence", "recipe narrow")
 
 
 def query(f: Query) -> Query:
@@ -152,7 +154,7 @@ def exact_title(spark, folder):
 
 @query
 def exact_title_notes(spark, folder):
-    return corpora.notes(spark, folder, "key", "title").filter(F.col("title") == "И что").select("key")
+    return corpora.notes(spark, folder, "key", "title").filter(F.col("title") == TITLE).select("key")
 
 
 @query
@@ -291,8 +293,20 @@ def vector_codec(spark, folder):
 
 @query
 def hash_embed(spark, folder):
-    rows = table(spark, folder, "common_words").select("word").distinct()
-    return rows.select("word", F.posexplode(V.hash_embedder(64)("word")).alias("pos", "x")).filter("x > 0").select("word", "pos", F.round("x", 6).alias("x"))
+    """Whole texts, normalised counts of their tokens."""
+    rows = corpora.passages(spark, folder, "text_digest", "text").groupBy("text_digest").agg(F.min("text").alias("text"))
+    return rows.select("text_digest", F.posexplode(V.hash_embedder(64)("text")).alias("pos", "x")).filter("x > 0").select("text_digest", "pos", F.round("x", 4).alias("x"))
+
+
+@query
+def semantic_targets(spark, folder):
+    """The best chunk of each target for a query, in the vectors of the model in use."""
+    vectors = corpora.note_vectors(spark, folder)
+    mean, cent, hub = corpora.prepared_notes(spark, folder)
+    asked = vectors.orderBy("digest").first()["vector"]
+    best = scoring.top(scoring.score(cent, hub, mean, asked), 50, Config(semantic_min_z=1.0))
+    got = scoring.target_hits(best, table(spark, folder, "chunks"))
+    return got.select("target_key", F.round("score", 6).alias("score"), F.round("z", 4).alias("z"))
 
 
 @query
@@ -346,6 +360,41 @@ def group_fuzzy(spark, folder):
     return fusion.group_results(got).select("lead_key", "title", "n", F.array_join("keys", " ").alias("keys"), "rank")
 
 
+@query
+def fused_display(spark, folder):
+    """Rows of a results list, with the contributions in short."""
+    got = _answer(spark, folder, "semantic", "exact", "lexical", "fuzzy").withColumn("source_current", F.col("rank") % 2 == 1)
+    return fusion.display(got)
+
+
+def _facts(got: search.ResultSet, spark: SparkSession) -> DataFrame:
+    """What a result-set says about itself, as one row."""
+    row = (got.completeness, got.freshness, got.truncated, got.work_examined, str(got.degraded), " ".join(got.used), len(got.provider_errors), got.limit)
+    return spark.createDataFrame([row], "completeness string, freshness string, truncated boolean, work_examined int, degraded string, used string, n_errors int, row_limit int")
+
+
+#: query, limit, deepest level, budget of rows to examine
+SEARCHES = {"archive": ("archive budget", 20, 3, 2000), "title": (TITLE, 5, 2, 2000), "narrow": ("de la", 10, 1, 120)}
+
+
+def _searched(name: str, spark: SparkSession, folder: str) -> search.ResultSet:
+    q, limit, level, most = SEARCHES[name]
+    c = corpus(spark, folder, True)
+    c.config = Config(work_budget=most)
+    return search.search_api(c, q, limit, fuzzy=True, filters=Filters(max_heading_level=level))
+
+
+def _search_rows(name: str) -> Query:
+    def run(spark, folder):
+        got = _searched(name, spark, folder).results
+        return got.select("rank", "key", "match_type", "match_reason", "via", F.round("score", 8).alias("score"), "source_current")
+
+    return run
+
+
+QUERIES |= {f"search_{n}": _search_rows(n) for n in SEARCHES} | {f"facts_{n}": lambda spark, folder, n=n: _facts(_searched(n, spark, folder), spark) for n in SEARCHES}
+
+
 @query
 def search_notes(spark, folder):
     got = search.search_api(corpus(spark, folder), "archive budget", 20, fuzzy=True, filters=Filters(max_heading_level=3)).results
@@ -396,12 +445,47 @@ def pending_texts(spark, folder):
     return chunking.pending(table(spark, folder, "chunks"), table(spark, folder, "vectors").filter("vector is not null"), MODEL).select("text_digest")
 
 
+@query
+def pending_batch(spark, folder):
+    """The next texts to embed."""
+    return store.next_batch(chunking.pending(table(spark, folder, "chunks"), incremental.usable_rows(table(spark, folder, "vectors"), MODEL), MODEL), 32)
+
+
 @query
 def shared_texts(spark, folder):
     rows = corpora.passages(spark, folder, "key", "text_digest").groupBy("text_digest").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
     return rows.filter("n > 1")
 
 
+# Org files ---------------------------------------------------------------------------------
+
+
+def org_files(spark, folder) -> DataFrame:
+    """(path, content, digest) of one Org file for each document."""
+    d, n = F.col("doc_id").cast("string"), F.col("doc_id")
+    parts = [
+        F.lit("#+TITLE: Note "), d, F.lit("\n#+PROPERTY: LANG "), F.coalesce("lang", F.lit("none")), F.lit("\nintro of "), d, F.lit("\nmore of it\n\nsecond paragraph\n* TODO [#A] Head "), d,
+        F.lit(" :tag"), (n % 7).cast("string"), F.lit(":work:\nSCHEDULED: <2024-01-02 Tue>\n:PROPERTIES:\n:ID: id-"), d, F.lit("\n:KIND: k"), (n % 3).cast("string"),
+        F.lit("\n:END:\nbody of the head\n| a | table |\n#+begin_src sh\necho x\n#+end_src\nafter it\n** Child\n:PROPERTIES:\n:LANG: own\n:END:\n- item one\n- [X] item two\n[fn:1] a note\n* DONE Last\n"),
+    ]
+    rows = table(spark, folder, "documents", "doc_id", "lang").select(F.concat(F.lit("/docs/"), d, F.lit(".org")).alias("path"), F.concat(*parts).alias("content"))
+    return rows.select("path", F.col("content").cast("binary").alias("content"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+@query
+def org_records(spark, folder):
+    rows = orgfile.project(org_files(spark, folder))
+    props = [text.prop(F.col("properties"), k).alias(a) for k, a in (("LANG", "lang"), ("KIND", "kind_of"))]
+    return rows.select("key", "kind", "title", "body", "org_id", "position", "level", F.array_join("outline_path", " / ").alias("outline"), *props)
+
+
+@query
+def org_outlines(spark, folder):
+    rows = orgfile.outlines(org_files(spark, folder), 2)
+    line = lambda h: F.concat_ws("|", h["level"].cast("string"), h["title"], h["todo_keyword"], h["closed"].cast("string"), h["priority"], F.array_join(h["tags"], ","), h["org_id"], F.array_join(h["outline_path"], " / "))
+    return rows.select("path", "title", "heading_count", "truncated", F.array_join(F.transform("headings", line), "\n").alias("headings"))
+
+
 # index maintenance --------------------------------------------------------------------------
 
 

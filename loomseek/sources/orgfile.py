@@ -2,8 +2,10 @@
 
 A line parser for what retrieval needs: headings with keyword, priority and
 tags, planning lines, property drawers, keyword lines, and the paragraphs that
-stand directly under a heading. Tables, blocks, drawers, lists' structure and
-comments are no paragraphs. Files parse independently of each other.
+stand directly under a heading: also those of list items, footnote
+definitions, drawers, and quote, center and special blocks. Tables, source,
+example, export, comment and verse blocks, LaTeX environments, comments and
+property drawers hold no paragraphs. Files parse independently of each other.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ _DRAWER = re.compile(r"^[ \t]*:([\w-]+):[ \t]*$")
 _END = re.compile(r"^[ \t]*:END:[ \t]*$", re.I)
 _BEGIN = re.compile(r"^[ \t]*#\+begin_(\w+)", re.I)
 _ITEM = re.compile(r"^[ \t]*(?:[-+]|\d+[.)])(?:[ \t]+|$)|^[ \t]+\*[ \t]")
+_LATEX = re.compile(r"^[ \t]*\\begin\{([^{}\n]+)\}")
+_FOOTNOTE = re.compile(r"^\[fn:[^\]\s]+\][ \t]*")
+#: Blocks whose lines are no Org text.
+_RAW = ("src", "example", "export", "comment", "verse")
 _DONE = ("DONE",)
 _TODO = ("TODO",)
 
@@ -71,22 +77,36 @@ def paragraphs(lines: list[str]) -> str:
             out.append("\n".join(held).strip())
             held.clear()
 
-    i = 0
+    endless: set[str] = set()  # ends that don't come any more
+
+    def end_of(pattern: str, start: int) -> int | None:
+        if pattern in endless:
+            return None
+        end = re.compile(pattern, re.I)
+        stop = next((k for k in range(start, len(lines)) if end.match(lines[k])), None)
+        if stop is None:
+            endless.add(pattern)
+        return stop
+
+    i, marks = 0, set()  # marks: lines that only end a block or drawer
     while i < len(lines):
         line = lines[i]
+        stop, inside = None, False
         if m := _BEGIN.match(line):
-            end = re.compile(rf"^[ \t]*#\+end_{re.escape(m.group(1))}[ \t]*$", re.I)
-            stop = next((k for k in range(i + 1, len(lines)) if end.match(lines[k])), None)
-            if stop is not None:
-                close()
-                i = stop + 1
-                continue
-        if _DRAWER.match(line) and not _END.match(line):
-            stop = next((k for k in range(i + 1, len(lines)) if _END.match(lines[k])), None)
-            if stop is not None:
-                close()
-                i = stop + 1
-                continue
+            stop, inside = end_of(rf"^[ \t]*#\+end_{re.escape(m.group(1))}[ \t]*$", i + 1), m.group(1).lower() not in _RAW
+        elif m := _LATEX.match(line):
+            stop = end_of(rf"^[ \t]*\\end\{{{re.escape(m.group(1))}\}}[ \t]*$", i)
+        elif (m := _DRAWER.match(line)) and not _END.match(line):
+            stop, inside = end_of(_END.pattern, i + 1), m.group(1).upper() != "PROPERTIES"
+        if stop is not None or i in marks:
+            close()
+            if inside:
+                marks.add(stop)
+            i = i + 1 if inside or stop is None else stop + 1
+            continue
+        if m := _FOOTNOTE.match(line):
+            close()
+            line = line[m.end() :]
         s = line.strip()
         if not s or _KEYWORD.match(line) or s.startswith("|") or re.match(r"^#(?: |$)", s) or re.match(r"^:(?: |$)", s) or re.match(r"^-{5,}$", s) or s.startswith("CLOCK:"):
             close()

@@ -46,6 +46,7 @@ def test_noise_words_and_aliases(spark):
     assert one(spark, None, text.strip_noise) == ""
     assert one(spark, "ab abc äöü 123 x-ray", text.word_count) == 3
     assert one(spark, 'a "b c"  d', text.aliases) == ["a", "b c", "d"] and one(spark, None, text.aliases) == []
+    assert one(spark, 'a "open b', text.aliases) == [] and one(spark, r'"say \"x\" now" y"z w"', text.aliases) == ['say "x" now', "y", "z w"] and one(spark, '""', text.aliases) == [""]
     assert one(spark, "Über die STRASSE, ok?", text.tokens) == ["uber", "die", "strasse", "ok"] == text.tokenize("Über die STRASSE, ok?")
     assert one(spark, "KEY   some value", lambda c: F.concat_ws("|", *text.parse_keyword(c))) == "KEY|some value"
 

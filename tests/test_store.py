@@ -72,6 +72,31 @@ def test_outline():
     assert [h["title"] for h in capped["headings"]] == ["Same heading"] and capped["heading_count"] == 3 and capped["truncated"]
 
 
+def test_paragraphs():
+    text = """one
+two
+#+begin_quote
+quoted text
+#+end_quote
+#+begin_example
+raw
+#+end_example
+:LOGBOOK:
+- State "DONE" and a note
+CLOCK: [2024-01-01 Mon]
+:END:
+[fn:1] the note
+goes on
+\\begin{equation}
+x = 1
+\\end{equation}
+last #+end_quote
+#+begin_src never closed
+"""
+    assert orgfile.paragraphs(text.split("\n")).split("\n") == ["one", "two", "quoted text", 'State "DONE" and a note', "the note", "goes on", "last #+end_quote", "#+begin_src never closed"]
+    assert orgfile.paragraphs(["#+begin_a"] * 3000 + [":x:"] * 3000)
+
+
 def test_odd_texts_parse():
     assert [r["title"] for r in orgfile.records("/x/e.org", "d", "")] == ["e"]
     assert len(orgfile.records("/x/b.org", "d", "#+begin_src\nnever closed\n* H\n")) == 2

@@ -60,17 +60,19 @@ class Preset:
     query_prefix: str
     passage_prefix: str
     most_tokens: int
+    model_id: str = ""
 
 
 #: The known models.
 PRESETS = {
-    "e5-small": Preset("e5-small", 384, "mean", "query: ", "passage: ", 512),
-    "e5-base": Preset("e5-base", 768, "mean", "query: ", "passage: ", 512),
-    "bge-m3": Preset("bge-m3", 1024, "cls", "", "", 8192),
+    "e5-small": Preset("e5-small", 384, "mean", "query: ", "passage: ", 512, "intfloat/multilingual-e5-small"),
+    "e5-base": Preset("e5-base", 768, "mean", "query: ", "passage: ", 512, "intfloat/multilingual-e5-base"),
+    "bge-m3": Preset("bge-m3", 1024, "cls", "", "", 8192, "BAAI/bge-m3"),
 }
 
 
 def read_presets(spark, path: str) -> dict[str, Preset]:
-    """Presets from a JSON file of objects with the fields of Preset."""
-    rows = spark.read.option("multiLine", True).json(path).select(*Preset.__dataclass_fields__).collect()
+    """Presets from a JSON file of objects with the fields of Preset; model_id may be missing."""
+    df = spark.read.option("multiLine", True).json(path)
+    rows = df.select(*(n for n in Preset.__dataclass_fields__ if n != "model_id" or n in df.columns)).collect()
     return {r["name"]: Preset(**r.asDict()) for r in rows}

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomseek.config import Preset
 from loomseek.errors import CapabilityError
 
 #: Tokens of a text that an embedding reads.
@@ -32,15 +33,26 @@ def normalize(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def _values(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a batch of arrays one after another, and the place at which each array ends."""
+    ends = np.cumsum([0 if x is None else len(x) for x in v])
+    return (np.concatenate([x for x in v if x is not None]) if len(ends) and ends[-1] else np.empty(0)).astype("<f4"), ends
+
+
 @F.pandas_udf(T.StringType())
 def encode_vector(v: pd.Series) -> pd.Series:
-    """Little-endian float32 in base64."""
-    return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
+    """Little-endian float32 in base64. The batch's values become bytes at once."""
+    values, ends = _values(v)
+    data = memoryview(values.tobytes())
+    return pd.Series([None if x is None else base64.b64encode(data[4 * (e - len(x)) : 4 * e]).decode() for x, e in zip(v, ends)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), "<f4"))
+    raw = [None if x is None else base64.b64decode(x) for x in s]
+    values = np.frombuffer(b"".join(x for x in raw if x is not None), "<f4")
+    ends = np.cumsum([0 if x is None else len(x) // 4 for x in raw])
+    return pd.Series([None if x is None else values[e - len(x) // 4 : e] for x, e in zip(raw, ends)], dtype=object)
 
 
 def bucket(token: str, dimension: int) -> int:
@@ -102,6 +114,9 @@ def onnx_embedder(model_path: str, tokenizer_path: str, pooling: str = "mean", p
     return embed
 
 
-def model_info(name: str, dimension: int) -> dict:
+def model_info(preset: Preset) -> dict:
     """What a model says about itself."""
-    return {"model": name, "dimension": dimension, "most_tokens": MOST_TOKENS}
+    return {
+        "model_id": preset.model_id or preset.name, "preset": preset.name, "dimension": preset.dimension, "max_tokens": preset.most_tokens,
+        "query_prefix": preset.query_prefix, "passage_prefix": preset.passage_prefix,
+    }

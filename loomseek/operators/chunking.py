@@ -23,7 +23,11 @@ def passages(targets: DataFrame, config: Config = Config()) -> DataFrame:
 
     A heading with too few words gets its file's title in front.
     """
-    rows = targets.join(file_outlines(targets, config.outline_depth), "path")
+    return passage_rows(targets.join(file_outlines(targets, config.outline_depth), "path"), config)
+
+
+def passage_rows(rows: DataFrame, config: Config = Config()) -> DataFrame:
+    """The same of target rows that know their file's title and outline."""
     body = text.strip_noise(F.col("body"))
     context = text.context_line()
     short = text.word_count(F.concat_ws(" ", context, body)) < config.chunk_words
@@ -34,7 +38,12 @@ def passages(targets: DataFrame, config: Config = Config()) -> DataFrame:
 
 def chunks(targets: DataFrame, config: Config = Config(), dedup: bool = False) -> DataFrame:
     """(key, target_key, path, ord, text, text_digest). ord counts all windows, also those left out for too few words."""
-    cut = passages(targets, config).select("key", "path", F.posexplode(text.windows(F.col("text"), config.chunk_chars, config.chunk_overlap, dedup)).alias("ord", "text"))
+    return windowed(passages(targets, config), config, dedup)
+
+
+def windowed(rows: DataFrame, config: Config = Config(), dedup: bool = False) -> DataFrame:
+    """The same from passages."""
+    cut = rows.select("key", "path", F.posexplode(text.windows(F.col("text"), config.chunk_chars, config.chunk_overlap, dedup)).alias("ord", "text"))
     kept = cut.filter(text.word_count(F.col("text")) >= config.chunk_words)
     return kept.select(F.concat("key", F.lit("#chunk:"), F.col("ord").cast("string")).alias("key"), F.col("key").alias("target_key"), "path", "ord", "text", text.digest(F.col("text")).alias("text_digest"))
 

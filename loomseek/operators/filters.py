@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomseek.errors import QueryError
 from loomseek.functions import text
+from loomseek.sources.discover import lies_in
 
 OPS = ("equals", "not-equals", "in", "not-in", "exists", "missing")
 
@@ -58,13 +59,15 @@ class Filters:
     exclude_titles: tuple[str, ...] = field(default_factory=tuple)
     property_key: str | None = None
     property_value: str | None = None
+    #: whether allowed roots are a matter of real paths, and files must exist
+    on_disk: bool = False
 
     def normalized(self) -> Filters:
         """The deprecated single property as a filter."""
         if not self.property_key:
             return self
         extra = PropertyFilter(self.property_key, "equals", self.property_value)
-        return Filters(self.allowed_roots, self.property_equals, (*self.property_filters, extra), self.max_heading_level, self.exclude_titles)
+        return Filters(self.allowed_roots, self.property_equals, (*self.property_filters, extra), self.max_heading_level, self.exclude_titles, on_disk=self.on_disk)
 
     def column(self) -> Column:
         f = self.normalized()
@@ -74,6 +77,8 @@ class Filters:
             parts.append(~((F.col("kind") == "heading") & (F.col("level") > f.max_heading_level)))
         if f.exclude_titles:
             parts.append(~F.coalesce(F.lower("title").isin([t.lower() for t in f.exclude_titles]), F.lit(False)))
-        if f.allowed_roots is not None:
+        if f.allowed_roots and f.on_disk:
+            parts.append(lies_in(F.col("path"), F.array(*[F.lit(r) for r in f.allowed_roots])))
+        elif f.allowed_roots is not None:
             parts.append(reduce(lambda a, b: a | b, [text.below(F.col("path"), r) for r in f.allowed_roots], F.lit(False)))
         return reduce(lambda a, b: a & b, parts, F.lit(True))

@@ -64,6 +64,10 @@ class VersionedTable:
         numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
         return self.manifest(max(numbers)) if numbers else Manifest(0)
 
+    def _next(self) -> int:
+        """The number of the version that is published next."""
+        return self.latest().version + 1
+
     def manifest(self, version: int) -> Manifest:
         if version == 0:
             return Manifest(0)
@@ -144,12 +148,12 @@ class VersionedTable:
         if added is not None:
             files += self._write(added.select(*self.schema.fieldNames()), "data")[1]
         changed = bool(added is not None or removed is not None or replace)
-        return self._publish(Manifest(last.version + 1, tuple(files), tuple(deletions), last.processed | (processed or {}), changed))
+        return self._publish(Manifest(self._next(), tuple(files), tuple(deletions), last.processed | (processed or {}), changed))
 
     def compact(self) -> Manifest:
         """Publish the same rows in new files without deletion vectors."""
         last = self.latest()
-        return self._publish(Manifest(last.version + 1, tuple(self._write(self.read(last.version), "data")[1]), (), last.processed, False))
+        return self._publish(Manifest(self._next(), tuple(self._write(self.read(last.version), "data")[1]), (), last.processed, False))
 
     def _net(self, deltas: DataFrame) -> DataFrame:
         """Deltas without the pairs of one added and one removed equal record."""

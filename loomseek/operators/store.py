@@ -1,9 +1,12 @@
 """The stored index: versioned tables of sources, targets, chunks and vectors.
 
 A source is replaced as a whole: its old rows become deletion vectors and its
-new ones files of the same commit. Vectors are keyed by model and text, are
-never deleted by a replacement and so survive moves and rebuilds. A failed
-file keeps its old rows; a failed scan deletes nothing.
+new ones files, in the tables of sources, targets, chunks, postings and
+lengths. What holds is the catalog: one manifest that names a version of each
+table, so all tables change in one commit, and what an interrupted replacement
+wrote is never seen. Vectors are keyed by model and text, are never deleted by
+a replacement and so survive moves and rebuilds. A failed file keeps its old
+rows; a failed scan deletes nothing.
 """
 
 from __future__ import annotations
@@ -17,15 +20,35 @@ from pyspark.sql import functions as F
 
 from loomseek import schema
 from loomseek.config import Config
-from loomseek.errors import EngineError
-from loomseek.operators import chunking
-from loomseek.operators.manifest import VersionedTable
+from loomseek.errors import EngineError, SourceError
+from loomseek.operators import chunking, textindex
+from loomseek.operators.manifest import Manifest, VersionedTable
+from loomseek.session import cut
 from loomseek.sources import discover, orgfile
 
 SCHEMA_VERSION = 5
 
 #: Steps from one version of the stored tables to the next, as functions of a store.
 MIGRATIONS: dict[int, Callable] = {}
+#: Messages of errors kept; the counts are complete.
+MOST_ERRORS = 1000
+
+
+class Member(VersionedTable):
+    """A table of the store: its newest version is the one that the catalog names."""
+
+    def __init__(self, catalog: VersionedTable, name: str, schema, order: tuple[str, ...] = ()):
+        super().__init__(catalog.spark, f"{catalog.path.rsplit('/', 1)[0]}/{name}", schema)
+        self.catalog, self.name, self.order = catalog, name, order
+
+    def latest(self) -> Manifest:
+        return self.manifest(self.catalog.latest().processed.get(self.name, 0))
+
+    def _next(self) -> int:
+        return super().latest().version + 1
+
+    def _write(self, df: DataFrame, kind: str) -> tuple[str, list[str]]:
+        return super()._write(df.sortWithinPartitions(*self.order) if self.order and kind == "data" else df, kind)
 
 
 def diff(found: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -54,96 +77,125 @@ class Store:
     queue: str = "idle"
 
     def __post_init__(self):
-        of = lambda name, s: VersionedTable(self.spark, f"{self.path}/{name}", s)
+        self.catalog = VersionedTable(self.spark, f"{self.path}/catalog", schema.source())
+        of = lambda name, s, *order: Member(self.catalog, name, s, order)
         self.sources, self.targets = of("sources", schema.source()), of("targets", schema.target())
         self.chunks, self.vectors = of("chunks", schema.chunk()), of("vectors", schema.vector())
+        self.postings, self.lengths = of("postings", schema.posting(), "term"), of("lengths", schema.length())
 
     # changes ---------------------------------------------------------------------
 
-    def replace(self, files: DataFrame, roots: DataFrame, parse: Callable[[DataFrame], DataFrame] = orgfile.project, again: DataFrame | None = None) -> list[str]:
-        """Replace all rows of the given (path, content, digest) files; gives the paths that failed.
+    def _commit(self, *changes: tuple[Member, DataFrame | None, DataFrame | None, list[str]], version: int = SCHEMA_VERSION) -> None:
+        """Change tables (table, added, removed, keys) in one commit."""
+        named = {t.name: t.commit(added, gone, keys).version for t, added, gone, keys in changes}
+        self.catalog.commit(processed=named | {"schema": version})
+
+    def _text_index(self, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of target rows, with their paths."""
+        paths = targets.select("key", "path")
+        return textindex.postings(targets).join(paths, "key"), textindex.doc_stats(targets).join(paths, "key")
+
+    def replace(self, files: DataFrame, roots: DataFrame, parse: Callable[[DataFrame], DataFrame] = orgfile.project, again: DataFrame | None = None) -> DataFrame:
+        """Replace all rows of the given (path, content, digest) files; gives the (path, message) that failed.
 
         ``again`` has the files' digests read anew: a file that changed while
         it was parsed fails.
         """
-        rows = parse(files).persist()
-        try:
-            failed = rows.filter("kind = 'error'").select("path")
-            if again is not None:
-                rows.count()  # parsed before the files are read again
-                moved = files.select("path", "digest").join(again.select("path", F.col("digest").alias("later")), "path", "left").filter(~F.col("digest").eqNullSafe(F.col("later")))
-                failed = failed.unionByName(moved.select("path"))
-            bad = sorted({r["path"] for r in failed.collect()})
-            good = rows.filter("kind != 'error'")
-            good = good.filter(~F.col("path").isin(bad)) if bad else good
-            paths = good.select("path").distinct()
-            self.targets.commit(good, paths, ["path"])
-            self.chunks.commit(chunking.chunks(good, self.config), paths, ["path"])
-            done = files.select("path", "digest").join(roots, "path").join(paths, "path", "left_semi")
-            # last, so that a failure before it leaves the file to be taken up again
-            self.sources.commit(done, paths, ["path"])
-        finally:
-            rows.unpersist()
+        rows = cut(parse(files), "parsed")  # parsed before the files are read again
+        failed = rows.filter("kind = 'error'").select("path", F.coalesce("title", F.lit("the file can't be parsed")).alias("message"))
+        if again is not None:
+            read = rows.groupBy("path").agg(F.first("digest").alias("digest"))
+            moved = read.join(again.select("path", F.col("digest").alias("later")), "path", "left").filter(~F.col("digest").eqNullSafe(F.col("later")))
+            failed = failed.unionByName(moved.select("path", F.lit("the file changed while it was read").alias("message")))
+        bad = cut(failed.groupBy("path").agg(F.min("message").alias("message")), "failed")
+        good = rows.filter("kind != 'error'").join(bad, "path", "left_anti")
+        paths = good.select("path").distinct()
+        done = good.groupBy("path").agg(F.first("digest").alias("digest")).join(roots, "path")
+        index, lengths = self._text_index(good)
+        by = ["path"]
+        self._commit(
+            (self.targets, good, paths, by), (self.chunks, chunking.chunks(good, self.config), paths, by), (self.sources, done, paths, by),
+            (self.postings, index, paths, by), (self.lengths, lengths, paths, by),
+        )
         return bad
 
     def delete(self, paths: DataFrame) -> None:
         """Remove all rows of the paths."""
-        for t in (self.targets, self.chunks, self.sources):
-            t.commit(None, paths, ["path"])
+        self._commit(*((t, None, paths, ["path"]) for t in (self.targets, self.chunks, self.sources, self.postings, self.lengths)))
 
     def reconcile(self, parse: Callable[[DataFrame], DataFrame] = orgfile.project) -> dict:
         """Bring the index in line with the roots; gives counts by status."""
         counts = dict.fromkeys(("added", "changed", "unchanged", "removed", "failed"), 0)
         self.errors = []
         try:
-            found = discover.manifest(self.spark, self.config.roots)
+            found = cut(discover.manifest(self.spark, self.config.roots), "found")
         except EngineError as e:
             self.errors.append({"path": None, "message": str(e)})
             self.last = counts | {"scan_error": str(e)}
             return self.last
-        changes = diff(found, self.sources.read()).persist()
+        changes = cut(diff(found, self.sources.read()), "changes")
         for r in changes.groupBy("status").count().collect():
             counts[r["status"]] = r["count"]
-        todo = [r["path"] for r in changes.filter("status in ('added', 'changed')").select("path").collect()] if counts["added"] + counts["changed"] else []
-        if todo:
-            read = discover.read_files(self.spark, todo)
+        if counts["added"] + counts["changed"]:
+            read = discover.read_files(self.spark, changes.filter("status in ('added', 'changed')"))
             bad = self.replace(read, found.select("path", "root"), parse, read.select("path", "digest"))
-            self.errors += [{"path": p, "message": "the file can't be parsed"} for p in bad]
-            status = {r["path"]: r["status"] for r in changes.filter(F.col("path").isin(bad)).collect()} if bad else {}
-            for p in bad:
-                counts[status[p]] -= 1
-            counts["failed"] = len(bad)
+            for r in changes.join(bad, "path").groupBy("status").count().collect():
+                counts[r["status"]] -= r["count"]
+                counts["failed"] += r["count"]
+            self.record(bad)
         if counts["removed"]:
             self.delete(changes.filter("status = 'removed'").select("path"))
-        changes.unpersist()
         self.last, self.last_at = counts, datetime.datetime.now(datetime.timezone.utc)
         return counts
 
+    def record(self, bad: DataFrame) -> None:
+        """Keep the messages of failed (path, message) rows."""
+        self.errors += [{"path": r["path"], "message": r["message"]} for r in bad.orderBy("path").limit(MOST_ERRORS).collect()]
+
     def update_file(self, path: str) -> bool:
-        """Index one file anew; False if no root selects it."""
+        """Index one file anew; False if no root selects it, an error if it can't be parsed or changes meanwhile."""
         root = discover.root_for(path, self.config.roots)
         if root is None:
             return False
-        self.replace(discover.read_files(self.spark, [path]), self.spark.createDataFrame([(path, root.name)], "path string, root string"))
+        read = discover.read_files(self.spark, self.spark.createDataFrame([(path,)], "path string"))
+        bad = self.replace(read, self.spark.createDataFrame([(path, root.name)], "path string, root string"), again=read.select("path", "digest"))
+        if failed := bad.first():
+            raise SourceError(f"{path}: {failed['message']}")
         return True
 
     def add_vectors(self, rows: DataFrame) -> None:
         """Add (model_id, text_digest, vector) rows, replacing those of the same model and text."""
         sized = rows.select("model_id", "text_digest", F.size("vector").alias("dim"), "vector").dropDuplicates(["model_id", "text_digest"])
-        self.vectors.commit(sized, sized, ["model_id", "text_digest"])
+        self._commit((self.vectors, sized, sized, ["model_id", "text_digest"]))
 
-    def rechunk(self) -> None:
+    def rechunk(self, version: int = SCHEMA_VERSION) -> None:
         """Chunks of the stored targets, without reading any source."""
         rows = self.targets.read()
-        self.chunks.commit(chunking.chunks(rows, self.config), self.chunks.read().select("path").distinct(), ["path"])
-
-    def migrate(self, version: int) -> int:
-        """Run the steps from a version of the stored tables to the present one."""
+        self._commit((self.chunks, chunking.chunks(rows, self.config), self.chunks.read().select("path").distinct(), ["path"]), version=version)
+
+    def reindex(self, version: int = SCHEMA_VERSION) -> None:
+        """Text index of the stored targets."""
+        index, lengths = self._text_index(self.targets.read())
+        old = self.lengths.read().select("path").distinct()
+        self._commit((self.postings, index, old, ["path"]), (self.lengths, lengths, old, ["path"]), version=version)
+
+    def stored_version(self) -> int:
+        """The version of the stored tables; the present one if nothing is stored."""
+        m = self.catalog.latest()
+        return m.processed.get("schema", 0) if m.version else SCHEMA_VERSION
+
+    def migrate(self, version: int | None = None) -> int:
+        """Run the steps from a version of the stored tables to the present one; each is published with its version, so an interrupted migration goes on."""
+        version = self.stored_version() if version is None else version
         while version < SCHEMA_VERSION:
-            MIGRATIONS.get(version, lambda store: None)(self)
+            MIGRATIONS[version](self, version + 1)
             version += 1
         return version
 
+    def search_index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths in step with the targets."""
+        return self.postings.read(), self.lengths.read().select("key", "tokens")
+
     # state -----------------------------------------------------------------------
 
     def pending(self) -> DataFrame:
@@ -175,11 +227,19 @@ class Store:
         return self.spark.createDataFrame([(e["path"], e["message"]) for e in self.errors], "path string, message string")
 
 
-def _first_chunks(store: Store) -> None:
-    store.rechunk()
+def _drop_old_columns(store: Store, version: int) -> None:
+    """Rewrite the targets with the columns that they have now."""
+    m = store.targets.compact()
+    store.catalog.commit(processed={"targets": m.version, "schema": version})
 
 
-MIGRATIONS[3] = _first_chunks
+MIGRATIONS |= {
+    0: Store.reindex,  # the text index is made anew, once
+    1: lambda store, version: store._commit(version=version),  # chunks and vectors appear, empty
+    2: Store.rechunk,  # chunks of what was indexed before there were any
+    3: Store.rechunk,  # without noise and without chunks of too few words
+    4: _drop_old_columns,
+}
 
 
 def summary(status: dict) -> str:

@@ -328,6 +328,7 @@ select j.key, case when j.n > 1 then 'ambiguous' when n.digest is distinct from
 
 
 SQL |= {f"search_{n}": search_sql(n, False) for n in SEARCHES} | {f"facts_{n}": search_sql(n, True) for n in SEARCHES}
+SQL["search_notes"] = f"select rank, key, match_type, match_reason, via, score from ({search_sql('archive', False)})"
 
 
 def oracle_sql() -> dict[str, str]:

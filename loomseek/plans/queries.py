@@ -398,7 +398,7 @@ QUERIES |= {f"search_{n}": _search_rows(n) for n in SEARCHES} | {f"facts_{n}": l
 @query
 def search_notes(spark, folder):
     got = search.search_api(corpus(spark, folder), "archive budget", 20, fuzzy=True, filters=Filters(max_heading_level=3)).results
-    return got.select("rank", "key", "match_type", "match_reason", "via", "score")
+    return got.select("rank", "key", "match_type", "match_reason", "via", F.round("score", 8).alias("score"))
 
 
 # chunks -----------------------------------------------------------------------------------

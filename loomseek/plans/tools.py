@@ -11,6 +11,7 @@ from loomseek.operators.filters import Filters, PropertyFilter
 from loomseek.plans.search import Corpus, default_modes, search_api
 from loomseek.sources import discover, orgfile
 
+#: What the two tools take, as callers know it.
 SEARCH_INPUT = {
     "type": "object",
     "properties": {
@@ -63,7 +64,7 @@ def filters_from(args: dict, roots: list[str]) -> Filters:
     """Filters of tool arguments; an empty single property is ignored."""
     single = ((args["property_key"], args["property_value"]),) if args.get("property_key") and args.get("property_value") else ()
     many = tuple(PropertyFilter(e.get("key"), (e.get("op") or "").replace("_", "-"), e.get("value"), tuple(e.get("values") or ())) for e in args.get("property_filters") or ())
-    return Filters(tuple(roots), single, many, args.get("max_heading_level"), tuple(args.get("exclude_titles") or ()))
+    return Filters(tuple(roots), single, many, args.get("max_heading_level"), tuple(args.get("exclude_titles") or ()), on_disk=True)
 
 
 def search_tool(corpus: Corpus, allowed: list[str] | None = None) -> Callable[[dict], str]:

@@ -23,6 +23,14 @@ def vector() -> T.StructType:
     return _struct("model_id string, text_digest string, dim int, vector array<float>")
 
 
+def posting() -> T.StructType:
+    return _struct("term string, key string, col int, positions array<int>, path string")
+
+
+def length() -> T.StructType:
+    return _struct("key string, tokens int, path string")
+
+
 MODE = "struct<mode:string,rank:int,raw_score:double,z:double>"
 HEADING = "struct<level:int,title:string,todo_keyword:string,closed:boolean,priority:string,tags:array<string>,org_id:string,outline_path:array<string>,properties:map<string,string>>"
 

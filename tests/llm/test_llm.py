@@ -443,6 +443,10 @@ def test_nearest_exact_queries(spark):
         s = np.sort(np.delete(u @ u[i], i))[::-1][:5]
         assert np.allclose(sims, s, atol=1e-6)
     assert set(got) == {0, 100, 200} and nearest.nearest(df, q.limit(0)).count() == 0
+    # of equal neighbours the smaller digests, wherever they are
+    same = [("m", f"e{i:02d}", 2, [1.0, 0.0]) for i in np.random.default_rng(1).permutation(30)] + [("m", "far", 2, [0.0, 1.0])]
+    ties = nearest.nearest(frame(spark, same, VECTOR).repartition(3), spark.createDataFrame([("m", "x", 2, [1.0, 0.1])], VECTOR)).orderBy("place").collect()
+    assert [r["neighbour"] for r in ties] == [f"e{i:02d}" for i in range(5)]
 
 
 def test_tree_is_exact_at_factor_one():

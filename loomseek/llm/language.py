@@ -280,11 +280,17 @@ def stretches(df: DataFrame, keys: list[str], fields: list[str], languages: Lang
     return df.select(*keys, *fields).mapInArrow(run, f"{kinds}, {STRETCH}")
 
 
-def documents(found: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., lang, confidence, words): the language of most words of each record that has one."""
+def documents(found: DataFrame, keys: list[str], records: DataFrame | None = None) -> DataFrame:
+    """(keys..., lang, confidence, words): the language of most words of each record.
+
+    With ``records`` every key of those has a row; one without running text in
+    a known language has no language, a confidence of 0 and 0 words.
+    """
     per = found.groupBy(*keys, "lang").agg(F.sum("words").alias("words"), (F.sum(F.col("words") * F.col("confidence")) / F.sum("words")).alias("confidence"))
     best = per.groupBy(*keys).agg(F.max_by(F.struct("lang", "confidence", "words"), F.struct("words", "confidence", "lang")).alias("b"))
-    return best.select(*keys, "b.lang", "b.confidence", "b.words")
+    if records is not None:
+        best = records.select(*keys).distinct().join(best, keys, "left")
+    return best.select(*keys, "b.lang", F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("b.words", F.lit(0)).cast("bigint").alias("words"))
 
 
 def mislabelled(found: DataFrame, keys: list[str], label: str, langs: list[str], least: int = 8) -> DataFrame:

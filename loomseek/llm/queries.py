@@ -57,7 +57,7 @@ def p3_stretches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
-    return language.documents(p3_stretches(spark, folder), ["target_key"])
+    return language.documents(p3_stretches(spark, folder), ["target_key"], table(spark, folder, "targets", "target_key"))
 
 
 def statistics(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from loomseek.llm.words import Memo
@@ -139,11 +140,16 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, ids) of every row of df; other columns are dropped."""
+    """(key, ids) of every row of df; other columns are dropped.
+
+    ``vocabulary`` is a rank file on the driver, which sends it to the workers.
+    """
     path = os.fspath(vocabulary)
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(SparkFiles.get(name))
         for batch in batches:
             out, offsets = array("i"), np.zeros(batch.num_rows + 1, np.int32)
             for i, t in enumerate(batch.column(1).to_pylist()):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomseek.config import Config
 from loomseek.functions import text
+from loomseek.operators.joins import lookup
 
 
 def file_outlines(targets: DataFrame, depth: int = 2) -> DataFrame:
@@ -23,7 +24,12 @@ def passages(targets: DataFrame, config: Config = Config()) -> DataFrame:
 
     A heading with too few words gets its file's title in front.
     """
-    return passage_rows(targets.join(file_outlines(targets, config.outline_depth), "path"), config)
+    about = file_outlines(targets, config.outline_depth)
+    is_file = F.coalesce(F.col("kind") == "file", F.lit(False))
+    # an outline belongs to one row; the many headings of a file need its title only
+    files = targets.filter(is_file).join(about, "path")
+    headings = lookup(targets.filter(~is_file), about.select("path", "file_title"), "path", "key").withColumn("outline", F.lit(None).cast("string"))
+    return passage_rows(files.unionByName(headings), config)
 
 
 def passage_rows(rows: DataFrame, config: Config = Config()) -> DataFrame:

@@ -290,16 +290,32 @@ def resolve(results: DataFrame, targets: DataFrame, current: DataFrame) -> DataF
 
 
 def ordinals(targets: DataFrame) -> DataFrame:
-    """(key, n): a heading's place among its file's headings, from 1."""
-    w = Window.partitionBy("path").orderBy("position")
-    return targets.filter("kind = 'heading'").select("key", F.row_number().over(w).alias("n"))
+    """(key, n): a heading's place among its file's headings, from 1.
+
+    Rows are divided by ranges of path and position, numbered inside a part,
+    and shifted by what the parts before hold of the path, so a file of any
+    size is shared by many tasks.
+    """
+    rows = targets.filter("kind = 'heading'").select("key", "path", "position")
+    ranged = cut(rows.repartitionByRange("path", "position").withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy("path", "part").count().select("path", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    place = Window.partitionBy("part", "path").orderBy("position")
+    return ranged.withColumn("n", F.row_number().over(place)).join(shift, ["path", "part"]).select("key", (F.col("n") + F.col("shift")).cast("int").alias("n"))
 
 
 def table_outlines(targets: DataFrame, most: int = 500, max_level: int | None = None) -> DataFrame:
-    """(path, title, headings, heading_count, truncated) from target rows; headings is an array of (position, level, title)."""
-    heading = F.when(F.col("kind") == "heading", F.struct("position", "level", "title"))
-    rows = targets.groupBy("path").agg(F.max(F.when(F.col("kind") == "file", F.col("title"))).alias("title"), F.sort_array(F.collect_list(heading)).alias("all"))
-    shown = F.slice("all", 1, most)
+    """(path, title, headings, heading_count, truncated) from target rows; headings is an array of (position, level, title).
+
+    Only the first ``most`` headings of a file are brought together.
+    """
+    heading = F.struct("position", "level", "title")
+    first = Window.partitionBy("path").orderBy("position", "level", "title")
+    shown = targets.filter("kind = 'heading'").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most)
+    lists = shown.groupBy("path").agg(F.sort_array(F.collect_list(heading)).alias("headings"))
     if max_level is not None:
-        shown = F.filter(shown, lambda h: h["level"] <= max_level)
-    return rows.select("path", "title", shown.alias("headings"), F.size("all").alias("heading_count"), (F.size("all") > most).alias("truncated"))
+        lists = lists.withColumn("headings", F.filter("headings", lambda h: h["level"] <= max_level))
+    is_file, count = F.when(F.col("kind") == "file", F.col("title")), F.count(F.when(F.col("kind") == "heading", 1)).cast("int")
+    rows = targets.groupBy("path").agg(F.max(is_file).alias("title"), count.alias("heading_count")).join(lists, "path", "left")
+    none = F.array().cast(lists.schema["headings"].dataType)
+    return rows.select("path", "title", F.coalesce("headings", none).alias("headings"), "heading_count", (F.col("heading_count") > most).alias("truncated"))

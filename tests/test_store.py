@@ -331,6 +331,27 @@ def test_intermediate_tables_go(spark, tmp_path):
     assert session.stored(spark, "t", [str(tmp_path / "in.parquet")], write) != at
 
 
+def test_one_file_with_most_headings(spark):
+    rows = [(f"k{i}", "/big" if i % 7 else f"/p{i}", "heading", f"T{i}", i, 1 + i % 3) for i in range(700)] + [("f", "/big", "file", "Big", 0, 0), ("e", "/empty", "file", "Empty", 0, 0), ("n", None, "heading", "N", 5, 1)]
+    t = spark.createDataFrame(rows, "key string, path string, kind string, title string, position int, level int").repartition(5)
+    got = {r["key"]: r["n"] for r in S.ordinals(t).collect()}
+    big = [f"k{i}" for i in range(700) if i % 7]
+    assert [got[k] for k in big] == list(range(1, 601)) and {got[f"k{i}"] for i in range(0, 700, 7)} == {1} and S.ordinals(t.limit(0)).count() == 0
+    out = {r["path"]: r for r in S.table_outlines(t, 10, 2).collect()}
+    assert out["/big"]["heading_count"] == 600 and out["/big"]["truncated"] and out["/big"]["title"] == "Big"
+    assert [h["title"] for h in out["/big"]["headings"]] == [f"T{i}" for i in range(1, 12) if i % 7 and i % 3 != 2]
+    assert out["/empty"]["headings"] == [] and out["/empty"]["heading_count"] == 0 and out[None]["heading_count"] == 1
+
+
+def test_lookup_divides_hot_keys(spark):
+    from loomseek.operators.joins import lookup
+
+    rows = spark.createDataFrame([("hot", str(i)) for i in range(200)] + [("cold", "x"), (None, "y"), ("other", "z")], "k string, id string")
+    facts = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    got = lookup(rows, facts, "k", "id")
+    assert got.columns == ["k", "id", "v"] and got.count() == 201 and got.filter("k = 'cold' and v = 2").count() == 1
+
+
 def test_resolve(spark):
     t = spark.createDataFrame([("k1", "i1", "/a", "d1"), ("k2", "i2", "/b", "d2"), ("k3", "i2", "/c", "d3"), ("k4", None, "/d", "d4"), ("k5", None, "/e", "d5")], "key string, org_id string, path string, digest string")
     now = spark.createDataFrame([("/a", "d1"), ("/d", "changed"), ("/e", "d5")], "path string, digest string")

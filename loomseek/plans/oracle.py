@@ -239,6 +239,12 @@ SQL: dict[str, str] = {
     "p6_changes": P6_CHANGES,
     "point_lookup_path": _select("key, kind, level", f"path = '{INBOX}'"),
     "point_lookup_id": _select("key, org_id", "org_id < '8'"),
+    "point_lookup_key": _select("key, path, kind, title", f"key = '{INBOX}#file'"),
+    "point_lookup_digest": "select distinct chunk_key as key, text_digest from chunks where text_digest < '08'",
+    "presets": "select * from (values ('e5-small', 'intfloat/multilingual-e5-small', 384, 512, 'mean', 'query: ', 'passage: '), ('e5-base', 'intfloat/multilingual-e5-base', 768, 512, 'mean', 'query: ', 'passage: '), ('bge-m3', 'BAAI/bge-m3', 1024, 8192, 'cls', '', '')) p(name, model_id, dimension, most_tokens, pooling, query_prefix, passage_prefix)",
+    "keyword_values": "select distinct word, upper(lang) as key, word || ' and more' as value from common_words where lang is not null and word is not null",
+    "status_counts": f"""with {NOTES}, {RUNS}, c as (select distinct chunk_key, target_key, path, ord, text, text_digest from chunks), v as (select distinct text_digest from vectors where model_id = '{MODEL}' and {_GOOD})
+select (select count(*) from l) as indexed_sources, (select count(*) from t) as indexed_targets, count(v.text_digest) as covered, count(*) as total from c left join v on c.text_digest = v.text_digest""",
     "snippet_prefix160": _select("key, substr(body, 1, 160) as snippet"),
     "context_lines": _select(f"key, {CONTEXT} as context"),
     "links": _select("key, case when org_id is not null then '[[id:' || org_id || '][' || title || ']]' else '[[file:' || path || '::' || position || '][' || title || ']]' end as link"),

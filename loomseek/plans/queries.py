@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.config import Config
+from loomseek.config import PRESETS, Config
 from loomseek.functions import text
 from loomseek.functions import vectors as V
 from loomseek.operators import budget, chunking, fusion, incremental, scoring, store, textindex
@@ -70,6 +70,38 @@ def point_lookup_id(spark, folder):
     return corpora.notes(spark, folder, "key", "org_id").filter("org_id is not null and org_id < '8'")
 
 
+@query
+def point_lookup_key(spark, folder):
+    return corpora.notes(spark, folder, "key", "path", "kind", "title").filter(F.col("key") == f"{INBOX}#file")
+
+
+@query
+def point_lookup_digest(spark, folder):
+    return corpora.passages(spark, folder, "key", "text_digest").filter("text_digest < '08'")
+
+
+@query
+def presets(spark, folder):
+    """The known models."""
+    return spark.createDataFrame([(p.name, p.model_id, p.dimension, p.most_tokens, p.pooling, p.query_prefix, p.passage_prefix) for p in PRESETS.values()], "name string, model_id string, dimension int, most_tokens int, pooling string, query_prefix string, passage_prefix string")
+
+
+@query
+def keyword_values(spark, folder):
+    line = F.concat(F.upper("lang"), F.lit(" \t "), "word", F.lit(" and more"))
+    key, value = text.parse_keyword(line)
+    return table(spark, folder, "common_words").filter("lang is not null and word is not null").select("word", key.alias("key"), value.alias("value")).distinct()
+
+
+@query
+def status_counts(spark, folder):
+    """What the status of the index counts."""
+    indexed = _states(spark, folder)[1].agg(F.count(F.lit(1)).alias("indexed_sources"))
+    targets = corpora.notes(spark, folder, "key").agg(F.count(F.lit(1)).alias("indexed_targets"))
+    cover = chunking.coverage(corpora.passages(spark, folder), incremental.usable_rows(table(spark, folder, "vectors"), MODEL), MODEL)
+    return indexed.select("indexed_sources", targets.scalar().alias("indexed_targets"), cover.select("covered").scalar().alias("covered"), cover.select("total").scalar().alias("total"))
+
+
 @query
 def snippet_prefix160(spark, folder):
     return corpora.notes(spark, folder, "key", "body").select("key", F.substring("body", 1, 160).alias("snippet"))

@@ -188,7 +188,8 @@ def search_api(corpus: Corpus, query: str, limit: int | None = None, fuzzy: bool
         if corpus.semantic is None:
             raise CapabilityError("no semantic provider is configured")
         rows = corpus.semantic(query, filters, pool)
-        return fusion.hits(rows, "semantic", fusion.SEMANTIC, [F.desc("score"), F.asc("key")], F.col("score"), F.col("z")), Work(0, False, False)
+        stale = _stale(rows.select("key").join(targets.select("key", "path", "digest"), "key"), corpus)
+        return fusion.hits(rows, "semantic", fusion.SEMANTIC, [F.desc("score"), F.asc("key")], F.col("score"), F.col("z")), Work(0, False, False, stale)
 
     def exact() -> tuple[DataFrame, Work]:
         rows, w = _read(targets.filter(F.col("title") == query), [F.asc("path"), F.asc("position")], filters, F.lit(True), pool, left, corpus)

@@ -99,7 +99,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of ``cut`` behind df, when nothing that is still to be read depends on it."""
+    spark = df.sparkSession
+    _delete(spark, df.written_at)
+    _written[spark.sparkContext.applicationId].remove(df.written_at)
 
 
 def stored(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], None]) -> str:

@@ -344,11 +344,14 @@ def test_one_file_with_most_headings(spark):
 
 
 def test_lookup_divides_hot_keys(spark):
-    from loomseek.operators.joins import lookup
+    from loomseek.operators.joins import divide, hot_keys, lookup
 
     rows = spark.createDataFrame([("hot", str(i)) for i in range(200)] + [("cold", "x"), (None, "y"), ("other", "z")], "k string, id string")
     facts = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
-    got = lookup(rows, facts, "k", "id")
+    hot = hot_keys(rows, "k", 10, 50)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 9)] and divide(rows, hot, "k", "id").filter("k = 'hot'").select("part").distinct().count() == 9
+    assert lookup(rows, facts, "k", "id").count() == 201 and lookup(rows.limit(0), facts, "k", "id").count() == 0
+    got = lookup(rows, facts, "k", "id", 10, 50)
     assert got.columns == ["k", "id", "v"] and got.count() == 201 and got.filter("k = 'cold' and v = 2").count() == 1
 
 

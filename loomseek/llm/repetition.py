@@ -77,19 +77,34 @@ def judge(lines: list[str], seen: np.ndarray, every: np.ndarray, line_share: flo
     bare = [x.strip() for x in lines]
     full = [i for i, s in enumerate(bare) if s]
     open_ = {i: bare[i][-1] not in ENDS for i in full}
-    short = _runs([open_[i] and len(bare[i].split()) <= 3 and not _STRUCTURE.match(bare[i]) for i in full])
-    kinds = Counter(_DIGITS.sub("0", bare[i]) for i in full)
     out: list[str | None] = [None] * len(lines)
-    for i, in_run in zip(full, short):
-        s = bare[i]
+    short: list[bool] = []
+    if sum(open_.values()) >= RUN:
+        short = _runs([open_[i] and len(bare[i].split(None, 3)) <= 3 and not _STRUCTURE.match(bare[i]) for i in full])
+    kinds: list[str] = []
+    often: set[str] = set()
+    if len(full) >= RUN:
+        kinds = [_DIGITS.sub("0", bare[i]) for i in full]
+        if len(set(kinds)) < len(kinds):
+            often = {kind for kind, n in Counter(kinds).items() if n >= RUN}
+
+    def navigates(s: str) -> bool:
         parts = len(BARS.findall(s)) + 1
-        fails = {
-            "punctuation": in_run,
-            "navigation": open_[i] and parts > 3 and len(s.split()) <= 4 * parts and s[0] != "|",
-            "boilerplate": bool(RIGHTS.search(s)) or bool(_ADDRESSES.fullmatch(s)) or kinds[_DIGITS.sub("0", s)] >= RUN,
-            "repetition": every[i] > 0 and seen[i] >= line_share * every[i],
-        }
-        out[i] = next((r for r in RULES if r in rules and fails[r]), None)
+        return parts > 3 and s[0] != "|" and len(s.split()) <= 4 * parts
+
+    def boilerplate(s: str, k: int) -> bool:
+        return bool(RIGHTS.search(s)) or (bool(often) and kinds[k] in often) or (("@" in s or "www." in s or "http" in s) and bool(_ADDRESSES.fullmatch(s)))
+
+    for k, i in enumerate(full):
+        s = bare[i]
+        if short and short[k] and "punctuation" in rules:
+            out[i] = "punctuation"
+        elif open_[i] and "navigation" in rules and navigates(s):
+            out[i] = "navigation"
+        elif "boilerplate" in rules and boilerplate(s, k):
+            out[i] = "boilerplate"
+        elif every[i] > 0 and seen[i] >= line_share * every[i] and "repetition" in rules:
+            out[i] = "repetition"
     return out
 
 

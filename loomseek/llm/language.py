@@ -210,13 +210,13 @@ class Judge:
             if not text:
                 continue
             lines = quality.units(quality.plain(text))
-            labels = self.model.label([quality.describe(u, self.packed)[0] for u in lines])
-            for u, label in zip(lines, labels):
-                for s in quality._SENTENCE.split(u) if label == quality.PROSE else self._prose_in(u):
-                    words = ALPHA.findall(s)
-                    if words:
-                        ids += map(self.ids.__getitem__, words)
-                        lens.append(len(words))
+            words = [ALPHA.findall(u) for u in lines]
+            labels = self.model.label([quality.describe(u, self.packed, w)[0] for u, w in zip(lines, words)])
+            for u, w, label in zip(lines, words, labels):  # a line of prose is one sentence
+                for part in [w] if label == quality.PROSE else map(ALPHA.findall, self._prose_in(u)):
+                    if part:
+                        ids += map(self.ids.__getitem__, part)
+                        lens.append(len(part))
                         owner.append(t)
         if not ids:
             return []

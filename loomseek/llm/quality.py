@@ -38,9 +38,11 @@ _COMMAND = re.compile(r"\\[a-zA-Z]+\*?|[{}]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _BULLET = re.compile(r"\s*(?:[-+*•]\s|\[[ xX-]\]\s)")
 _NUMBER = re.compile(r"\s*\(?\d{1,4}[.)]\s")
-_DELIMITED = re.compile(r"[|;\t]|,(?=\S)|\.{4}|::|=>|--")
+#: What divides the fields of a row, beside a comma without a space.
+_DELIMITERS = ("|", ";", "\t", "....", "::", "=>", "--")
+_COMMA = re.compile(r",(?=\S)")
 _BLANK = re.compile(r"\n[ \t]*\n")
-_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d+")
 _MARK = re.compile(r"\s*(?:[-+*•]|\(?\w{1,4}[.)])")
 
 
@@ -58,8 +60,15 @@ def plain(text: str) -> str:
 def _even(line: str) -> bool:
     """A line of plain words, as in a paragraph broken over lines."""
     s = line.strip()
-    odd = len(s) - s.count(" ") - sum(map(len, ALPHA.findall(s)))
-    return s.count(" ") >= 4 and odd <= 0.08 * len(s) and not _BULLET.match(line) and not _NUMBER.match(line) and not _DELIMITED.search(s)
+    spaces = s.count(" ")
+    if spaces < 4 or _BULLET.match(line) or _NUMBER.match(line) or _delimiters(s):
+        return False
+    return len(s) - spaces - sum(map(len, ALPHA.findall(s))) <= 0.08 * len(s)
+
+
+def _delimiters(s: str) -> int:
+    n = sum(map(s.count, _DELIMITERS))
+    return n + len(_COMMA.findall(s)) if "," in s else n
 
 
 def units(text: str) -> list[str]:
@@ -115,23 +124,25 @@ def read_common(df: DataFrame) -> Common:
 SIZES = (24, 3, 4, 3, 3, 3, 3)
 
 
-def describe(unit: str, packed: Memo) -> tuple[tuple[int, ...], int, int, int, int]:
-    """Binned statistics of a line; its words, letters, digits and common words."""
-    words = ALPHA.findall(unit)
+def describe(unit: str, packed: Memo, words: list[str] | None = None) -> tuple[tuple[int, ...], int, int, int, int]:
+    """Binned statistics of a line; its words, letters, digits and common words. ``words`` are its words, if they are known."""
+    if words is None:
+        words = ALPHA.findall(unit)
     n = len(words)
     letters = sum(map(len, words))
-    digits = len(_DIGIT.findall(unit))
+    digits = sum(map(len, _DIGITS.findall(unit)))
     counts = sum(map(packed.__getitem__, words))
     common = 0
     while counts:
-        common = max(common, counts & 0xFFFFFFFF)
+        if (c := counts & 0xFFFFFFFF) > common:
+            common = c
         counts >>= 32
     s = unit.strip()
     size = len(s) - s.count(" ") or 1
     symbols = max(0, size - letters - digits)
     marker = 1 if _BULLET.match(unit) else 2 if _NUMBER.match(unit) else 0
     end = 1 if s[-1:] in ".!?…»\"”" else 2 if s[-1:] in ",;:" else 0
-    delimiters = len(_DELIMITED.findall(s))
+    delimiters = _delimiters(s)
     code = (
         4 * bisect((0.06, 0.15, 0.24, 0.34, 0.45), common / n if n else 0.0) + bisect((2, 5, 9), n),
         marker,
@@ -202,10 +213,17 @@ class LineModel:
         back = []
         for code in codes[1:]:
             e, now, came = emit[code], [], []
+            a, b, c, d = score
             for k in range(4):
-                best = max(range(4), key=lambda j: score[j] + step[j][k])
+                top, best = a + step[0][k], 0
+                if (x := b + step[1][k]) > top:
+                    top, best = x, 1
+                if (x := c + step[2][k]) > top:
+                    top, best = x, 2
+                if (x := d + step[3][k]) > top:
+                    top, best = x, 3
                 came.append(best)
-                now.append(score[best] + step[best][k] + e[k])
+                now.append(top + e[k])
             back.append(came)
             score = now
         at = max(range(4), key=score.__getitem__)

@@ -18,7 +18,7 @@ counts with a bounded number of counters, and what has a share of at least
 size of the collection. Hot n-grams come last in every set, so one of them is
 in a prefix only if most of its record is as frequent. Such an n-gram is cut into tiles of about TILE classes, each joined by itself with
 each other one; no task gets a whole hot n-gram. Classes with a share of at
-least a thousandth of all records are salted where members are joined.
+least a thousandth of all records are divided where members are joined.
 
 Words are maximal runs of letters or digits in lower case. A record with fewer
 than ``n`` words - null and empty texts too - is similar to none. n-grams are
@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomseek.llm.words import ALNUM, flat, mix, ngrams, word_hashes
-from loomseek.session import cut
+from loomseek.operators.joins import divide, hot_keys, lookup, repeat
+from loomseek.session import cut, release
 
 #: Bound of the tables of hot n-grams and of words, counters of a task, and classes of a tile.
 MAX_HOT, COUNTERS, TILE = 100_000, 400_000, 20_000
@@ -358,34 +359,27 @@ def class_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2, tile: int
     met = cut(candidates(prefixes(df, frequent(staged, _WORDS), frequent(staged, _GRAMS), n, num, den, tile), num, den), "neardup-met")
     facts = staged.filter("marks is not null").groupBy("sid").agg(F.first("size").alias("size"), F.first("marks").alias("marks"))
     pairs = cut(near_enough(met, facts, num, den), "neardup-pairs")
+    release(met)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = with_sets(df, n).join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
-    return cut(verify(pairs, wanted, num, den), "neardup-verified"), members
+    verified = cut(verify(pairs, wanted, num, den), "neardup-verified")
+    release(pairs)
+    return verified, members
 
 
-def _salted(members: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """members with a salt that divides classes of at least a thousandth of all records, and the number of parts of those (at most a thousand classes)."""
-    total = members.count()
-    hot = members.groupBy("sid").count().filter(F.col("count") * 1000 >= max(total, 1000)).select("sid", (F.col("count") * 1000 / F.lit(max(total, 1))).cast("int").alias("parts"))
-    hot = F.broadcast(hot.filter("parts > 1"))
-    parts = F.coalesce("parts", F.lit(1))
-    return members.join(hot, "sid", "left").select("*", F.pmod(F.xxhash64(by), parts).alias("salt")).drop("parts"), hot
-
-
-def _members(pairs: DataFrame, side: str, salted: DataFrame, hot: DataFrame) -> DataFrame:
-    """pairs with the records of one side's class."""
-    spread = pairs.join(hot.withColumnRenamed("sid", side), side, "left")
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - 1))).drop("parts")
-    mine = salted.select(F.col("sid").alias(side), "salt", F.col("tab").alias(f"tab_{side}"), F.col("rec_key").alias(f"key_{side}"))
-    return spread.join(mine, [side, "salt"]).drop("salt")
+def _members(pairs: DataFrame, side: str, members: DataFrame, hot: DataFrame) -> DataFrame:
+    """pairs with the records of one side's class; those of a hot class are divided."""
+    named = hot.withColumnRenamed("sid", side)
+    mine = divide(members, hot, "sid", "rec_key").select(F.col("sid").alias(side), "part", F.col("tab").alias(f"tab_{side}"), F.col("rec_key").alias(f"key_{side}"))
+    return repeat(pairs, named, side).join(mine, [side, "part"]).drop("part")
 
 
 def record_pairs(df: DataFrame, n: int = 3, num: int = 1, den: int = 2, tile: int = TILE) -> DataFrame:
     """(tab, key_a, key_b) of distinct similar records, the smaller key first."""
     pairs, members = class_pairs(df, n, num, den, tile)
     twins = members.groupBy("sid").count().filter("count > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    salted, hot = _salted(members, "rec_key")
-    out = _members(_members(pairs.select("a", "b").unionByName(twins), "a", salted, hot), "b", salted, hot)
+    hot = hot_keys(members, "sid")
+    out = _members(_members(pairs.select("a", "b").unionByName(twins), "a", members, hot), "b", members, hot)
     out = out.filter("key_a != key_b and tab_a = tab_b")
     return out.select(F.col("tab_a").alias("tab"), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
@@ -399,13 +393,7 @@ def classes(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
     links = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
     sizes = members.groupBy("sid").agg(F.min("rec_key").alias("class_key"), F.count(F.lit(1)).alias("copies"))
     facts = sizes.join(links, "sid", "left")
-    return _spread(members, facts, "sid").select("tab", "rec_key", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def _spread(rows: DataFrame, facts: DataFrame, key: str, parts: int = 16) -> DataFrame:
-    """rows with the one row of facts of their key; a hot key's rows go to ``parts`` tasks."""
-    many = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("rec_key"), F.lit(parts)).cast("int")).join(many, [key, "salt"]).drop("salt")
+    return lookup(members, facts, "sid", "rec_key").select("tab", "rec_key", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -417,6 +405,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    first = edges
     while True:
         # large star: larger neighbours of a node to its smallest
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -427,6 +416,8 @@ def components(pairs: DataFrame) -> DataFrame:
         small = large.join(small_low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(small.unionByName(small_low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
         same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
+        if edges is not first:
+            release(edges)
         edges = after
         if same:
             break
@@ -439,4 +430,4 @@ def groups(df: DataFrame, n: int = 3, num: int = 1, den: int = 2) -> DataFrame:
     roots = components(pairs)
     mine = members.join(roots, members.sid == roots.node, "left").select("tab", "rec_key", F.coalesce("root", "sid").alias("root"))
     sizes = mine.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("tab", "rec_key")).alias("first")).filter("size > 1")
-    return _spread(mine, sizes, "root").select("tab", "rec_key", F.concat_ws(":", "first.tab", "first.rec_key").alias("group_id"), "size").distinct()
+    return lookup(mine, sizes, "root", "rec_key").select("tab", "rec_key", F.concat_ws(":", "first.tab", "first.rec_key").alias("group_id"), "size").distinct()

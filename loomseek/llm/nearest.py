@@ -325,7 +325,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     holds.
     """
     context = queries.sparkSession.sparkContext
-    queries = cut(queries.select("model_id", "dim", "vector", "text_digest").filter("text_digest is not null"), "queries")
+    queries = cut(queries.select("model_id", "dim", "vector", "text_digest").filter("text_digest is not null").distinct(), "queries")
     vectors = vectors.select("model_id", "dim", "vector", "text_digest").filter("text_digest is not null")
     blocks = max(1, -(-queries.count() // block))
 
@@ -390,7 +390,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     result = None
     for b in range(blocks):
         asked: dict = {}
-        table = queries.filter(F.pmod(F.xxhash64("text_digest"), F.lit(blocks)) == b).toArrow()  # one block of bounded size
+        table = queries.filter(F.pmod(F.xxhash64("text_digest", "vector"), F.lit(blocks)) == b).toArrow()  # one block of bounded size
         for batch in table.to_batches():
             digests = batch.column(3).to_pylist()
             for model, rows, raw in _usable(batch):

@@ -42,8 +42,10 @@ from loomseek.session import cut
 
 #: Vectors wanted in a cell, bound of the vantage points chosen first, and rows of the sample; no more points than those are sent to workers.
 CELL, MAX_CELLS, SAMPLE = 1500, 4096, 16384
-#: A cell with more vectors than this is divided.
-MAX_MEMBERS = 6000
+#: A cell with more vectors than this is divided, if so many rows of the sample lie in it.
+MAX_MEMBERS, FEW = 6000, 8
+#: Similarities to vantage points computed at a time.
+_ROOM = 4_000_000
 #: Similarities below which vantage points lie apart, the coarsest first.
 SCALES = (0.8, 0.85, 0.9, 0.94, 0.97, 0.985, 0.995, 0.999, 0.99999)
 #: Relaxation of the choice of cells and of the trees inside them.
@@ -159,11 +161,13 @@ def _cells(x: np.ndarray, k: int, count: int, cell: int) -> tuple[np.ndarray, np
     other = np.random.default_rng(3).permutation(len(x))
     spread = float(np.median(chord(np.einsum("ij,ij->i", x, x[other])))) / np.sqrt(2)
     points, weight = _spread(x, k), count / len(x)
-    whole: set[bytes] = set()  # cells that cannot be divided
+    whole: set[bytes] = set()  # cells of equal vectors
     while True:
         home = np.argmax(x @ points.T, axis=1)
-        members = np.bincount(home, minlength=len(points)) * weight
-        full = [i for i in np.flatnonzero(members > MAX_MEMBERS) if points[i].tobytes() not in whole]
+        sampled = np.bincount(home, minlength=len(points))
+        members = sampled * weight
+        # a cell with few rows of the sample stays, however many vectors it stands for
+        full = [i for i in np.flatnonzero((members > MAX_MEMBERS) & (sampled >= FEW)) if points[i].tobytes() not in whole]
         if not full:
             break
         more = []
@@ -214,11 +218,15 @@ def similar(vectors: DataFrame, k: int = 5, least: float = 0.82, cell_factor: fl
                     shard, guest, who = np.full(len(rows), base), np.zeros(len(rows), bool), np.arange(len(rows))
                 else:
                     points, parts, spread = plans[m]
-                    d = chord(_unit(x).astype(np.float32) @ points.T)
-                    home = np.argmin(d, axis=1)
-                    open_ = (d - d.min(axis=1, keepdims=True)) * _relaxed(cell_factor, spread) <= 2 * radius
-                    who, to = np.nonzero(open_)
-                    shard, guest = base + (to << 16) + ids[rows[who]] % parts[to], to != home[who]
+                    u, step, margin = _unit(x).astype(np.float32), max(1, _ROOM // len(points)), 2 * radius / _relaxed(cell_factor, spread)
+                    visits = []
+                    for i in range(0, len(u), step):
+                        d = chord(u[i : i + step] @ points.T)
+                        near = d.min(axis=1)
+                        who, to = np.nonzero(d <= near[:, None] + margin)
+                        visits.append((who + i, to, to != np.argmin(d, axis=1)[who]))
+                    who, to, guest = (np.concatenate(v) for v in zip(*visits))
+                    shard = base + (to << 16) + ids[rows[who]] % parts[to]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard.astype(np.int64)), pa.array(guest), pa.array(ids[rows[who]]), pa.array([raw[i] for i in who], pa.binary())],
                     names=["shard", "guest", "id", "raw"],

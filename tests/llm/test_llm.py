@@ -419,6 +419,9 @@ def test_cells_divide_where_vectors_crowd(monkeypatch):
     points, parts, _ = nearest._cells(x, 3, len(x), 100)
     size = np.bincount(np.argmax(x @ points.T, axis=1), minlength=len(points))
     assert (size[parts == 1] <= 200).all() and (parts > 1).sum() == 1 and size[parts > 1][0] >= 500
+    # a sample of a far larger collection: no cell of different vectors is cut by hash
+    few, parts, _ = nearest._cells(x[:900], 3, 10**9, 100)
+    assert parts.max() == 1 and len(few) > 100
 
 
 def test_nearest_with_large_k_and_repeated_digests(spark):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from loomseek.config import Config
 from loomseek.functions import text
 
+#: Rows of an answer that are sent to the targets; a longer answer is joined.
+MOST_SENT = 10_000
 #: Places of the providers.
 SEMANTIC, EXACT, ALIAS, LEXICAL, FUZZY = range(5)
 
@@ -98,7 +100,7 @@ def finish(fused: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
     top = fused.orderBy(*order()).limit(limit)
     w = Window.orderBy(*order())  # over at most ``limit`` rows
     ranked = top.withColumn("result_rank", F.row_number().over(w)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    joined = F.broadcast(ranked).join(targets, "key")  # at most ``limit`` rows
+    joined = (F.broadcast(ranked) if limit <= MOST_SENT else ranked).join(targets, "key")
     return joined.select(
         F.col("result_rank").alias("rank"), "key", "path", "kind", "title", "org_id", "position", "digest", F.substring("body", 1, 160).alias("snippet"), "level", "outline_path", "properties",
         "match_type", modes().alias("modes"), "score", "pinned", "margin", match_reason().alias("match_reason"), text.link().alias("link"), modes_summary().alias("via"),

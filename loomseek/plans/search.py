@@ -18,7 +18,7 @@ from loomseek.functions import text
 from loomseek.operators import budget, fusion, scoring, textindex
 from loomseek.operators.budget import Work
 from loomseek.operators.filters import Filters
-from loomseek.session import fresh_path
+from loomseek.session import cut, fresh_path
 
 MODES = ("exact", "lexical", "fuzzy", "semantic")
 
@@ -227,7 +227,7 @@ def search_api(corpus: Corpus, query: str, limit: int | None = None, fuzzy: bool
         run("fuzzy", fuzzy_titles)
 
     if parts:
-        fused = fusion.fuse(parts, c).persist()
+        fused = cut(fusion.fuse(parts, c), "fused")  # at most the pools' rows
         found = fused.count()
         results = fusion.finish(fused, targets, limit)
     else:

@@ -41,6 +41,12 @@ select distinct m.tab, m.rec_key, m.tab || ':' || q.first as group_id, q.size fr
 g as ({grams('d', 'tab, rec_key, h', 3)}), n as (select tab, rec_key, h, count(*) as n from g group by all),
 p as (select a.tab, a.rec_key as ka, a.h as ha, b.rec_key as kb, b.h as hb, count(*) as c from g a join g b on a.tab = b.tab and a.g = b.g and a.rec_key < b.rec_key group by all)
 select distinct p.tab, ka as key_a, kb as key_b from p join n x on x.tab = p.tab and x.rec_key = ka and x.h = ha join n y on y.tab = p.tab and y.rec_key = kb and y.h = hb where 2 * c >= x.n + y.n - c""",
+    "p4_counts": f"""with {_RECORDS}, b as (select tab, rec_key, case when tab = 'chunks' and regexp_matches(text, '\\n[ \\t]*\\n') then regexp_replace(text, '(?s)\\A.*?\\n[ \\t]*\\n', '') else coalesce(text, '') end as t from r),
+a as (select *, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->|</?[a-zA-Z][^<>]*>', ' ', 'g'), '&(?:#[\\p{{L}}\\p{{N}}_]+|[a-zA-Z][\\p{{L}}\\p{{N}}_]*);', ' ', 'g') as u from b),
+c as (select *, case when contains(u, chr(92)) then regexp_replace(u, '\\\\[a-zA-Z]+\\*?|[{{}}]', ' ', 'g') else u end as v from a),
+w as (select *, regexp_extract_all(v, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') as w, list_filter(list_transform(string_split(v, chr(10)), lambda x: trim(x, {_SPACE})), lambda x: x <> '') as l from c)
+select distinct tab, rec_key, length(t)::int as characters, len(l)::int as lines, len(w)::int as words, round(case when len(w) > 0 then list_sum(list_transform(w, lambda x: length(x))) / len(w) else 0 end, 6) as mean_word_length,
+ round(case when len(l) > 0 then len(list_filter(l, lambda x: contains('.!?…»"”', right(x, 1)))) / len(l) else 0 end, 6) as punctuated_lines from w""",
     "p5_nearest": f"""with {_UNIT}, s as (select a.model_id, a.d as digest, b.d as neighbour, max(list_inner_product(a.v, b.v)) as c from n a join n b on a.model_id = b.model_id and len(a.v) = len(b.v) and a.d <> b.d
  where ('0x' || substr(a.d, 1, 8))::bigint % 50 = 0 group by all)
 select model_id, digest, neighbour, round(c, 6) as cosine, row_number() over (partition by model_id, digest order by round(c, 9) desc, neighbour) as place from s qualify place <= 5""",

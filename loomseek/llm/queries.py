@@ -76,6 +76,12 @@ def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return statistics(spark, folder).distinct()
 
 
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that need no model."""
+    rounded = (F.round(c, 6).alias(c) for c in ("mean_word_length", "punctuated_lines"))
+    return statistics(spark, folder).select("tab", "rec_key", "characters", "lines", "words", *rounded).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.found(table(spark, folder, "vectors"))
 

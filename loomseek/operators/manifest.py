@@ -83,8 +83,9 @@ class VersionedTable:
         """Put the manifest in its place, whole and only if the number is free.
 
         On a file system of the machine or mounted on it a hard link does that
-        in one step, elsewhere a rename that doesn't overwrite, which is atomic
-        on HDFS. A store without either must have one writer at a time.
+        in one step, or without links a file that is created only if there is
+        none; elsewhere a rename that doesn't overwrite, which is atomic on
+        HDFS. A store without any of these must have one writer at a time.
         """
         draft, name = f"{self.path}/drafts/{uuid.uuid4().hex}", self._name(m.version)
         out = self._fs.create(self._at(draft), False)
@@ -96,7 +97,13 @@ class VersionedTable:
         try:
             if self._fs.getScheme() == "file":
                 here = lambda p: self._at(p).toUri().getPath()
-                os.link(here(draft), here(name))
+                try:
+                    os.link(here(draft), here(name))
+                except FileExistsError:
+                    raise
+                except OSError:  # no links here
+                    with open(here(name), "xb") as f:
+                        f.write(json.dumps(asdict(m)).encode())
             else:
                 hadoop = self.spark._jvm.org.apache.hadoop.fs
                 context = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())

@@ -203,6 +203,17 @@ def test_two_writers(spark, tmp_path):
     assert len(won) == 1 and t.latest().processed == {"writer": won[0]}
 
 
+def test_two_writers_without_links(spark, tmp_path, monkeypatch):
+    from loomseek.operators import manifest
+
+    monkeypatch.setattr(manifest.os, "link", lambda a, b: (_ for _ in ()).throw(PermissionError("no links")))
+    t = VersionedTable(spark, str(tmp_path / "t"), KV)
+    t._publish(manifest.Manifest(1, (), (), {"writer": 1}))
+    with pytest.raises(CommitConflict):
+        t._publish(manifest.Manifest(1, (), (), {"writer": 2}))
+    assert t.latest().processed == {"writer": 1}
+
+
 def test_ledger(spark, tmp_path):
     at = f"file://{tmp_path}/ledger"
     state = lambda *r: spark.createDataFrame([("chunks", k, None, d) for k, d in r], incremental.STATE)

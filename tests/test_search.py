@@ -162,3 +162,17 @@ def test_snippets():
 def test_trigrams():
     g = text.trigrams("Ab")
     assert g == ["  a", " ab", "ab ", "b  "] and len(text.trigrams("x".join(map(str, range(200))))) == 32
+
+
+def test_a_word_reads_one_bucket(spark, tmp_path):
+    import re
+
+    t = targets(spark, [{"title": w, "body": f"{w} stands here"} for w in ("archive", "architect", "budget", "a")])
+    at = str(tmp_path / "index")
+    textindex.write_index(textindex.postings(t), at)
+    index, stats = spark.read.parquet(at), textindex.doc_stats(t)
+    for query, found in (("arch", 2), ("archive", 1), ("a", 3), ("archive.stands", 1), ("budget here", 1), ("zzz", 0)):
+        got = textindex.search(t, query, index, stats)
+        assert {r["key"] for r in got.collect()} == {r["key"] for r in textindex.search(t, query).collect()} and got.count() == found
+        filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", got._jdf.queryExecution().toString())
+        assert len(query) == 1 or all("bucket" in f for f in filters if f) and any("bucket" in f for f in filters), query

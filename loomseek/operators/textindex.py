@@ -14,10 +14,12 @@ matches nothing. Null titles and bodies have no tokens.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +41,26 @@ def match_expression(query: str) -> str:
 
 
 def postings(targets: DataFrame) -> DataFrame:
-    """(term, key, col, positions), positions from 0."""
-    cols = F.array(F.struct(F.lit(0).alias("col"), text.tokens(F.col("title")).alias("tokens")), F.struct(F.lit(1).alias("col"), text.tokens(F.col("body")).alias("tokens")))
-    fields = targets.select("key", F.explode(cols).alias("f")).select("key", "f.col", F.posexplode("f.tokens").alias("pos", "term"))
-    return fields.groupBy("term", "key", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, key, col, positions), positions from 0. Keys must be unique; a row's terms are gathered where the row is, without a shuffle."""
+    kind = targets.schema["key"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for col in (0, 1):
+                rows, terms, places = [], [], []
+                for i, tokens in enumerate(batch.column(1 + col).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for k, t in enumerate(tokens or ()):
+                        at.setdefault(t, []).append(k)
+                    rows += [i] * len(at)
+                    terms += at
+                    places += at.values()
+                keys = batch.column(0).take(pa.array(rows, pa.int64()))
+                cols = [pa.array(terms, pa.string()), keys, pa.array([col] * len(rows), pa.int32()), pa.array(places, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["term", "key", "col", "positions"])
+
+    tokens = targets.select("key", text.tokens(F.col("title")).alias("title"), text.tokens(F.col("body")).alias("body"))
+    return tokens.mapInArrow(run, f"term string, key {kind.simpleString()}, col int, positions array<int>")
 
 
 def doc_stats(targets: DataFrame) -> DataFrame:
